@@ -37,24 +37,28 @@ def _number(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("bigint")
 
 
-def mutation_counts(output: Column, error: Column) -> Column:
-    """Struct {killed, survived, total}: fraction line, else the two counts, else killed alone, else zeros.
+def mutation_marks(output: Column) -> Column:
+    """The numbers a log holds: fraction (_part of _whole) and single counts; null where absent."""
+    return F.struct(
+        _number(output, FRACTION_KILLED, 1).alias("_part"), _number(output, FRACTION_KILLED, 2).alias("_whole"),
+        _number(output, COUNT_KILLED, 1).alias("_killed"), _number(output, COUNT_SURVIVED, 1).alias("_survived"))
+
+
+def mutation_counts(error: Column) -> dict[str, Column]:
+    """killed, survived, total from the marks: the fraction, else the two counts, else killed alone, else zeros.
 
     A run that ended in an error counts as zeros whatever its log says.
     """
-    part, whole = _number(output, FRACTION_KILLED, 1), _number(output, FRACTION_KILLED, 2)
-    killed, survived = _number(output, COUNT_KILLED, 1), F.coalesce(_number(output, COUNT_SURVIVED, 1), F.lit(0))
+    part, whole = F.col("_part"), F.col("_whole")
+    killed, survived = F.col("_killed"), F.coalesce("_survived", F.lit(0))
+    zero = F.lit(0).cast("bigint")
 
-    def counts(k: Column, s: Column, t: Column) -> Column:
-        return F.struct(k.alias("killed"), s.alias("survived"), t.alias("total"))
+    def choose(from_fraction: Column, from_counts: Column) -> Column:
+        return (F.when(error.isNotNull(), zero).when(part.isNotNull() & whole.isNotNull(), from_fraction)
+                .when(killed.isNotNull(), from_counts).otherwise(zero))
 
-    zero = F.lit(0).cast("bigint")
-    return (
-        F.when(error.isNotNull(), counts(zero, zero, zero))
-        .when(part.isNotNull() & whole.isNotNull(), counts(part, whole - part, whole))
-        .when(killed.isNotNull(), counts(killed, survived, killed + survived))
-        .otherwise(counts(zero, zero, zero))
-    )
+    return {"killed": choose(part, killed), "survived": choose(whole - part, survived),
+            "total": choose(whole, killed + survived)}
 
 
 def mutation_score(killed: Column, total: Column) -> Column:
@@ -79,12 +83,33 @@ def weighted(parts: dict[str, Column], weights: dict[str, float]) -> Column:
     return total
 
 
-def composite(mutation: Column, fault_detection: Column, weights: dict[str, float] = WEIGHTS) -> Column:
-    """Two decimals, halves away from zero on the decimal notation.
+def round_cents(value: Column) -> Column:
+    """Two decimals, correctly rounded from the binary value with exact halves to even, as Python rounds.
 
-    Python rounds the binary value instead, so an exact half may differ by 0.01.
+    For 0 <= value < 4 the double is read as a whole number of 2^-60 and the
+    hundredths are found by integer arithmetic in two 30-bit halves.
     """
-    return F.round(weighted({"mutation_score": mutation, "fault_detection_rate": fault_detection}, weights), 2)
+    low_bits = (1 << 30) - 1
+    units = (value * float(1 << 60)).cast("bigint")
+    low = units.bitwiseAND(F.lit(low_bits)) * 100
+    high = F.shiftright(units, 30) * 100 + F.shiftright(low, 30)
+    whole = F.shiftright(high, 30)
+    rest = F.shiftleft(high.bitwiseAND(F.lit(low_bits)), 30) + low.bitwiseAND(F.lit(low_bits))
+    half = F.lit(1 << 59)
+    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+    exact = (whole + F.when(up, F.lit(1)).otherwise(F.lit(0))) / 100
+    return F.when(value.between(0.0, 3.99), exact).otherwise(F.round(value, 2))
+
+
+def round_scaled(value: Column, digits: int) -> Column:
+    """Scale, round halves away from zero, scale back: how the leaderboard's SQL dialect rounds doubles."""
+    factor = float(10 ** digits)
+    return F.round(value * factor) / factor
+
+
+def composite(mutation: Column, fault_detection: Column, weights: dict[str, float] = WEIGHTS) -> Column:
+    """Weighted sum to two decimals."""
+    return round_cents(weighted({"mutation_score": mutation, "fault_detection_rate": fault_detection}, weights))
 
 
 def in_unit(value: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from suitegauge.functions import scoring as S
 from suitegauge.functions.text import strip
-from suitegauge.operators.scoring import KEYS
 
 SCENARIO = r"(?m)^\s*Scenario(?: Outline)?:[ \t]*([^\n]*)"
 REQUIREMENT = r">>>\s+\w+\([^)]+\)\n\s+\S+"
@@ -48,7 +47,7 @@ def impl_independence(pairs: DataFrame) -> DataFrame:
 
 
 def composite4(df: DataFrame, weights: dict[str, float] = S.FOUR_WEIGHTS) -> DataFrame:
-    return df.withColumn("composite4", F.round(S.weighted({n: F.col(n) for n in weights}, weights), 2))
+    return df.withColumn("composite4", S.round_cents(S.weighted({n: F.col(n) for n in weights}, weights)))
 
 
 def baseline_delta(agent: DataFrame, baseline: DataFrame, measure: str) -> DataFrame:
@@ -89,7 +88,3 @@ def track_comparison(details: DataFrame, measures: tuple[str, ...] = ("mutation_
     return details.groupBy("ordinal").agg(*[
         F.avg(F.when(F.col("track") == track, F.col(m))).alias(f"{track}_{m}")
         for m in measures for track in ("tdd", "bdd")])
-
-
-__all__ = ["KEYS", "scenario_names", "requirements", "spec_coverage", "impl_independence", "composite4",
-           "baseline_delta", "latency_summary", "multi_class_mutation", "track_comparison"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from suitegauge.functions import code, text
-from suitegauge.operators.quality import Rules, split_rejects
+from suitegauge.operators.quality import Rules, computed_once, split_rejects
 
 # The task-specific bug patterns.
 TASK_PATTERNS = [
@@ -90,7 +90,7 @@ def derive_bdd(tasks: DataFrame, source_root: str = "data/tasks/tdd/python",
     built-in expressions and stays in generated code.
     """
     if by_grammar:
-        parsed = tasks.withColumn("_parsed", code.parsed_spec("spec"))
+        parsed = computed_once(tasks, code.parsed_spec("spec").alias("_parsed"))
         name_in_spec, doc = F.col("_parsed.function_name"), F.col("_parsed.docstring")
         named = F.coalesce(F.get_json_object("metadata", "$.function_name"), name_in_spec,
                            F.get(F.split("task_id", "_", 3), F.lit(2)))
@@ -103,7 +103,7 @@ def derive_bdd(tasks: DataFrame, source_root: str = "data/tasks/tdd/python",
     rules.append((F.concat(F.lit("Could not extract function name from "), F.col("task_id")),
                   F.col("function_name").isNull()))
 
-    prepared = parsed.withColumn("function_name", named).withColumn("_doc", doc)
+    prepared = computed_once(parsed.drop("function_name"), named.alias("function_name")).withColumn("_doc", doc)
     good, rejects = split_rejects(prepared, rules)
     location = F.concat(F.lit(source_root.rstrip("/") + "/"), F.col("task_id"))
     bdd = (
@@ -156,8 +156,8 @@ def inject_bugs(tasks: DataFrame, patterns: DataFrame) -> DataFrame:
             F.lit("' not found in correct.py")))
     )
     return (
-        joined.withColumn("buggy_implementation", buggy)
-        .withColumn("is_effective", F.when(own, F.lit(True)).otherwise(effective))
+        computed_once(joined, buggy.alias("buggy_implementation"),
+                      F.when(own, F.lit(True)).otherwise(effective).alias("is_effective"))
         .withColumn("reason", reason)
         .drop("_old", "_new")
     )

@@ -11,6 +11,16 @@ Rules = list[tuple[Column | str, Column]]
 """(reason, violated) pairs, in the order they are checked; a null condition counts as not violated."""
 
 
+def computed_once(df: DataFrame, *fields: Column) -> DataFrame:
+    """Adds the aliased columns so that later filters and projections read them.
+
+    A filter on an ordinary derived column is pushed below it by repeating its
+    expression, which for pattern matching over long texts costs a second pass;
+    a generator of exactly one row stays where it is.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*fields))))
+
+
 def flag_rejects(df: DataFrame, rules: Rules, reason: str = "reason") -> DataFrame:
     """Adds the first violated rule (null for good rows). One pass; nothing is dropped."""
     chosen = F.lit(None).cast("string")

@@ -82,10 +82,9 @@ def with_fault_detection(pairs: DataFrame, mode: str = "reference") -> DataFrame
 
 def parse_mutation_logs(logs: DataFrame) -> DataFrame:
     """Adds killed, survived, total and mutation_score; zeros where the run ended in an error."""
-    counts = logs.withColumn("_c", S.mutation_counts(F.col("output"), F.col("error")))
-    return counts.select(
-        *logs.columns, "_c.killed", "_c.survived", "_c.total",
-        S.mutation_score(F.col("_c.killed"), F.col("_c.total")).alias("mutation_score"))
+    marked = logs.select("*", F.inline(F.array(S.mutation_marks(F.col("output")))))
+    counted = marked.select(*logs.columns, *[c.alias(n) for n, c in S.mutation_counts(F.col("error")).items()])
+    return counted.withColumn("mutation_score", S.mutation_score(F.col("killed"), F.col("total")))
 
 
 def mutation_per_task(parsed: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def merge_new(spark, folder):
     existing = stories.filter("o_totalprice < 250000").drop("depends_on")
     incoming = backlog.with_content_hash(stories.filter("o_orderdate >= '1996-01-01'").withColumn("title", F.upper("title")))
     return backlog.order_by_number(backlog.merge_new(existing, incoming)).select(
-        "id", "title", "content_hash", F.size("depends_on").alias("n_depends_on"))
+        "id", "title", "content_hash", F.coalesce(F.size("depends_on"), F.lit(0)).alias("n_depends_on"))
 
 
 def diff_by_hash(spark, folder):
@@ -208,7 +208,7 @@ ORACLES = {
 old as (select *, {_hash('title')} as content_hash from stories_v where o_totalprice < 250000),
 new as (select *, {_hash('upper(title)')} as content_hash from stories_v where o_orderdate >= '1996-01-01')
 select id, title, content_hash, 0 as n_depends_on from old union all
-select id, upper(title), content_hash, coalesce(len(depends_on), -1) from new where id not in (select id from old)""",
+select id, upper(title), content_hash, coalesce(len(depends_on), 0) from new where id not in (select id from old)""",
     "diff_by_hash": _STORIES + f""",
 old as (select id, {_hash('title')} as h from stories_v where o_totalprice < 400000),
 new as (select id, case when passes then {_hash("upper(concat(title, '!'))")} else {_hash('title')} end as h

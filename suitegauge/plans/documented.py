@@ -8,7 +8,7 @@ from suitegauge.operators import documented, scoring
 from suitegauge.operators import preparation as prep
 from suitegauge.plans.fixtures import view, with_views
 from suitegauge.plans.preparation import BUILT, built
-from suitegauge.plans.scoring import KEYS, _DETECT, _pairs_sql, _parsed_sql, parsed_logs
+from suitegauge.plans.scoring import KEYS, _DETECT, _pairs_sql, _parsed_sql, cents, parsed_logs
 from suitegauge.sources.tables import table
 
 
@@ -66,8 +66,8 @@ select ordinal, n_scenarios, n_covered, round(spec_coverage, 9) as spec_coverage
     "composite4": with_views("runs3_v", "logs_v") + "," + _COVERAGE[len("with "):] + ","
     + _pairs_sql("runs3_v", ("correct", "buggy", "alternative")) + "," + _parsed_sql("logs_v") + ","
     + _DETECT.format(op="<> 0") + f"""
-select {KEYS}, round(0.3::double * coalesce(mutation_score, 0) + 0.25::double * coalesce(spec_coverage, 0)
+select {KEYS}, {cents("""0.3::double * coalesce(mutation_score, 0) + 0.25::double * coalesce(spec_coverage, 0)
   + 0.25::double * cast(passed_correct and failed_buggy as int)
-  + 0.2::double * case when alternative_code = 0 then 1 else 0 end, 2) as composite4
+  + 0.2::double * case when alternative_code = 0 then 1 else 0 end""")} as composite4
 from detected left join mutations using (participant, track, ordinal) left join coverage using (ordinal)""",
 }

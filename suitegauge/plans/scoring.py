@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from suitegauge.functions.scoring import failure_type
 from suitegauge.operators import documented, quality, scoring
 from suitegauge.plans.fixtures import view, with_views
 
@@ -45,7 +46,8 @@ def failure_breakdown(spark, folder):
 
 
 def run_pairs(spark, folder):
-    return pairs(spark, folder)
+    return pairs(spark, folder).select(*scoring.KEYS, *[
+        F.coalesce(failure_type(F.col(f"{side}_code")), F.lit("never run")).alias(side) for side in ("correct", "buggy")])
 
 
 def fault_detection(spark, folder):
@@ -151,6 +153,19 @@ _CODE = "case when timed_out then 3 when exit_code = 0 then 0 when exit_code = 1
 _TYPE = "case when timed_out then 'timeout' when exit_code = 0 then 'none' when exit_code = 1 then 'assertion' else 'infrastructure' end"
 
 
+def _named(side: str) -> str:
+    return (f"case {side}_code when 0 then 'none' when 1 then 'assertion' when 2 then 'infrastructure' "
+            f"when 3 then 'timeout' else 'never run' end as {side}")
+
+
+def cents(x: str) -> str:
+    """Two decimals from the binary value, exact halves to even."""
+    n = f"(cast(({x}) * 1152921504606846976 as hugeint) * 100)"
+    whole, rest = f"({n} // 1152921504606846976)", f"({n} % 1152921504606846976)"
+    return (f"(({whole} + case when {rest} > 576460752303423488 "
+            f"or ({rest} = 576460752303423488 and {whole} % 2 = 1) then 1 else 0 end) / 100)")
+
+
 def _pairs_sql(runs: str, targets: tuple[str, ...]) -> str:
     sides = ", ".join(f"max(case when target = '{t}' then code end) as {t}_code" for t in targets)
     return f"""
@@ -184,7 +199,7 @@ detected as (select *, coalesce(correct_code = 0 and buggy_code is not null, fal
 OUTCOMES = with_views("runs_v", "logs_v", "evaluations_v") + "," + _pairs_sql("runs_v", ("correct", "buggy")) + "," \
     + _parsed_sql("logs_v") + "," + _DETECT.format(op="<> 0") + f""",
 outcomes as (select {KEYS}, u * coalesce(m, 0) as mutation_score, u * fd as fault_detection_rate,
-    round(0.6::double * (u * coalesce(m, 0)) + 0.4::double * (u * fd), 2) as composite_score,
+    {cents("0.6::double * (u * coalesce(m, 0)) + 0.4::double * (u * fd)")} as composite_score,
     u = 1 and passed_correct as passed_correct, u = 1 and failed_buggy as failed_buggy
   from (select d.participant, d.track, d.ordinal, m.mutation_score as m, passed_correct, failed_buggy,
       cast(passed_correct and failed_buggy as int)::double as fd,
@@ -196,7 +211,7 @@ details as (select g.participant, g.track, g.ordinal, printf('task_%03d', g.ordi
     coalesce(composite_score, 0) as composite_score, coalesce(passed_correct, false) as passed_correct,
     coalesce(failed_buggy, false) as failed_buggy
   from grid g left join outcomes o using (participant, track, ordinal)),
-summary as (select *, round(0.6::double * mutation_score + 0.4::double * fault_detection_rate, 2) as score from (
+summary as (select *, {cents("0.6::double * mutation_score + 0.4::double * fault_detection_rate")} as score from (
   select participant, track, avg(mutation_score) as mutation_score, avg(fault_detection_rate) as fault_detection_rate,
     avg(case when passed_correct and failed_buggy then 1.0::double else 0.0::double end) as pass_rate,
     count(*) as task_count from details group by participant, track))
@@ -222,7 +237,7 @@ select run_id, participant, task_num, target, ts, case when timed_out then 1 els
 select participant, target, count(*) filter ({_CODE} = 0) as n_none, count(*) filter ({_CODE} = 1) as n_assertion,
   count(*) filter ({_CODE} = 2) as n_infrastructure, count(*) filter ({_CODE} = 3) as n_timeout
 from runs_v group by participant, target""",
-    "run_pairs": _RUNS + f" select {KEYS}, correct_code, buggy_code from pairs",
+    "run_pairs": _RUNS + f" select {KEYS}, {_named('correct')}, {_named('buggy')} from pairs",
     "fault_detection": _RUNS + "," + _DETECT.format(op="<> 0") + _DETECTION,
     "fault_detection_strict": _RUNS + "," + _DETECT.format(op="= 1") + _DETECTION,
     "mean_fault_detection": _RUNS + "," + _DETECT.format(op="<> 0") + """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from suitegauge.operators.submissions import completed_events
 
@@ -15,7 +15,8 @@ def first_completed_stream(events: DataFrame, delay: str = "1 hour") -> DataFram
     "First" is the arrival order; ``operators.submissions.first_completed`` picks
     by event time and agrees on which submissions completed.
     """
-    return completed_events(events).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["submission_id"])
+    timed = completed_events(events).withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["submission_id"])
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
