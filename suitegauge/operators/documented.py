@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from suitegauge.functions import scoring as S
 from suitegauge.functions.text import strip
+from suitegauge.operators.quality import computed_once
 
 SCENARIO = r"(?m)^\s*Scenario(?: Outline)?:[ \t]*([^\n]*)"
 REQUIREMENT = r">>>\s+\w+\([^)]+\)\n\s+\S+"
@@ -13,8 +14,9 @@ REQUIREMENT = r">>>\s+\w+\([^)]+\)\n\s+\S+"
 
 def scenario_names(specs: DataFrame, spec: str = "spec") -> DataFrame:
     """One row per scenario of a feature text: scenario_no from 1 and name."""
-    names = F.posexplode(F.regexp_extract_all(spec, F.lit(SCENARIO), F.lit(1))).alias("_pos", "_name")
-    return specs.select(*[c for c in specs.columns if c != spec], names).select(
+    read = computed_once(specs, F.regexp_extract_all(spec, F.lit(SCENARIO), F.lit(1)).alias("_names"))
+    names = F.posexplode("_names").alias("_pos", "_name")
+    return read.select(*[c for c in specs.columns if c != spec], names).select(
         "*", (F.col("_pos") + 1).alias("scenario_no"), strip(F.col("_name")).alias("scenario")).drop("_pos", "_name")
 
 
@@ -77,7 +79,7 @@ def latency_summary(runs: DataFrame, by: list[str], value: str = "execution_time
 
 def multi_class_mutation(summaries: DataFrame, column: str = "summary") -> DataFrame:
     """Adds the four counts and killed / (killed + survived)."""
-    counted = summaries.withColumn("_c", S.multi_class_counts(F.col(column)))
+    counted = computed_once(summaries, S.multi_class_counts(F.col(column)).alias("_c"))
     killed, survived = F.col("_c.killed"), F.col("_c.survived")
     return counted.select(*summaries.columns, "_c.*",
                           S.mutation_score(killed, killed + survived).alias("mutation_score"))

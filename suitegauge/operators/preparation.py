@@ -72,9 +72,9 @@ def check_tasks(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def extract_examples(specs: DataFrame, spec: str = "spec") -> DataFrame:
     """One row per worked example: example_no from 1, call, expected."""
-    found = F.posexplode(text.examples(F.col(spec))).alias("pos", "example")
+    read = computed_once(specs, text.examples(F.col(spec)).alias("_examples"))
     return (
-        specs.select(*[c for c in specs.columns if c != spec], found)
+        read.select(*[c for c in specs.columns if c != spec], F.posexplode("_examples").alias("pos", "example"))
         .select("*", (F.col("pos") + 1).alias("example_no"),
                 F.col("example.call").alias("call"), F.col("example.expected").alias("expected"))
         .drop("pos", "example")

@@ -15,8 +15,9 @@ def computed_once(df: DataFrame, *fields: Column) -> DataFrame:
     """Adds the aliased columns so that later filters and projections read them.
 
     A filter on an ordinary derived column is pushed below it by repeating its
-    expression, which for pattern matching over long texts costs a second pass;
-    a generator of exactly one row stays where it is.
+    expression, and so is the not-empty filter that comes with exploding one.
+    For pattern matching over long texts each repeat is another pass; a generator
+    of exactly one row stays where it is and its column is read instead.
     """
     return df.select("*", F.inline(F.array(F.struct(*fields))))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from suitegauge.functions.text import content_hash, strip
+from suitegauge.operators.quality import computed_once
 
 # Headings and markers of a planning document. The repetitions are
 # possessive (they give nothing back), which matches the same lists without
@@ -83,23 +84,22 @@ def extract_sections(docs: DataFrame, parents: tuple[int, ...] = FEATURES_WITH_S
     found = F.transform(F.regexp_extract_all("text", F.lit(SECTION), F.lit(0)), lambda s, i: F.struct(
         F.regexp_extract(s, SECTION_HEAD, 1).try_cast("int").alias("number"), i.alias("pos"),
         F.regexp_replace(s, SECTION_HEAD, "").alias("content")))
-    # The sorted array is a column of its own, so it is made once per document.
-    ordered = docs.select("doc_id", F.array_sort(found).alias("_ordered"))
-    rows = ordered.select("doc_id", F.inline(_last_of_each(F.col("_ordered"), "number"))).drop("pos")
+    ordered = computed_once(docs.select("doc_id", "text"), F.array_sort(found).alias("_ordered"))
+    kept = computed_once(ordered.select("doc_id", "_ordered"), _last_of_each(F.col("_ordered"), "number").alias("_kept"))
+    rows = kept.select("doc_id", F.inline("_kept"))
     content, number = F.col("content"), F.col("number")
+    read = computed_once(
+        rows, _checklist(content).alias("_checklist"), _requirements(content).alias("_requirements"),
+        F.when(number.isin(*parents), _sorted_subsections(content)).alias("_subs"))
     name = F.split_part(strip(content), F.lit("\n"), F.lit(1))
-    checklist = _checklist(content)
-    return (
-        rows.withColumn("_subs", F.when(number.isin(*parents), _sorted_subsections(content)))
-        .select(
-            "doc_id", "number",
-            F.when(name == "", F.concat(F.lit("Feature "), number.cast("string"))).otherwise(strip(name)).alias("name"),
-            strip(F.regexp_extract(content, DESCRIPTION, 1)).alias("description"),
-            F.concat(checklist, F.array_except(_requirements(content), checklist)).alias("acceptance"),
-            _files(F.regexp_extract(content, FILES, 1)).alias("files"),
-            _subsections(F.col("_subs")).alias("subsections"),
-        )
-    )
+    return computed_once(
+        read,
+        F.when(name == "", F.concat(F.lit("Feature "), number.cast("string"))).otherwise(strip(name)).alias("name"),
+        strip(F.regexp_extract(content, DESCRIPTION, 1)).alias("description"),
+        F.concat("_checklist", F.array_except("_requirements", "_checklist")).alias("acceptance"),
+        _files(F.regexp_extract(content, FILES, 1)).alias("files"),
+        _subsections(F.col("_subs")).alias("subsections"),
+    ).select("doc_id", "number", "name", "description", "acceptance", "files", "subsections")
 
 
 def _sorted_subsections(content: Column) -> Column:
@@ -128,16 +128,16 @@ def extract_subsections(sections: DataFrame) -> DataFrame:
 
 def extract_stories(docs: DataFrame) -> DataFrame:
     """Story lists of all breakdown parts: doc_id, number (of the feature), place, id, title, depends_on."""
-    lists = docs.select("doc_id", F.posexplode(
-        F.regexp_extract_all("text", F.lit(BREAKDOWN), F.lit(1))).alias("_b", "_list"))
-    features = lists.select("doc_id", "_b", F.posexplode(
-        F.regexp_extract_all("_list", F.lit(BREAKDOWN_FEATURE), F.lit(0))).alias("_f", "_feature"))
-    stories = features.select(
-        "doc_id", "_b", "_f",
+    found = computed_once(docs.select("doc_id", "text"), F.regexp_extract_all(
+        "text", F.lit(BREAKDOWN), F.lit(1)).alias("_lists"))
+    lists = computed_once(found.select("doc_id", F.posexplode("_lists").alias("_b", "_list")), F.regexp_extract_all(
+        "_list", F.lit(BREAKDOWN_FEATURE), F.lit(0)).alias("_features"))
+    features = computed_once(
+        lists.select("doc_id", "_b", F.posexplode("_features").alias("_f", "_feature")),
         F.regexp_extract("_feature", BREAKDOWN_FEATURE_PARTS, 1).try_cast("int").alias("number"),
-        F.posexplode(F.regexp_extract_all(
-            strip(F.regexp_extract("_feature", BREAKDOWN_FEATURE_PARTS, 2)),
-            F.lit(BREAKDOWN_STORY), F.lit(0))).alias("_s", "_story"))
+        F.regexp_extract_all(strip(F.regexp_extract("_feature", BREAKDOWN_FEATURE_PARTS, 2)),
+                             F.lit(BREAKDOWN_STORY), F.lit(0)).alias("_stories"))
+    stories = features.select("doc_id", "_b", "_f", "number", F.posexplode("_stories").alias("_s", "_story"))
     return stories.select(
         "doc_id", "number", F.struct("_b", "_f", "_s").alias("place"),
         F.concat(F.lit("STORY-"), F.regexp_extract("_story", BREAKDOWN_STORY_PARTS, 1)).alias("id"),
@@ -164,7 +164,8 @@ def match_by_keywords(sections: DataFrame, stories: DataFrame,
     """Stories with the number and name of the subsection they match; unmatched ones are left out."""
     joined = stories.join(sections.select("doc_id", "number", "subsections"), ["doc_id", "number"])
     return (
-        joined.withColumn("_sub", matching_subsection(F.col("title"), F.col("number"), F.col("subsections"), rules))
+        computed_once(joined, matching_subsection(
+            F.col("title"), F.col("number"), F.col("subsections"), rules).alias("_sub"))
         .filter("_sub is not null")
         .select("doc_id", "number", "id", "title", F.col("_sub.number").alias("subsection"),
                 F.col("_sub.name").alias("subsection_name"))
@@ -183,8 +184,8 @@ def apply_breakdown(sections: DataFrame, stories: DataFrame,
     joined = sections.join(listed, ["doc_id", "number"], "left").filter(
         F.col("_id").isNotNull() | (F.col("number") > FEATURES_BROKEN_DOWN_BY_HAND))
     own = F.col("_id").isNotNull()
-    described = joined.withColumn(
-        "_sub", F.when(own, matching_subsection(F.col("_title"), F.col("number"), F.col("subsections"), rules)))
+    described = computed_once(joined, F.when(own, matching_subsection(
+        F.col("_title"), F.col("number"), F.col("subsections"), rules)).alias("_sub"))
     matched = F.col("_sub").isNotNull()
     shaped = described.select(
         "doc_id", "number", "place",

@@ -78,8 +78,8 @@ def phrase_hits(spark, folder):
 
 
 def placeholders(spark, folder):
-    return (view(spark, folder, "services_v")
-            .select(F.explode(text.placeholders(F.col("env_text"))).alias("name")).distinct().orderBy("name"))
+    found = quality.computed_once(view(spark, folder, "services_v"), text.placeholders(F.col("env_text")).alias("names"))
+    return found.select(F.explode("names").alias("name")).distinct().orderBy("name")
 
 
 def duplicates(spark, folder):
@@ -207,8 +207,8 @@ ORACLES = {
     "merge_new": _STORIES + f""",
 old as (select *, {_hash('title')} as content_hash from stories_v where o_totalprice < 250000),
 new as (select *, {_hash('upper(title)')} as content_hash from stories_v where o_orderdate >= '1996-01-01')
-select id, title, content_hash, 0 as n_depends_on from old union all
-select id, upper(title), content_hash, coalesce(len(depends_on), 0) from new where id not in (select id from old)""",
+select id, title, content_hash, 0::int as n_depends_on from old union all
+select id, upper(title), content_hash, cast(coalesce(len(depends_on), 0) as int) from new where id not in (select id from old)""",
     "diff_by_hash": _STORIES + f""",
 old as (select id, {_hash('title')} as h from stories_v where o_totalprice < 400000),
 new as (select id, case when passes then {_hash("upper(concat(title, '!'))")} else {_hash('title')} end as h

@@ -58,9 +58,9 @@ coverage as (select s.ordinal, count(*) as n_scenarios, count(e.ordinal) as n_co
   from scenarios s left join executed e using (ordinal, scenario_no) group by s.ordinal)"""
 
 ORACLES = {
-    "scenario_names": _SCENARIOS + " select task_id, scenario_no, concat('Example ', scenario_no) as scenario from scenarios",
+    "scenario_names": _SCENARIOS + " select task_id, cast(scenario_no as int) as scenario_no, concat('Example ', scenario_no) as scenario from scenarios",
     "spec_requirements": BUILT + r"""
-select task_id, len(regexp_extract_all(spec, '>>>\s+\w+\([^)]+\)\n\s+\S+')) as n_requirements from built""",
+select task_id, cast(len(regexp_extract_all(spec, '>>>\s+\w+\([^)]+\)\n\s+\S+')) as int) as n_requirements from built""",
     "spec_coverage": _COVERAGE + """
 select ordinal, n_scenarios, n_covered, round(spec_coverage, 9) as spec_coverage from coverage""",
     "composite4": with_views("runs3_v", "logs_v") + "," + _COVERAGE[len("with "):] + ","

@@ -77,8 +77,8 @@ from board where track = 'tdd' order by score desc, mutation_pct desc, id""",
 from board where track = 'bdd' order by score desc, mutation_pct desc, id""",
     "leaderboard_passrate": BOARD + """select id, track, pass_rate, score, mutation_pct, task_count
 from board order by pass_rate desc, score desc, id""",
-    "leaderboard_topk": BOARD + f"""select * from (select *, row_number() over (
-  partition by track order by score desc, mutation_pct desc, id) as rank from board) where rank <= {TOP}""",
+    "leaderboard_topk": BOARD + f"""select * from (select *, cast(row_number() over (
+  partition by track order by score desc, mutation_pct desc, id) as int) as rank from board) where rank <= {TOP}""",
     "leaderboard_ranked": BOARD + """select *, rank() over (
   partition by track order by score desc, mutation_pct desc) as rank from board""",
 }

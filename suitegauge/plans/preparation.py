@@ -166,7 +166,7 @@ ORACLES = {
 select p_partkey, coalesce(json_extract_string(metadata, '$.function_name'),
   nullif(regexp_extract(spec, '(?m)^\s*def\s+(\w+)', 1), ''),
   nullif(regexp_extract(directory, '^[^_]*_[^_]*_(.*)$', 1), '')) as function_name from named_v""",
-    "doctest_examples": _EXAMPLES + " select task_id, example_no, call, expected from found",
+    "doctest_examples": _EXAMPLES + " select task_id, cast(example_no as int) as example_no, call, expected from found",
     "docstrings": BUILT + " select task_id, trim(split_part(regexp_extract(spec, '(?s)def .*?\"\"\"(.*?)\"\"\"', 1), chr(10), 1)) as feature from built",
     "gherkin_features": _GHERKIN + " select task_id, spec from features",
     "derive_bdd": BUILT + """ select task_id, 'bdd' as track, function_name, concat('{"task_id":"', task_id, '","function_name":"',
