@@ -83,22 +83,18 @@ def weighted(parts: dict[str, Column], weights: dict[str, float]) -> Column:
     return total
 
 
+# Halves of a hundredth whose nearest double lies below them, or that tie towards an
+# even digit: Python's round() takes these down, rounding of the decimal notation up.
+ROUNDED_DOWN = [k / 1000 for k in range(5, 1000, 10) if round(k / 1000, 2) < k / 1000]
+
+
 def round_cents(value: Column) -> Column:
-    """Two decimals, correctly rounded from the binary value with exact halves to even, as Python rounds.
+    """Two decimals as Python's round() gives them, for values in [0, 1].
 
-    For 0 <= value < 4 the double is read as a whole number of 2^-60 and the
-    hundredths are found by integer arithmetic in two 30-bit halves.
+    The engine rounds the shortest decimal notation, half up. The two differ only
+    where that notation ends in a 5 at the third decimal: the values listed above.
     """
-    low_bits = (1 << 30) - 1
-    units = (value * float(1 << 60)).cast("bigint")
-    low = units.bitwiseAND(F.lit(low_bits)) * 100
-    high = F.shiftright(units, 30) * 100 + F.shiftright(low, 30)
-    whole = F.shiftright(high, 30)
-    rest = F.shiftleft(high.bitwiseAND(F.lit(low_bits)), 30) + low.bitwiseAND(F.lit(low_bits))
-    half = F.lit(1 << 59)
-    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
-    exact = (whole + F.when(up, F.lit(1)).otherwise(F.lit(0))) / 100
-    return F.when(value.between(0.0, 3.99), exact).otherwise(F.round(value, 2))
+    return F.round(F.when(value.isin(*ROUNDED_DOWN), value - 0.001).otherwise(value), 2)
 
 
 def round_scaled(value: Column, digits: int) -> Column:

@@ -167,10 +167,26 @@ def check_lookback(log: DataFrame, stories: DataFrame, present_files: DataFrame,
         reason.isNull().alias("verified"), reason.alias("reason"))
 
 
+def _phrase_found(text: Column, phrase: str) -> Column:
+    """Plain words are searched for as such; ``a.*b`` is matched only where all its pieces occur."""
+    pieces = [p for p in phrase.lower().split(".*") if p]
+    here = F.contains(text, F.lit(pieces[0]))
+    for piece in pieces[1:]:
+        here = here & F.contains(text, F.lit(piece))
+    return here if len(pieces) == 1 else here & F.rlike(text, F.lit("(?d)" + phrase.lower()))
+
+
 def detect_phrases(df: DataFrame, column: str, phrases: list[str] = COMPLETION_PHRASES,
                    flag: str = "reported_complete") -> DataFrame:
-    """Adds whether any of the phrases (patterns) occurs, whatever the case."""
-    return df.withColumn(flag, F.rlike(F.col(column), F.lit("(?id)" + "|".join(phrases))))
+    """Adds whether any of the phrases occurs, whatever the case.
+
+    A phrase is plain words, or words with ``.*`` between them on one line.
+    """
+    text = F.lower(F.col(column))
+    found = F.lit(False)
+    for phrase in reversed(phrases):
+        found = _phrase_found(text, phrase) | found
+    return df.withColumn(flag, found)
 
 
 def retry_runs(log: DataFrame, limit: int = MAX_RETRIES, block: int = 1_000_000) -> DataFrame:

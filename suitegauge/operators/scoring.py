@@ -199,7 +199,7 @@ def to_envelope(summary: DataFrame, details: DataFrame | None = None, chunk: int
         parts = (
             details.withColumn("part", F.floor((F.col("ordinal") - 1) / chunk))
             .groupBy(*RUN, "part")
-            .agg(F.array_sort(F.collect_list(F.struct("ordinal", item.alias("d")))).alias("_ordered"))
+            .agg(F.sort_array(F.collect_list(F.struct("ordinal", item.alias("d")))).alias("_ordered"))
             .withColumn("_details", F.transform("_ordered", lambda x: x["d"]))
             .drop("_ordered")
         )

@@ -14,8 +14,8 @@ from suitegauge.operators.quality import computed_once
 # Headings and markers of a planning document. The repetitions are
 # possessive (they give nothing back), which matches the same lists without
 # recursing once per line.
-SECTION = r"(?s)#### Feature [0-9]+:.*?(?=#### Feature |\z)"
-SECTION_HEAD = r"^#### Feature ([0-9]+):"
+SECTION_MARK = "#### Feature "
+SECTION_NUMBER = r"^([0-9]+):"
 DESCRIPTION = r"(?s)\*\*Description\*\*:\s*(.+?)(?:\n\n|\*\*)"
 ACCEPTANCE = r"\*\*Acceptance Criteria\*\*:\s*\n((?:- \[[x ]\][^\n]++\n)++)"
 REQUIREMENTS = r"\*\*Technical Requirements\*\*:\s*\n((?:- [^\n]++\n)++)"
@@ -81,10 +81,13 @@ def extract_sections(docs: DataFrame, parents: tuple[int, ...] = FEATURES_WITH_S
     A number that occurs again replaces the earlier section. The acceptance list
     keeps its own repeats; requirements are added once each and only if new.
     """
-    found = F.transform(F.regexp_extract_all("text", F.lit(SECTION), F.lit(0)), lambda s, i: F.struct(
-        F.regexp_extract(s, SECTION_HEAD, 1).try_cast("int").alias("number"), i.alias("pos"),
-        F.regexp_replace(s, SECTION_HEAD, "").alias("content")))
-    ordered = computed_once(docs.select("doc_id", "text"), F.array_sort(found).alias("_ordered"))
+    # Text before the first mark, and marks without a number, only end the section before them.
+    pieces = F.split("text", SECTION_MARK)
+    numbered = F.filter(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.rlike(p, F.lit(SECTION_NUMBER)))
+    found = F.transform(numbered, lambda p, i: F.struct(
+        F.split_part(p, F.lit(":"), F.lit(1)).try_cast("int").alias("number"), i.alias("pos"),
+        F.substring(p, F.instr(p, ":") + 1, F.length(p)).alias("content")))
+    ordered = computed_once(docs.select("doc_id", "text"), F.sort_array(found).alias("_ordered"))
     kept = computed_once(ordered.select("doc_id", "_ordered"), _last_of_each(F.col("_ordered"), "number").alias("_kept"))
     rows = kept.select("doc_id", F.inline("_kept"))
     content, number = F.col("content"), F.col("number")
@@ -103,7 +106,7 @@ def extract_sections(docs: DataFrame, parents: tuple[int, ...] = FEATURES_WITH_S
 
 
 def _sorted_subsections(content: Column) -> Column:
-    return F.array_sort(F.transform(F.regexp_extract_all(content, F.lit(SUBSECTION), F.lit(0)), lambda s, i: F.struct(
+    return F.sort_array(F.transform(F.regexp_extract_all(content, F.lit(SUBSECTION), F.lit(0)), lambda s, i: F.struct(
         strip(F.regexp_extract(s, SUBSECTION_PARTS, 2)).alias("name"), i.alias("pos"),
         F.regexp_extract(s, SUBSECTION_PARTS, 1).alias("number"),
         F.regexp_extract(s, SUBSECTION_PARTS, 3).alias("body"))))
@@ -116,7 +119,7 @@ def _subsections(ordered: Column) -> Column:
         _checklist(last["body"]).alias("acceptance"),
         F.transform(_files(F.regexp_extract(last["body"], SUBSECTION_FILES, 1)),
                     lambda f: F.regexp_replace(f, r"\s*\([^)]+\)\s*$", "")).alias("files")))
-    return F.transform(F.array_sort(pairs), lambda s: F.struct(
+    return F.transform(F.sort_array(pairs), lambda s: F.struct(
         s["number"].alias("number"), s["name"].alias("name"),
         s["acceptance"].alias("acceptance"), s["files"].alias("files")))
 

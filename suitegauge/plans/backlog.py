@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from suitegauge.functions import text
 from suitegauge.operators import backlog, quality, sections
 from suitegauge.plans.fixtures import view, with_views
-from suitegauge.sources.tables import table
+from suitegauge.sources.tables import spread, table
 
 # Fixed value: the variable every service gets unless it sets its own.
 DEFAULT_ENVIRONMENT = {"PYTHONUNBUFFERED": "1"}
@@ -72,7 +72,7 @@ def retry_runs(spark, folder):
 
 
 def phrase_hits(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
     flagged = backlog.detect_phrases(documents, "text")
     return backlog.detect_phrases(flagged, "text", LICENSE_PHRASES, "names_license").drop("text")
 
@@ -101,7 +101,7 @@ def env_defaults(spark, folder):
 
 
 def _plans(spark, folder):
-    return view(spark, folder, "plans_v")
+    return spread(view(spark, folder, "plans_v"))
 
 
 def plan_sections(spark, folder):

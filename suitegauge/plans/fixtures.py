@@ -76,9 +76,11 @@ VIEWS: dict[str, str] = {
         from {lineitem}""",
     # Who was evaluated on what, and over how many tasks.
     "evaluations_v": f"""
-        select distinct cast(l_suppkey % 10 as int) as participant,
-          case when l_partkey % 2 = 0 then 'tdd' else 'bdd' end as track, {TASKS_PER_TRACK} as task_count
-        from {{lineitem}}""",
+        select distinct cast(s_suppkey % 10 as int) as participant, 'tdd' as track, {TASKS_PER_TRACK} as task_count
+        from {{supplier}}
+        union all
+        select distinct cast(s_suppkey % 10 as int) as participant, 'bdd' as track, {TASKS_PER_TRACK} as task_count
+        from {{supplier}}""",
     # Mutation logs.
     "logs_v": """
         select cast(o_custkey % 10 as int) as participant, cast(o_orderkey % 500 as int) as task_num, o_orderkey,

@@ -159,11 +159,8 @@ def _named(side: str) -> str:
 
 
 def cents(x: str) -> str:
-    """Two decimals from the binary value, exact halves to even."""
-    n = f"(cast(({x}) * 1152921504606846976 as hugeint) * 100)"
-    whole, rest = f"({n} // 1152921504606846976)", f"({n} % 1152921504606846976)"
-    return (f"(({whole} + case when {rest} > 576460752303423488 "
-            f"or ({rest} = 576460752303423488 and {whole} % 2 = 1) then 1 else 0 end) / 100)")
+    """Two decimals, correctly rounded from the binary value by number formatting."""
+    return f"cast(printf('%.2f', {x}) as double)"
 
 
 def _pairs_sql(runs: str, targets: tuple[str, ...]) -> str:
