@@ -1,4 +1,8 @@
-"""Columns for outcomes and scores."""
+"""Columns for outcomes and scores, built from SQL expressions over named inputs.
+
+Arguments are column names or SQL expressions; one parsed expression costs one
+call to the JVM, where chained column methods cost one each.
+"""
 
 from __future__ import annotations
 
@@ -18,95 +22,82 @@ FRACTION_KILLED = r"([0-9]+)/([0-9]+)\s+mutants?\s+killed"
 COUNT_KILLED = r"[Kk]illed[:\s]+([0-9]+)"
 COUNT_SURVIVED = r"[Ss]urvived[:\s]+([0-9]+)"
 
+# 0 none, 1 assertion, 2 infrastructure, 3 timeout: the positions of FAILURE_TYPES.
+FAILURE_CODE = (f"case when coalesce(timed_out, false) then {TIMEOUT} when exit_code = 0 then {NONE} "
+                f"when exit_code = 1 then {ASSERTION} else {INFRASTRUCTURE} end")
 
-def failure_code(exit_code: Column, timed_out: Column) -> Column:
-    """0 none, 1 assertion, 2 infrastructure, 3 timeout (the positions of FAILURE_TYPES)."""
-    return (
-        F.when(F.coalesce(timed_out, F.lit(False)), F.lit(TIMEOUT))
-        .when(exit_code == 0, F.lit(NONE))
-        .when(exit_code == 1, F.lit(ASSERTION))
-        .otherwise(F.lit(INFRASTRUCTURE))
-    )
+# Halves of a hundredth whose nearest double lies below them, or that tie towards an
+# even digit: Python's round() takes these down, rounding of the decimal notation up.
+ROUNDED_DOWN = [k / 1000 for k in range(5, 1000, 10) if round(k / 1000, 2) < k / 1000]
 
 
-def failure_type(code: Column) -> Column:
-    return F.get(F.array(*[F.lit(name) for name in FAILURE_TYPES]), code)
+def failure_type(code: str) -> Column:
+    names = ", ".join(f"'{name}'" for name in FAILURE_TYPES)
+    return F.expr(f"get(array({names}), {code})")
 
 
-def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("bigint")
+def _number(text: str, pattern: str, group: int = 1) -> str:
+    return f"try_cast(nullif(regexp_extract({text}, r'{pattern}', {group}), '') as bigint)"
 
 
-def mutation_marks(output: Column) -> Column:
+def mutation_marks(output: str) -> Column:
     """The numbers a log holds: fraction (_part of _whole) and single counts; null where absent."""
-    return F.struct(
-        _number(output, FRACTION_KILLED, 1).alias("_part"), _number(output, FRACTION_KILLED, 2).alias("_whole"),
-        _number(output, COUNT_KILLED, 1).alias("_killed"), _number(output, COUNT_SURVIVED, 1).alias("_survived"))
+    return F.expr(f"""named_struct(
+        '_part', {_number(output, FRACTION_KILLED, 1)}, '_whole', {_number(output, FRACTION_KILLED, 2)},
+        '_killed', {_number(output, COUNT_KILLED)}, '_survived', {_number(output, COUNT_SURVIVED)})""")
 
 
-def mutation_counts(error: Column) -> dict[str, Column]:
+def mutation_counts(error: str) -> dict[str, str]:
     """killed, survived, total from the marks: the fraction, else the two counts, else killed alone, else zeros.
 
     A run that ended in an error counts as zeros whatever its log says.
     """
-    part, whole = F.col("_part"), F.col("_whole")
-    killed, survived = F.col("_killed"), F.coalesce("_survived", F.lit(0))
-    zero = F.lit(0).cast("bigint")
 
-    def choose(from_fraction: Column, from_counts: Column) -> Column:
-        return (F.when(error.isNotNull(), zero).when(part.isNotNull() & whole.isNotNull(), from_fraction)
-                .when(killed.isNotNull(), from_counts).otherwise(zero))
+    def choose(from_fraction: str, from_counts: str) -> str:
+        return (f"case when {error} is not null then 0L when _part is not null and _whole is not null then {from_fraction} "
+                f"when _killed is not null then {from_counts} else 0L end")
 
-    return {"killed": choose(part, killed), "survived": choose(whole - part, survived),
-            "total": choose(whole, killed + survived)}
+    return {"killed": choose("_part", "_killed"), "survived": choose("_whole - _part", "coalesce(_survived, 0L)"),
+            "total": choose("_whole", "_killed + coalesce(_survived, 0L)")}
 
 
-def mutation_score(killed: Column, total: Column) -> Column:
-    return F.when(total > 0, killed / total).otherwise(F.lit(0.0))
+def mutation_score(killed: str, total: str) -> Column:
+    return F.expr(f"case when {total} > 0 then {killed} / {total} else 0D end")
 
 
-def multi_class_counts(summary: Column) -> Column:
+def multi_class_counts(summary: str) -> Column:
     """Counts of a four-class summary; suspicious and timed-out mutants stay outside the score."""
-
-    def count(label: str) -> Column:
-        return F.coalesce(_number(summary, rf"(?i)\b{label}[:\s]+([0-9]+)", 1), F.lit(0))
-
-    return F.struct(*[count(label).alias(label) for label in ("killed", "survived", "suspicious", "timeout")])
+    fields = ", ".join(
+        "'%s', coalesce(%s, 0L)" % (label, _number(summary, rf"(?i)\b{label}[:\s]+([0-9]+)"))
+        for label in ("killed", "survived", "suspicious", "timeout"))
+    return F.expr(f"named_struct({fields})")
 
 
-def weighted(parts: dict[str, Column], weights: dict[str, float]) -> Column:
+def weighted(parts: dict[str, str], weights: dict[str, float]) -> str:
     """Weighted sum; missing parts count as 0."""
-    total = None
-    for name, weight in weights.items():
-        term = F.lit(weight) * F.coalesce(parts[name], F.lit(0.0))
-        total = term if total is None else total + term
-    return total
-
-
-# Halves of a hundredth whose nearest double lies below them, or that tie towards an
-# even digit: Python's round() takes these down, rounding of the decimal notation up.
-ROUNDED_DOWN = [k / 1000 for k in range(5, 1000, 10) if round(k / 1000, 2) < k / 1000]
+    return " + ".join(f"{float(weight)!r}D * coalesce({parts[name]}, 0D)" for name, weight in weights.items())
 
 
-def round_cents(value: Column) -> Column:
+def round_cents(value: str) -> Column:
     """Two decimals as Python's round() gives them, for values in [0, 1].
 
     The engine rounds the shortest decimal notation, half up. The two differ only
     where that notation ends in a 5 at the third decimal: the values listed above.
     """
-    return F.round(F.when(value.isin(*ROUNDED_DOWN), value - 0.001).otherwise(value), 2)
+    down = ", ".join(f"{v!r}D" for v in ROUNDED_DOWN)
+    return F.expr(f"round(case when ({value}) in ({down}) then ({value}) - 0.001D else ({value}) end, 2)")
 
 
-def round_scaled(value: Column, digits: int) -> Column:
+def round_scaled(value: str, digits: int) -> Column:
     """Scale, round halves away from zero, scale back: how the leaderboard's SQL dialect rounds doubles."""
-    factor = float(10 ** digits)
-    return F.round(value * factor) / factor
+    factor = f"{float(10 ** digits)!r}D"
+    return F.expr(f"round(({value}) * {factor}) / {factor}")
 
 
-def composite(mutation: Column, fault_detection: Column, weights: dict[str, float] = WEIGHTS) -> Column:
+def composite(mutation: str, fault_detection: str, weights: dict[str, float] = WEIGHTS) -> Column:
     """Weighted sum to two decimals."""
     return round_cents(weighted({"mutation_score": mutation, "fault_detection_rate": fault_detection}, weights))
 
 
-def in_unit(value: Column) -> Column:
-    return value.isNotNull() & value.between(0.0, 1.0)
+def in_unit(value: str) -> str:
+    return f"({value} is not null and {value} between 0D and 1D)"

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from suitegauge.functions import scoring as S
 from suitegauge.functions.text import strip
 from suitegauge.operators.quality import computed_once
+from suitegauge.session import keep
 
 SCENARIO = r"(?m)^\s*Scenario(?: Outline)?:[ \t]*([^\n]*)"
 REQUIREMENT = r">>>\s+\w+\([^)]+\)\n\s+\S+"
@@ -44,12 +45,11 @@ def impl_independence(pairs: DataFrame) -> DataFrame:
 
     ``pairs`` comes from ``pair_runs`` with the third target ``alternative``.
     """
-    ok = F.coalesce(F.col("alternative_code") == S.NONE, F.lit(False))
-    return pairs.withColumn("impl_independence", ok.cast("double"))
+    return pairs.selectExpr("*", f"cast(coalesce(alternative_code = {S.NONE}, false) as double) as impl_independence")
 
 
 def composite4(df: DataFrame, weights: dict[str, float] = S.FOUR_WEIGHTS) -> DataFrame:
-    return df.withColumn("composite4", S.round_cents(S.weighted({n: F.col(n) for n in weights}, weights)))
+    return df.withColumn("composite4", S.round_cents(S.weighted({name: name for name in weights}, weights)))
 
 
 def baseline_delta(agent: DataFrame, baseline: DataFrame, measure: str) -> DataFrame:
@@ -59,30 +59,53 @@ def baseline_delta(agent: DataFrame, baseline: DataFrame, measure: str) -> DataF
     return a.join(b, ["track", "ordinal"]).withColumn("delta", F.col("agent_value") - F.col("baseline_value"))
 
 
+QUANTILES = (500, 950, 990)
+"""Wanted quantiles in thousandths."""
+
+
 def latency_summary(runs: DataFrame, by: list[str], value: str = "execution_time", label: str = "run_id",
                     accuracy: int = 10_000) -> DataFrame:
-    """Mean, quantiles, extremes and the slowest entry per group.
+    """Mean, exact quantiles (the smallest value whose share reaches p), extremes and the slowest entry per group.
 
-    Quantiles come from mergeable sketches of bounded size (rank error at most
-    1/accuracy; exact while a group has no more distinct values than that).
-    Among equally slow entries the smallest label is named.
+    A mergeable sketch of bounded size brackets each quantile; the second pass
+    counts the rows below a bracket and gathers, by distinct value, only those
+    inside it, about ten in ``accuracy`` of a group. Among equally slow entries
+    the smallest label is named.
     """
-    marks = F.percentile_approx(value, F.array(*map(F.lit, (0.5, 0.95, 0.99))), F.lit(accuracy))
-    stats = runs.groupBy(*by).agg(
-        F.avg(value).alias("avg_latency"), marks.alias("_q"), F.min(value).alias("min_latency"),
-        F.max(value).alias("max_latency"), F.count("*").alias("total_steps"),
-        F.max_by(F.col(label), F.struct(F.col(value), -F.col(label))).alias("slowest"))
-    return stats.select(
-        *by, "avg_latency", F.get("_q", F.lit(0)).alias("p50_latency"), F.get("_q", F.lit(1)).alias("p95_latency"),
-        F.get("_q", F.lit(2)).alias("p99_latency"), "min_latency", "max_latency", "total_steps", "slowest")
+    slack = 10 / accuracy
+    edges = [max(q / 1000 - slack, 0.0) for q in QUANTILES] + [min(q / 1000 + slack, 1.0) for q in QUANTILES]
+    n = len(QUANTILES)
+    sketch = ", ".join(f"{e!r}D" for e in edges)
+    # Written once: the second pass reads it in several places, and its size on disk
+    # lets the planner broadcast it when it is small and shuffle when it is not.
+    stats = keep(runs.groupBy(*by).agg(*[F.expr(sql) for sql in (
+        f"avg({value}) as avg_latency", f"min({value}) as min_latency", f"max({value}) as max_latency",
+        f"count({value}) as total_steps", f"max_by({label}, struct({value}, -{label})) as slowest",
+        f"percentile_approx({value}, array({sketch}), {accuracy}) as _edges")]), "latency")
+    brackets = stats.selectExpr(*by, "_edges", *[f"(total_steps * {q} + 999) div 1000 as _target{i}"
+                                                 for i, q in enumerate(QUANTILES)])
+    rows = runs.select(*by, F.col(value).alias("_v")).join(brackets, by)
+    below = rows.groupBy(*by).agg(*[F.expr(f"count_if(_v < _edges[{i}]) as _below{i}") for i in range(n)])
+    within = [f"_v between _edges[{i}] and _edges[{i + n}]" for i in range(n)]
+    marks = ", ".join(f"struct({i} as _i, {w} as _in)" for i, w in enumerate(within))
+    inside = (
+        rows.filter(" or ".join(within)).selectExpr(*by, "_v", f"inline(array({marks}))").filter("_in")
+        .groupBy(*by, "_i", "_v").agg(F.expr("count(*) as _n"))
+        .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by, "_i").orderBy("_v")))
+    )
+    targets = brackets.join(below, by).selectExpr(
+        *by, *[f"_target{i} - _below{i} as _need{i}" for i in range(n)])
+    found = inside.join(targets, by).groupBy(*by).agg(*[
+        F.expr(f"min(case when _i = {i} and _upto >= _need{i} then _v end) as p{QUANTILES[i] // 10}_latency")
+        for i in range(n)])
+    return stats.drop("_edges").join(found, by, "left")
 
 
 def multi_class_mutation(summaries: DataFrame, column: str = "summary") -> DataFrame:
     """Adds the four counts and killed / (killed + survived)."""
-    counted = computed_once(summaries, S.multi_class_counts(F.col(column)).alias("_c"))
-    killed, survived = F.col("_c.killed"), F.col("_c.survived")
+    counted = computed_once(summaries, S.multi_class_counts(column).alias("_c"))
     return counted.select(*summaries.columns, "_c.*",
-                          S.mutation_score(killed, killed + survived).alias("mutation_score"))
+                          S.mutation_score("_c.killed", "(_c.killed + _c.survived)").alias("mutation_score"))
 
 
 def track_comparison(details: DataFrame, measures: tuple[str, ...] = ("mutation_score", "fault_detection_rate")) -> DataFrame:

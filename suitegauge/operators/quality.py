@@ -53,7 +53,7 @@ def all_violations(df: DataFrame, rules: Rules, column: str = "violations") -> D
 
 
 def unit_range_rule(name: str) -> tuple[str, Column]:
-    return f"{name} outside [0, 1]", ~scoring.in_unit(F.col(name))
+    return f"{name} outside [0, 1]", F.expr("not " + scoring.in_unit(name))
 
 
 def track_rule(name: str = "track") -> tuple[str, Column]:

@@ -15,24 +15,21 @@ from suitegauge.schemas import FAILURE_TYPES
 
 KEYS = ("participant", "track", "ordinal")
 RUN = ("participant", "track")
-_EXACT = "decimal(18,15)"
 
 
 def classify_runs(runs: DataFrame) -> DataFrame:
     """Adds failure_type and passed; a timeout counts as exit code 1."""
-    code = S.failure_code(F.col("exit_code"), F.col("timed_out"))
-    return (
-        runs.withColumn("failure_type", S.failure_type(code))
-        .withColumn("passed", code == S.NONE)
-        .withColumn("exit_code", F.when(F.coalesce("timed_out", F.lit(False)), F.lit(1)).otherwise(F.col("exit_code")))
-    )
+    return runs.withColumns({
+        "failure_type": S.failure_type(S.FAILURE_CODE),
+        "passed": F.expr(f"{S.FAILURE_CODE} = {S.NONE}"),
+        "exit_code": F.expr("case when coalesce(timed_out, false) then 1 else exit_code end"),
+    })
 
 
 def failure_breakdown(runs: DataFrame, *by: str) -> DataFrame:
     """Runs per failure class as columns: one aggregation, no pivot pass."""
-    code = S.failure_code(F.col("exit_code"), F.col("timed_out"))
     return runs.groupBy(*by).agg(*[
-        F.count_if(code == position).alias(f"n_{name}") for position, name in enumerate(FAILURE_TYPES)])
+        F.expr(f"count_if({S.FAILURE_CODE} = {position}) as n_{name}") for position, name in enumerate(FAILURE_TYPES)])
 
 
 def pair_runs(runs: DataFrame, targets: tuple[str, ...] = ("correct", "buggy")) -> DataFrame:
@@ -42,24 +39,17 @@ def pair_runs(runs: DataFrame, targets: tuple[str, ...] = ("correct", "buggy"))
     of these wins; on equal times the graver class. All buffers are fixed-width,
     so this is a hash aggregation with a map-side part and no self-join.
     """
-    code = S.failure_code(F.col("exit_code"), F.col("timed_out"))
-    slots = [(t, k, f"_{t}_{k}") for t in targets for k in range(len(FAILURE_TYPES))]
+    codes = range(len(FAILURE_TYPES))
     latest = runs.groupBy(*KEYS).agg(*[
-        F.max(F.when((F.col("target") == t) & (code == k), F.col("ts"))).alias(slot) for t, k, slot in slots])
-
-    def winner(target: str) -> Column:
-        mine = [(k, F.col(slot)) for t, k, slot in slots if t == target]
-        newest = F.greatest(*[c for _, c in mine])
-        chosen = F.lit(None).cast("int")
-        for k, c in mine:
-            chosen = F.when(c == newest, F.lit(k)).otherwise(chosen)
-        return chosen.alias(f"{target}_code")
+        F.expr(f"max(case when target = '{t}' and {S.FAILURE_CODE} = {k} then ts end) as _{t}_{k}")
+        for t in targets for k in codes])
 
-    return latest.select(*KEYS, *[winner(t) for t in targets])
+    def winner(target: str) -> str:
+        newest = "greatest(" + ", ".join(f"_{target}_{k}" for k in codes) + ")"
+        cases = " ".join(f"when _{target}_{k} = {newest} then {k}" for k in reversed(codes))
+        return f"case {cases} end as {target}_code"
 
-
-def _passed(target: str) -> Column:
-    return F.coalesce(F.col(f"{target}_code") == S.NONE, F.lit(False))
+    return latest.selectExpr(*KEYS, *[winner(t) for t in targets])
 
 
 def with_fault_detection(pairs: DataFrame, mode: str = "reference") -> DataFrame:
@@ -69,30 +59,29 @@ def with_fault_detection(pairs: DataFrame, mode: str = "reference") -> DataFrame
     for whatever reason. ``strict``: the buggy side must have failed an assertion.
     A missing side scores 0.
     """
-    if mode not in ("reference", "strict"):
+    failed = {"reference": f"buggy_code <> {S.NONE}", "strict": f"buggy_code = {S.ASSERTION}"}
+    if mode not in failed:
         raise ValueError(f"unknown mode {mode!r}")
-    both = F.col("correct_code").isNotNull() & F.col("buggy_code").isNotNull()
-    failed = F.col("buggy_code") != S.NONE if mode == "reference" else F.col("buggy_code") == S.ASSERTION
-    return (
-        pairs.withColumn("passed_correct", both & _passed("correct"))
-        .withColumn("failed_buggy", F.coalesce(both & failed, F.lit(False)))
-        .withColumn("fault_detection_rate", (F.col("passed_correct") & F.col("failed_buggy")).cast("double"))
-    )
+    passed_correct = f"coalesce(correct_code = {S.NONE} and buggy_code is not null, false)"
+    failed_buggy = f"coalesce(correct_code is not null and {failed[mode]}, false)"
+    return pairs.selectExpr(
+        "*", f"{passed_correct} as passed_correct", f"{failed_buggy} as failed_buggy",
+        f"cast({passed_correct} and {failed_buggy} as double) as fault_detection_rate")
 
 
 def parse_mutation_logs(logs: DataFrame) -> DataFrame:
     """Adds killed, survived, total and mutation_score; zeros where the run ended in an error."""
-    marked = logs.select("*", F.inline(F.array(S.mutation_marks(F.col("output")))))
-    counted = marked.select(*logs.columns, *[c.alias(n) for n, c in S.mutation_counts(F.col("error")).items()])
-    return counted.withColumn("mutation_score", S.mutation_score(F.col("killed"), F.col("total")))
+    marked = logs.select("*", F.inline(F.array(S.mutation_marks("output"))))
+    counted = marked.selectExpr(*logs.columns, *[f"{sql} as {name}" for name, sql in S.mutation_counts("error").items()])
+    return counted.withColumn("mutation_score", S.mutation_score("killed", "total"))
 
 
 def mutation_per_task(parsed: DataFrame) -> DataFrame:
     """Best in-range score per task; mutation_valid is false when a task has only out-of-range ones."""
-    good = S.in_unit(F.col("mutation_score"))
+    good = S.in_unit("mutation_score")
     return parsed.groupBy(*KEYS).agg(
-        F.max(F.when(good, F.col("mutation_score"))).alias("mutation_score"),
-        F.max(good).alias("mutation_valid"))
+        F.expr(f"max(case when {good} then mutation_score end) as mutation_score"),
+        F.expr(f"max({good}) as mutation_valid"))
 
 
 def task_outcomes(pairs: DataFrame, mutations: DataFrame, mode: str = "reference") -> DataFrame:
@@ -101,18 +90,13 @@ def task_outcomes(pairs: DataFrame, mutations: DataFrame, mode: str = "reference
     A task with a side missing or an out-of-range mutation score is a zero row.
     """
     joined = with_fault_detection(pairs, mode).join(mutations, list(KEYS), "left")
-    usable = (F.col("correct_code").isNotNull() & F.col("buggy_code").isNotNull()
-              & F.coalesce("mutation_valid", F.lit(True)))
-    mutation = F.when(usable, F.coalesce("mutation_score", F.lit(0.0))).otherwise(F.lit(0.0))
-    detection = F.when(usable, F.col("fault_detection_rate")).otherwise(F.lit(0.0))
-    return joined.select(
+    usable = "(correct_code is not null and buggy_code is not null and coalesce(mutation_valid, true))"
+    scored = joined.selectExpr(
         *KEYS,
-        mutation.alias("mutation_score"),
-        detection.alias("fault_detection_rate"),
-        S.composite(mutation, detection).alias("composite_score"),
-        (usable & F.col("passed_correct")).alias("passed_correct"),
-        (usable & F.col("failed_buggy")).alias("failed_buggy"),
-    )
+        f"case when {usable} then coalesce(mutation_score, 0D) else 0D end as mutation_score",
+        f"case when {usable} then fault_detection_rate else 0D end as fault_detection_rate",
+        f"{usable} and passed_correct as passed_correct", f"{usable} and failed_buggy as failed_buggy")
+    return scored.withColumn("composite_score", S.composite("mutation_score", "fault_detection_rate"))
 
 
 def expected_tasks(evaluations: DataFrame, block: int = 10_000) -> DataFrame:
@@ -131,53 +115,45 @@ def expected_tasks(evaluations: DataFrame, block: int = 10_000) -> DataFrame:
 
 def task_details(evaluations: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Every expected task of every run; those without a usable result as zero rows."""
-    zero, false = F.lit(0.0), F.lit(False)
-    return expected_tasks(evaluations).join(outcomes, list(KEYS), "left").select(
-        *KEYS,
-        F.format_string("task_%03d", "ordinal").alias("task_id"),
-        F.coalesce("mutation_score", zero).alias("mutation_score"),
-        F.coalesce("fault_detection_rate", zero).alias("fault_detection_rate"),
-        F.coalesce("composite_score", zero).alias("composite_score"),
-        F.coalesce("passed_correct", false).alias("passed_correct"),
-        F.coalesce("failed_buggy", false).alias("failed_buggy"),
-    )
+    scores = ("mutation_score", "fault_detection_rate", "composite_score")
+    return expected_tasks(evaluations).join(outcomes, list(KEYS), "left").selectExpr(
+        *KEYS, "format_string('task_%03d', ordinal) as task_id",
+        *[f"coalesce({c}, 0D) as {c}" for c in scores],
+        *[f"coalesce({c}, false) as {c}" for c in ("passed_correct", "failed_buggy")])
 
 
 def _sums() -> list[Column]:
     # Decimal sums do not depend on the order rows arrive in, so reruns agree to the last bit.
-    return [
-        F.sum(F.col("mutation_score").cast(_EXACT)).alias("_mutation"),
-        F.sum("fault_detection_rate").alias("_detection"),
-        F.count_if(F.col("passed_correct") & F.col("failed_buggy")).alias("_passed"),
-    ]
+    return [F.expr(sql) for sql in (
+        "sum(cast(mutation_score as decimal(18,15))) as _mutation",
+        "sum(fault_detection_rate) as _detection",
+        "count_if(passed_correct and failed_buggy) as _passed")]
 
 
 def _summary(frame: DataFrame) -> DataFrame:
-    n = F.col("task_count")
-
-    def mean(total: str) -> Column:
-        return F.when(n > 0, F.coalesce(F.col(total).cast("double"), F.lit(0.0)) / n).otherwise(F.lit(0.0))
+    # Rounding at the twelfth decimal keeps a sum of thirds from tipping an exact half.
+    def mean(total: str, name: str) -> str:
+        return (f"case when task_count > 0 then round(coalesce(cast({total} as double), 0D) / task_count, 12) "
+                f"else 0D end as {name}")
 
-    return frame.select(
-        *RUN,
-        mean("_mutation").alias("mutation_score"),
-        mean("_detection").alias("fault_detection_rate"),
-        mean("_passed").alias("pass_rate"),
-        n.cast("bigint").alias("task_count"),
-    ).withColumn("score", S.composite(F.col("mutation_score"), F.col("fault_detection_rate")))
+    return frame.selectExpr(
+        *RUN, mean("_mutation", "mutation_score"), mean("_detection", "fault_detection_rate"),
+        mean("_passed", "pass_rate"), "cast(task_count as bigint) as task_count",
+    ).withColumn("score", S.composite("mutation_score", "fault_detection_rate"))
 
 
 def summarize_runs(details: DataFrame) -> DataFrame:
     """Means per run over its detail rows; the score is the composite of the means."""
-    return _summary(details.groupBy(*RUN).agg(*_sums(), F.count("*").alias("task_count")))
+    return _summary(details.groupBy(*RUN).agg(*_sums(), F.expr("count(*) as task_count")))
 
 
 def summarize_outcomes(evaluations: DataFrame, outcomes: DataFrame) -> DataFrame:
     """The same summary without making the zero rows: sums over tasks that ran, divided by task_count.
 
-    Outcomes beyond a run's task_count are outside the run and ignored.
+    Outcomes beyond a run's task_count are outside the run and ignored. A run with
+    very many tasks is folded where its rows are, before the second join.
     """
-    within = outcomes.join(evaluations, list(RUN)).filter(F.col("ordinal").between(1, F.col("task_count")))
+    within = outcomes.join(evaluations, list(RUN)).filter("ordinal between 1 and task_count")
     sums = within.groupBy(*RUN).agg(*_sums())
     return _summary(evaluations.join(sums, list(RUN), "left"))
 
@@ -189,28 +165,25 @@ def to_envelope(summary: DataFrame, details: DataFrame | None = None, chunk: int
     continues in further parts with the same head, so no row or task holds an
     unbounded list and no detail is left out. Without ``details`` the lists are empty.
     """
-    item = F.struct("task_id", "mutation_score", "fault_detection_rate", "composite_score",
-                    "passed_correct", "failed_buggy")
-    empty = F.array().cast("array<struct<task_id:string,mutation_score:double,fault_detection_rate:double,"
-                           "composite_score:double,passed_correct:boolean,failed_buggy:boolean>>")
+    fields = ("task_id", "mutation_score", "fault_detection_rate", "composite_score", "passed_correct", "failed_buggy")
+    empty = ("cast(array() as array<struct<task_id:string,mutation_score:double,fault_detection_rate:double,"
+             "composite_score:double,passed_correct:boolean,failed_buggy:boolean>>)")
     if details is None:
-        joined = summary.withColumn("part", F.lit(0).cast("bigint")).withColumn("_details", empty)
+        joined = summary.selectExpr("*", "0L as part", f"{empty} as _details")
     else:
+        item = "named_struct(" + ", ".join(f"'{f}', {f}" for f in fields) + ")"
         parts = (
-            details.withColumn("part", F.floor((F.col("ordinal") - 1) / chunk))
-            .groupBy(*RUN, "part")
-            .agg(F.sort_array(F.collect_list(F.struct("ordinal", item.alias("d")))).alias("_ordered"))
-            .withColumn("_details", F.transform("_ordered", lambda x: x["d"]))
-            .drop("_ordered")
+            details.selectExpr(*RUN, "ordinal", f"{item} as d", f"floor((ordinal - 1) / {chunk}) as part")
+            .groupBy(*RUN, "part").agg(F.expr("sort_array(collect_list(struct(ordinal, d))) as _ordered"))
+            .selectExpr(*RUN, "part", "transform(_ordered, x -> x.d) as _details")
         )
-        joined = summary.join(parts, list(RUN), "left").withColumn("part", F.coalesce("part", F.lit(0)))
-    rewards = F.struct("mutation_score", "fault_detection_rate", "track", "task_count")
-    result = F.struct(
-        "score", "pass_rate", rewards.alias("task_rewards"),
-        F.struct(F.coalesce("_details", empty).alias("task_details")).alias("detail"))
-    return joined.select(
-        F.create_map(F.lit("agent"), F.col("participant").cast("string")).alias("participants"),
-        F.array(result).alias("results"), "part")
+        joined = summary.join(parts, list(RUN), "left")
+    return joined.selectExpr(
+        "map('agent', cast(participant as string)) as participants",
+        f"""array(named_struct('score', score, 'pass_rate', pass_rate,
+            'task_rewards', struct(mutation_score, fault_detection_rate, track, task_count),
+            'detail', named_struct('task_details', coalesce(_details, {empty})))) as results""",
+        "coalesce(part, 0L) as part")
 
 
 def with_trace(documents: DataFrame, started: str, ended: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from suitegauge.sources.tables import table
+from suitegauge.sources.tables import SCHEMAS, table
 
 TASKS_PER_TRACK = 250
 
@@ -199,12 +199,8 @@ VIEWS: dict[str, str] = {
         from {customer}""",
 }
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
-          "embeddings", "pages", "benchmark", "labels", "conversations")
-
-
 def _inputs(sql: str) -> list[str]:
-    return [name for name in TABLES if "{" + name + "}" in sql]
+    return [name for name in SCHEMAS if "{" + name + "}" in sql]
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:

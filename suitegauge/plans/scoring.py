@@ -47,7 +47,7 @@ def failure_breakdown(spark, folder):
 
 def run_pairs(spark, folder):
     return pairs(spark, folder).select(*scoring.KEYS, *[
-        F.coalesce(failure_type(F.col(f"{side}_code")), F.lit("never run")).alias(side) for side in ("correct", "buggy")])
+        F.coalesce(failure_type(f"{side}_code"), F.lit("never run")).alias(side) for side in ("correct", "buggy")])
 
 
 def fault_detection(spark, folder):
@@ -209,8 +209,9 @@ details as (select g.participant, g.track, g.ordinal, printf('task_%03d', g.ordi
     coalesce(failed_buggy, false) as failed_buggy
   from grid g left join outcomes o using (participant, track, ordinal)),
 summary as (select *, {cents("0.6::double * mutation_score + 0.4::double * fault_detection_rate")} as score from (
-  select participant, track, avg(mutation_score) as mutation_score, avg(fault_detection_rate) as fault_detection_rate,
-    avg(case when passed_correct and failed_buggy then 1.0::double else 0.0::double end) as pass_rate,
+  select participant, track, round(avg(mutation_score), 12) as mutation_score,
+    round(avg(fault_detection_rate), 12) as fault_detection_rate,
+    round(avg(case when passed_correct and failed_buggy then 1.0::double else 0.0::double end), 12) as pass_rate,
     count(*) as task_count from details group by participant, track))
 """
 

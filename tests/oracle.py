@@ -7,12 +7,12 @@ import math
 import duckdb
 import pandas as pd
 
-from suitegauge.plans.fixtures import TABLES
+from suitegauge.sources.tables import SCHEMAS
 
 
 def engine(folder: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
-    for name in TABLES:
+    for name in SCHEMAS:
         connection.execute(f"create view {name} as select * from '{folder}/{name}.parquet'")
     return connection
 
