@@ -203,7 +203,7 @@ def retry_runs(log: DataFrame, limit: int = MAX_RETRIES, block: int = 1_000_000)
     """
     in_block = Window.partitionBy("_block").orderBy("seq")
     rows = (
-        log.select("story_id", "seq", "is_retry", F.floor(F.col("seq") / block).alias("_block"))
+        log.select("story_id", "seq", "is_retry", F.expr(f"seq div {block} as _block"))
         .withColumn("_before", F.lag("story_id").over(in_block))
         .withColumn("_is_first", F.row_number().over(in_block) == 1)
         .withColumn("_start", F.when(~F.col("_is_first") & ~F.col("_before").eqNullSafe(F.col("story_id")), F.col("seq")))

@@ -105,12 +105,11 @@ def expected_tasks(evaluations: DataFrame, block: int = 10_000) -> DataFrame:
     Numbers come in blocks that are spread before they are spelled out, so one
     very long run is not produced by one task.
     """
-    blocks = evaluations.filter("task_count > 0").select(
-        *RUN, "task_count",
-        F.explode(F.sequence(F.lit(0), F.floor((F.col("task_count") - 1) / block).cast("int"))).alias("_block"))
-    low = F.col("_block").cast("bigint") * block
-    return blocks.repartition(*RUN, "_block").select(
-        *RUN, F.explode(F.sequence(low + 1, F.least(low + block, F.col("task_count").cast("bigint")))).alias("ordinal"))
+    blocks = evaluations.filter("task_count > 0").selectExpr(
+        *RUN, "cast(task_count as bigint) as task_count",
+        f"explode(sequence(0L, (task_count - 1) div {block})) as _block")
+    return blocks.repartition(*RUN, "_block").selectExpr(*RUN, f"""explode(sequence(
+        _block * {block} + 1, least((_block + 1) * {block}, task_count))) as ordinal""")
 
 
 def task_details(evaluations: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -173,7 +172,7 @@ def to_envelope(summary: DataFrame, details: DataFrame | None = None, chunk: int
     else:
         item = "named_struct(" + ", ".join(f"'{f}', {f}" for f in fields) + ")"
         parts = (
-            details.selectExpr(*RUN, "ordinal", f"{item} as d", f"floor((ordinal - 1) / {chunk}) as part")
+            details.selectExpr(*RUN, "ordinal", f"{item} as d", f"(ordinal - 1) div {chunk} as part")
             .groupBy(*RUN, "part").agg(F.expr("sort_array(collect_list(struct(ordinal, d))) as _ordered"))
             .selectExpr(*RUN, "part", "transform(_ordered, x -> x.d) as _details")
         )

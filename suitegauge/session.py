@@ -17,10 +17,11 @@ LOCAL_SETTINGS = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str = "suitegauge") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str = "suitegauge",
+                  **settings: str) -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
-    for key, value in LOCAL_SETTINGS.items():
+    for key, value in {**LOCAL_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     spark = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions)).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
