@@ -22,7 +22,7 @@ def strip(text: Column) -> Column:
 
 
 def first_line(text: Column) -> Column:
-    return strip(F.split_part(text, F.lit("\n"), F.lit(1)))
+    return strip(F.substring_index(text, "\n", 1))
 
 
 def task_id(ordinal: Column, function_name: Column) -> Column:
@@ -91,7 +91,7 @@ def examples(spec: Column) -> Column:
 
 def call_arguments(call: Column, name: Column) -> Column:
     """Text between ``name(`` at the start and the last ``)`` of that line, else ''."""
-    line = F.split_part(call, F.lit("\n"), F.lit(1))
+    line = F.substring_index(call, "\n", 1)
     rest = F.substring(line, F.length(name) + 2, F.length(line))
     from_end = F.instr(F.reverse(rest), ")")
     return F.when(

@@ -176,13 +176,15 @@ def to_envelope(summary: DataFrame, details: DataFrame | None = None, chunk: int
             .groupBy(*RUN, "part").agg(F.expr("sort_array(collect_list(struct(ordinal, d))) as _ordered"))
             .selectExpr(*RUN, "part", "transform(_ordered, x -> x.d) as _details")
         )
-        joined = summary.join(parts, list(RUN), "left")
+        # A long run has many parts; joining on the part number too keeps the keys unique and even.
+        heads = summary.selectExpr("*", f"explode(sequence(0L, greatest(task_count - 1, 0) div {chunk})) as part")
+        joined = heads.join(parts, [*RUN, "part"], "left")
     return joined.selectExpr(
         "map('agent', cast(participant as string)) as participants",
         f"""array(named_struct('score', score, 'pass_rate', pass_rate,
             'task_rewards', struct(mutation_score, fault_detection_rate, track, task_count),
             'detail', named_struct('task_details', coalesce(_details, {empty})))) as results""",
-        "coalesce(part, 0L) as part")
+        "part")
 
 
 def with_trace(documents: DataFrame, started: str, ended: str) -> DataFrame:

@@ -44,26 +44,24 @@ KEYWORD_RULES = [
 FEATURES_BROKEN_DOWN_BY_HAND = 2
 
 
-def _lines(block: Column) -> Column:
-    return F.filter(F.transform(F.split(block, "\n"), strip), lambda line: line != "")
+def _items(content: Column, block: str, item: str) -> Column:
+    """Group 1 of ``item`` on each line of the list that ``block`` finds, stripped, without empty ones."""
+    found = F.regexp_extract_all(F.regexp_extract(content, block, 1), F.lit(item), F.lit(1))
+    return F.filter(F.transform(found, strip), lambda text: text != "")
 
 
 def _checklist(content: Column) -> Column:
-    items = F.filter(_lines(F.regexp_extract(content, ACCEPTANCE, 1)), lambda line: F.startswith(line, F.lit("- [")))
-    bare = F.transform(items, lambda line: F.regexp_replace(line, r"^- \[[x ]\]\s*", ""))
-    return F.filter(bare, lambda item: item != "")
+    return _items(content, ACCEPTANCE, r"(?m)^- \[[x ]\][^\S\n]*([^\n]*)")
 
 
 def _requirements(content: Column) -> Column:
-    items = F.filter(_lines(F.regexp_extract(content, REQUIREMENTS, 1)), lambda line: F.startswith(line, F.lit("- ")))
-    bare = F.transform(items, lambda line: strip(F.substring(line, F.lit(3), F.length(line))))
-    return F.filter(bare, lambda item: item != "")
+    return _items(content, REQUIREMENTS, r"(?m)^- ([^\n]*)")
 
 
-def _files(block: Column) -> Column:
-    quoted = F.transform(_lines(block), lambda line: F.regexp_extract(line, "`([^`]+)`", 1))
-    return F.transform(F.filter(quoted, lambda name: name != ""),
-                       lambda name: strip(F.split_part(name, F.lit(" - "), F.lit(1))))
+def _files(content: Column, block: str = FILES) -> Column:
+    """First quoted name of each line, without a remark after `` - ``."""
+    quoted = F.regexp_extract_all(F.regexp_extract(content, block, 1), F.lit(r"(?m)^[^`\n]*`([^`\n]+)`"), F.lit(1))
+    return F.transform(quoted, lambda name: strip(F.substring_index(name, " - ", 1)))
 
 
 def _last_of_each(ordered: Column, key: str) -> Column:
@@ -85,7 +83,7 @@ def extract_sections(docs: DataFrame, parents: tuple[int, ...] = FEATURES_WITH_S
     pieces = F.split("text", SECTION_MARK)
     numbered = F.filter(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.rlike(p, F.lit(SECTION_NUMBER)))
     found = F.transform(numbered, lambda p, i: F.struct(
-        F.split_part(p, F.lit(":"), F.lit(1)).try_cast("int").alias("number"), i.alias("pos"),
+        F.substring_index(p, ":", 1).try_cast("int").alias("number"), i.alias("pos"),
         F.substring(p, F.instr(p, ":") + 1, F.length(p)).alias("content")))
     ordered = computed_once(docs.select("doc_id", "text"), F.sort_array(found).alias("_ordered"))
     kept = computed_once(ordered.select("doc_id", "_ordered"), _last_of_each(F.col("_ordered"), "number").alias("_kept"))
@@ -94,13 +92,13 @@ def extract_sections(docs: DataFrame, parents: tuple[int, ...] = FEATURES_WITH_S
     read = computed_once(
         rows, _checklist(content).alias("_checklist"), _requirements(content).alias("_requirements"),
         F.when(number.isin(*parents), _sorted_subsections(content)).alias("_subs"))
-    name = F.split_part(strip(content), F.lit("\n"), F.lit(1))
+    name = strip(F.regexp_extract(content, r"^\s*([^\n]+)", 1))
     return computed_once(
         read,
-        F.when(name == "", F.concat(F.lit("Feature "), number.cast("string"))).otherwise(strip(name)).alias("name"),
+        F.coalesce(F.nullif(name, F.lit("")), F.concat(F.lit("Feature "), number.cast("string"))).alias("name"),
         strip(F.regexp_extract(content, DESCRIPTION, 1)).alias("description"),
         F.concat("_checklist", F.array_except("_requirements", "_checklist")).alias("acceptance"),
-        _files(F.regexp_extract(content, FILES, 1)).alias("files"),
+        _files(content).alias("files"),
         _subsections(F.col("_subs")).alias("subsections"),
     ).select("doc_id", "number", "name", "description", "acceptance", "files", "subsections")
 
@@ -117,7 +115,7 @@ def _subsections(ordered: Column) -> Column:
     pairs = F.zip_with(_first_of_each(ordered, "name"), _last_of_each(ordered, "name"), lambda first, last: F.struct(
         first["pos"].alias("pos"), last["number"].alias("number"), last["name"].alias("name"),
         _checklist(last["body"]).alias("acceptance"),
-        F.transform(_files(F.regexp_extract(last["body"], SUBSECTION_FILES, 1)),
+        F.transform(_files(last["body"], SUBSECTION_FILES),
                     lambda f: F.regexp_replace(f, r"\s*\([^)]+\)\s*$", "")).alias("files")))
     return F.transform(F.sort_array(pairs), lambda s: F.struct(
         s["number"].alias("number"), s["name"].alias("name"),

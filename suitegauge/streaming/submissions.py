@@ -12,8 +12,10 @@ def first_completed_stream(events: DataFrame, delay: str = "1 hour") -> DataFram
 
     State holds one key per submission and only until the watermark has passed
     it, so it is bounded by the submissions of one ``delay``, not by the history.
-    "First" is the arrival order; ``operators.submissions.first_completed`` picks
-    by event time and agrees on which submissions completed.
+    "First" is the arrival order by micro-batch; within one batch any of a
+    submission's completed events may be the one. The batch twin
+    ``operators.submissions.first_completed`` picks by event time and agrees on
+    which submissions completed.
     """
     timed = completed_events(events).withColumn("ts", F.col("ts").cast("timestamp"))
     return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["submission_id"])
