@@ -31,17 +31,23 @@ def with_content_hash(stories: DataFrame) -> DataFrame:
         F.col("title"), F.col("description"), F.col("acceptance")))
 
 
-def merge_new(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Existing rows, back-filled with hash and dependencies, plus incoming rows with new ids."""
-    kept = existing
-    for column, kind in (("content_hash", "string"), ("depends_on", "array<string>")):
-        if column not in kept.columns:
-            kept = kept.withColumn(column, F.lit(None).cast(kind))
-    kept = kept.withColumn("content_hash", F.coalesce("content_hash", content_hash(
-        F.col("title"), F.col("description"), F.col("acceptance"))))
-    kept = kept.withColumn("depends_on", F.coalesce("depends_on", F.array().cast("array<string>")))
+def merge_new(existing: DataFrame, incoming: DataFrame, ordered: bool = False) -> DataFrame:
+    """Existing rows plus incoming rows with new ids; absent hashes and dependencies are filled in.
+
+    Hashes are worked out last, so not for incoming rows that are dropped, and with
+    ``ordered`` (by story number) not a second time for the sampling before the sort.
+    """
     fresh = incoming.join(existing.select("id"), "id", "left_anti")
-    return kept.unionByName(fresh, allowMissingColumns=True)
+    merged = existing.unionByName(fresh, allowMissingColumns=True)
+    for column, kind in (("content_hash", "string"), ("depends_on", "array<string>")):
+        if column not in merged.columns:
+            merged = merged.withColumn(column, F.lit(None).cast(kind))
+    if ordered:
+        merged = order_by_number(merged)
+    return merged.withColumns({
+        "content_hash": F.coalesce("content_hash", content_hash(F.col("title"), F.col("description"), F.col("acceptance"))),
+        "depends_on": F.coalesce("depends_on", F.array().cast("array<string>")),
+    })
 
 
 def order_by_number(stories: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ with story lists and of stories with overrides moves rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from suitegauge.functions.text import content_hash, strip
@@ -64,6 +66,11 @@ def _files(content: Column, block: str = FILES) -> Column:
     return F.transform(quoted, lambda name: strip(F.substring_index(name, " - ", 1)))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is worked out once, however often ``body`` mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _last_of_each(ordered: Column, key: str) -> Column:
     """Of an array sorted by ``key``, the last item of each key."""
     return F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i + 1)[key] != x[key], F.lit(True)))
@@ -85,22 +92,19 @@ def extract_sections(docs: DataFrame, parents: tuple[int, ...] = FEATURES_WITH_S
     found = F.transform(numbered, lambda p, i: F.struct(
         F.substring_index(p, ":", 1).try_cast("int").alias("number"), i.alias("pos"),
         F.substring(p, F.instr(p, ":") + 1, F.length(p)).alias("content")))
-    ordered = computed_once(docs.select("doc_id", "text"), F.sort_array(found).alias("_ordered"))
-    kept = computed_once(ordered.select("doc_id", "_ordered"), _last_of_each(F.col("_ordered"), "number").alias("_kept"))
-    rows = kept.select("doc_id", F.inline("_kept"))
+    kept = computed_once(docs.select("doc_id", "text"), _bound(
+        F.sort_array(found), lambda ordered: _last_of_each(ordered, "number")).alias("_kept"))
     content, number = F.col("content"), F.col("number")
-    read = computed_once(
-        rows, _checklist(content).alias("_checklist"), _requirements(content).alias("_requirements"),
-        F.when(number.isin(*parents), _sorted_subsections(content)).alias("_subs"))
-    name = strip(F.regexp_extract(content, r"^\s*([^\n]+)", 1))
-    return computed_once(
-        read,
-        F.coalesce(F.nullif(name, F.lit("")), F.concat(F.lit("Feature "), number.cast("string"))).alias("name"),
+    name = F.nullif(strip(F.regexp_extract(content, r"^\s*([^\n]+)", 1)), F.lit(""))
+    checklist = _checklist(content)
+    return kept.select("doc_id", F.inline("_kept")).select(
+        "doc_id", "number",
+        F.coalesce(name, F.concat(F.lit("Feature "), number.cast("string"))).alias("name"),
         strip(F.regexp_extract(content, DESCRIPTION, 1)).alias("description"),
-        F.concat("_checklist", F.array_except("_requirements", "_checklist")).alias("acceptance"),
+        F.concat(checklist, F.array_except(_requirements(content), checklist)).alias("acceptance"),
         _files(content).alias("files"),
-        _subsections(F.col("_subs")).alias("subsections"),
-    ).select("doc_id", "number", "name", "description", "acceptance", "files", "subsections")
+        F.when(number.isin(*parents), _bound(_sorted_subsections(content), _subsections)).alias("subsections"),
+    )
 
 
 def _sorted_subsections(content: Column) -> Column:
@@ -124,7 +128,9 @@ def _subsections(ordered: Column) -> Column:
 
 def extract_subsections(sections: DataFrame) -> DataFrame:
     """One row per subsection: doc_id, feature, number, name, acceptance, files."""
-    return sections.select("doc_id", F.col("number").alias("feature"), F.inline("subsections"))
+    read = computed_once(sections.select("doc_id", F.col("number").alias("feature"), "subsections"),
+                         F.col("subsections").alias("_subsections"))
+    return read.select("doc_id", "feature", F.inline("_subsections"))
 
 
 def extract_stories(docs: DataFrame) -> DataFrame:

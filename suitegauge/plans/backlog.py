@@ -25,9 +25,9 @@ def content_hash(spark, folder):
 def merge_new(spark, folder):
     stories = _stories(spark, folder)
     existing = stories.filter("o_totalprice < 250000").drop("depends_on")
-    incoming = backlog.with_content_hash(stories.filter("o_orderdate >= '1996-01-01'").withColumn("title", F.upper("title")))
-    return backlog.order_by_number(backlog.merge_new(existing, incoming)).select(
-        "id", "title", "content_hash", F.coalesce(F.size("depends_on"), F.lit(0)).alias("n_depends_on"))
+    incoming = stories.filter("o_orderdate >= '1996-01-01'").withColumn("title", F.upper("title"))
+    return backlog.merge_new(existing, incoming, ordered=True).select(
+        "id", "title", "content_hash", F.size("depends_on").alias("n_depends_on"))
 
 
 def diff_by_hash(spark, folder):

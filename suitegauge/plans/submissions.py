@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from suitegauge.functions import text
 from suitegauge.operators import leaderboard as board
 from suitegauge.operators import submissions as sub
+from suitegauge.operators.scoring import with_trace
 from suitegauge.plans.fixtures import view, with_views
 from suitegauge.plans.leaderboards import BOARD
+from suitegauge.plans.preparation import BUILT, built
 from suitegauge.plans.scoring import documents
 from suitegauge.session import work_folder
-from suitegauge.sources.results import write_results
+from suitegauge.sources.results import append_log, progress_text, read_results, write_results
 from suitegauge.sources.tables import table
+from suitegauge.sources.tasks import write_tasks
 from suitegauge.streaming import leaderboard as board_stream
 from suitegauge.streaming.submissions import first_completed_stream, run_to_table
 
@@ -92,8 +95,42 @@ def stream_leaderboard(spark, folder):
     return board.overall(board_stream.read_snapshot(spark, out))
 
 
+def trace_latency(spark, folder):
+    """Every line item as a timed run: latency, and whether it got a trace id of the usual form."""
+    timed = table(spark, folder, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "cast(l_shipdate as timestamp) as started",
+        "cast(l_shipdate as timestamp) + make_dt_interval(0, 0, 0, l_quantity / 8) as ended")
+    return with_trace(timed, "started", "ended").select(
+        "l_orderkey", "l_linenumber", "latency", F.rlike("trace_id", F.lit("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")).alias("traced"))
+
+
+def results_round_trip(spark, folder):
+    """Result documents written as JSON and read back by their schema."""
+    path = work_folder(spark, "results")
+    write_results(documents(spark, folder), path)
+    return board.overall(board.flatten_results(read_results(spark, path)))
+
+
+def prepared_round_trip(spark, folder):
+    """Prepared tasks written by track; one track read back."""
+    path = work_folder(spark, "prepared")
+    write_tasks(built(spark, folder), path)
+    return spark.read.parquet(path).filter("track = 'bdd'").select("task_id", "spec", "metadata")
+
+
+def progress_log(spark, folder):
+    """Attempts appended to a log in two goes and read back as text."""
+    path = work_folder(spark, "progress")
+    entries = table(spark, folder, "events").selectExpr(
+        "event_id as iteration", "date_format(ts, 'yyyy-MM-dd') as logged_at", "concat('STORY-', user_id) as story_id",
+        "case event_type when 'purchase' then 'PASS' when 'error' then 'FAIL' else 'RETRY' end as status", "props as notes")
+    append_log(entries.filter("status = 'PASS'"), path)
+    append_log(entries.filter("status <> 'PASS'"), path)
+    return progress_text(spark.read.schema(entries.schema).json(path))
+
+
 QUERIES = {f.__name__: f for f in (
-    first_completed, never_completed, first_text, first_text_part, syntax_valid, submission_lint, request_text,
+    trace_latency, results_round_trip, prepared_round_trip, progress_log, first_completed, never_completed, first_text, first_text_part, syntax_valid, submission_lint, request_text,
     participant_names, request_metrics, stream_first_completed, stream_leaderboard)}
 
 _LINT = with_views("code_v") + r""",
@@ -103,6 +140,15 @@ _DONE = with_views("agent_events_v") + """,
 done as (select * from agent_events_v where state = 'completed' and n_artifacts > 0)"""
 
 ORACLES = {
+    "trace_latency": "select l_orderkey, l_linenumber, l_quantity / 8 as latency, true as traced from lineitem",
+    "results_round_trip": BOARD + """select id, track, score, mutation_pct, fault_detection_pct, pass_rate, task_count
+from board order by score desc, mutation_pct desc, id""",
+    "prepared_round_trip": BUILT + """ select task_id, spec, concat('{"task_id":"', task_id, '","function_name":"', function_name,
+  '","track":"tdd","source":"evalplus"}') as metadata from built where track = 'bdd'""",
+    "progress_log": """select event_id as iteration, concat('## Iteration ', event_id, ' - ', strftime(ts, '%Y-%m-%d'), chr(10),
+  'Story: STORY-', user_id, chr(10), 'Status: ',
+  case event_type when 'purchase' then 'PASS' when 'error' then 'FAIL' else 'RETRY' end, chr(10), 'Notes: ', props, chr(10)) as entry
+from events""",
     "first_completed": _DONE + """ select submission_id, event_id, ts, props from (
   select *, row_number() over (partition by submission_id order by ts, event_id) as n from done) where n = 1""",
     "never_completed": _DONE + """ select distinct submission_id, 'No tests returned' as error from agent_events_v
