@@ -18,7 +18,7 @@ FOUR_WEIGHTS = {"mutation_score": 0.30, "spec_coverage": 0.25,
                 "fault_detection_rate": 0.25, "impl_independence": 0.20}
 
 # The summary lines a mutation log may hold, in order of precedence.
-FRACTION_KILLED = r"([0-9]+)/([0-9]+)\s+mutants?\s+killed"
+FRACTION_KILLED = r"([0-9]+/[0-9]+)\s+mutants?\s+killed"
 COUNT_KILLED = r"[Kk]illed[:\s]+([0-9]+)"
 COUNT_SURVIVED = r"[Ss]urvived[:\s]+([0-9]+)"
 
@@ -36,15 +36,23 @@ def failure_type(code: str) -> Column:
     return F.expr(f"get(array({names}), {code})")
 
 
-def _number(text: str, pattern: str, group: int = 1) -> str:
-    return f"try_cast(nullif(regexp_extract({text}, r'{pattern}', {group}), '') as bigint)"
+def _count(text: str, pattern: str) -> str:
+    return f"try_cast(nullif(regexp_extract({text}, r'{pattern}', 1), '') as bigint)"
 
 
-def mutation_marks(output: str) -> Column:
-    """The numbers a log holds: fraction (_part of _whole) and single counts; null where absent."""
-    return F.expr(f"""named_struct(
-        '_part', {_number(output, FRACTION_KILLED, 1)}, '_whole', {_number(output, FRACTION_KILLED, 2)},
-        '_killed', {_number(output, COUNT_KILLED)}, '_survived', {_number(output, COUNT_SURVIVED)})""")
+def killed_fraction(output: str) -> Column:
+    """``_fraction``: the text "X/Y" of a log's main summary line, '' where there is none."""
+    return F.expr(f"regexp_extract({output}, r'{FRACTION_KILLED}', 1)").alias("_fraction")
+
+
+def mutation_marks(output: str) -> list[Column]:
+    """The numbers of a log, null where absent. Separate counts are looked for only without a fraction."""
+    alone = "case when _fraction = '' then {} end"
+    return [F.expr(sql).alias(name) for name, sql in (
+        ("_part", "try_cast(substring_index(_fraction, '/', 1) as bigint)"),
+        ("_whole", "try_cast(substring_index(_fraction, '/', -1) as bigint)"),
+        ("_killed", alone.format(_count(output, COUNT_KILLED))),
+        ("_survived", alone.format(_count(output, COUNT_SURVIVED))))]
 
 
 def mutation_counts(error: str) -> dict[str, str]:
@@ -68,7 +76,7 @@ def mutation_score(killed: str, total: str) -> Column:
 def multi_class_counts(summary: str) -> Column:
     """Counts of a four-class summary; suspicious and timed-out mutants stay outside the score."""
     fields = ", ".join(
-        "'%s', coalesce(%s, 0L)" % (label, _number(summary, rf"(?i)\b{label}[:\s]+([0-9]+)"))
+        "'%s', coalesce(%s, 0L)" % (label, _count(summary, rf"(?i)\b{label}[:\s]+([0-9]+)"))
         for label in ("killed", "survived", "suspicious", "timeout"))
     return F.expr(f"named_struct({fields})")
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from suitegauge.functions import scoring as S
+from suitegauge.operators.quality import computed_once
 from suitegauge.schemas import FAILURE_TYPES
 
 KEYS = ("participant", "track", "ordinal")
@@ -71,7 +72,7 @@ def with_fault_detection(pairs: DataFrame, mode: str = "reference") -> DataFrame
 
 def parse_mutation_logs(logs: DataFrame) -> DataFrame:
     """Adds killed, survived, total and mutation_score; zeros where the run ended in an error."""
-    marked = logs.select("*", F.inline(F.array(S.mutation_marks("output"))))
+    marked = computed_once(computed_once(logs, S.killed_fraction("output")), *S.mutation_marks("output"))
     counted = marked.selectExpr(*logs.columns, *[f"{sql} as {name}" for name, sql in S.mutation_counts("error").items()])
     return counted.withColumn("mutation_score", S.mutation_score("killed", "total"))
 
