@@ -36,8 +36,9 @@ def failure_type(code: str) -> Column:
     return F.expr(f"get(array({names}), {code})")
 
 
-def _count(text: str, pattern: str) -> str:
-    return f"try_cast(nullif(regexp_extract({text}, r'{pattern}', 1), '') as bigint)"
+def _number(text: str) -> str:
+    # Casting '' would raise and catch an error for every row without a match.
+    return f"try_cast(nullif({text}, '') as bigint)"
 
 
 def killed_fraction(output: str) -> Column:
@@ -45,14 +46,17 @@ def killed_fraction(output: str) -> Column:
     return F.expr(f"regexp_extract({output}, r'{FRACTION_KILLED}', 1)").alias("_fraction")
 
 
-def mutation_marks(output: str) -> list[Column]:
-    """The numbers of a log, null where absent. Separate counts are looked for only without a fraction."""
-    alone = "case when _fraction = '' then {} end"
-    return [F.expr(sql).alias(name) for name, sql in (
-        ("_part", "try_cast(substring_index(_fraction, '/', 1) as bigint)"),
-        ("_whole", "try_cast(substring_index(_fraction, '/', -1) as bigint)"),
-        ("_killed", alone.format(_count(output, COUNT_KILLED))),
-        ("_survived", alone.format(_count(output, COUNT_SURVIVED))))]
+def separate_counts(output: str) -> list[Column]:
+    """``_killed_text`` and ``_survived_text``, looked for only in logs without a fraction."""
+    return [F.expr(f"case when _fraction = '' then regexp_extract({output}, r'{pattern}', 1) end").alias(name)
+            for name, pattern in (("_killed_text", COUNT_KILLED), ("_survived_text", COUNT_SURVIVED))]
+
+
+def mutation_marks() -> list[str]:
+    """The numbers of a log, null where absent."""
+    return [f"{_number(text)} as {name}" for name, text in (
+        ("_part", "substring_index(_fraction, '/', 1)"), ("_whole", "substring_index(_fraction, '/', -1)"),
+        ("_killed", "_killed_text"), ("_survived", "_survived_text"))]
 
 
 def mutation_counts(error: str) -> dict[str, str]:
@@ -76,7 +80,7 @@ def mutation_score(killed: str, total: str) -> Column:
 def multi_class_counts(summary: str) -> Column:
     """Counts of a four-class summary; suspicious and timed-out mutants stay outside the score."""
     fields = ", ".join(
-        "'%s', coalesce(%s, 0L)" % (label, _count(summary, rf"(?i)\b{label}[:\s]+([0-9]+)"))
+        "'%s', coalesce(%s, 0L)" % (label, _number(rf"regexp_extract({summary}, r'(?i)\b{label}[:\s]+([0-9]+)', 1)"))
         for label in ("killed", "survived", "suspicious", "timeout"))
     return F.expr(f"named_struct({fields})")
 

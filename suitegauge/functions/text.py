@@ -32,7 +32,7 @@ def task_id(ordinal: Column, function_name: Column) -> Column:
 
 def task_ordinal(task: Column) -> Column:
     """The number inside a task id; null when there is none."""
-    return F.regexp_extract(task, r"^task_(\d+)", 1).try_cast("bigint")
+    return F.nullif(F.regexp_extract(task, r"^task_(\d+)", 1), F.lit("")).try_cast("bigint")
 
 
 def correct_code(prompt: Column, solution: Column) -> Column:

@@ -72,7 +72,8 @@ def with_fault_detection(pairs: DataFrame, mode: str = "reference") -> DataFrame
 
 def parse_mutation_logs(logs: DataFrame) -> DataFrame:
     """Adds killed, survived, total and mutation_score; zeros where the run ended in an error."""
-    marked = computed_once(computed_once(logs, S.killed_fraction("output")), *S.mutation_marks("output"))
+    read = computed_once(computed_once(logs, S.killed_fraction("output")), *S.separate_counts("output"))
+    marked = read.selectExpr(*logs.columns, *S.mutation_marks())
     counted = marked.selectExpr(*logs.columns, *[f"{sql} as {name}" for name, sql in S.mutation_counts("error").items()])
     return counted.withColumn("mutation_score", S.mutation_score("killed", "total"))
 
