@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +65,15 @@ def batch_of(schema: pa.Schema, *columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def worker_cache(name: str) -> dict:
+    """A dictionary that lives as long as the Python worker, over all tasks it runs.
+
+    Functions reach workers inside the plan, so their own modules start anew with each task.
+    """
+    holder = sys.modules.setdefault("_suitegauge_worker", ModuleType("_suitegauge_worker"))
+    return holder.__dict__.setdefault(name, {})
+
+
 def sorted_groups(batches: Iterable[pa.RecordBatch], key: str, most: int = 100_000) -> Iterator[pa.RecordBatch]:
     """Cuts a stream sorted by a long ``key`` into batches that never part a group.
 

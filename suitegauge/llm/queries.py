@@ -3,12 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suitegauge.llm import simhash, substrings
-from suitegauge.llm.common import documents
+from suitegauge.llm import pieces, quality, simhash, substrings, tokenids, toxicity
+from suitegauge.llm.common import documents, labels
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(documents(spark, folder), labels(spark, folder))
+
+
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.scored(documents(spark, folder), labels(spark, folder))
+
+
+def op3_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    shards = tokenids.write_shards(docs, _tokenizer_file("byte_bpe_50k.json").read_text("utf-8"))
+    return tokenids.fetch(shards, tokenids.keys_of(docs)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op4_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    model = pieces.Model.load(str(_tokenizer_file("piece_bpe_32k.model")))
+    return pieces.encode_documents(documents(spark, folder), model).select("doc_id", "n_ids", "ids_crc32", "decoded")
 
 
 def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,7 +41,18 @@ def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _tokenizer_file(name: str) -> Path:
+    """A vocabulary file of the installed public tokenizers; read on the driver and sent with the plan."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
+    "op3_token_ids": op3_token_ids,
+    "op4_sentence_pieces": op4_sentence_pieces,
     "op5_substring_dedup": op5_substring_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
