@@ -3,8 +3,9 @@
 Every window's minimiser is the least hash of its runs of ``MER`` words. Consecutive windows
 with the same minimiser travel as one packed string to the minimiser's bucket; equal windows
 have equal minimisers and so meet there, where sorting their words counts them exactly.
-Buckets of minimisers that very many places share are not gathered: their windows are
-counted one by one by hash aggregation instead.
+Minimisers are counted first, without their words: a bucket of a single place cannot hold a
+repeated window, so nothing is sent to it. Buckets that very many places share are not gathered:
+equal strings are counted as one by hash aggregation, and so are the windows of what strings are left.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ MER = 4
 #: Windows in one packed string at most, so that strings stay short.
 RUN = 256
 #: Places that may share a bucket's minimiser before its windows are counted one by one.
-SHARED = 2048
+SHARED = 8192
 
 _SPACE = re.compile(" ")
 _KEY = "doc bigint, content bigint"
@@ -67,47 +68,55 @@ def super_kmers(words: list[str], window: int) -> tuple[np.ndarray, np.ndarray,
     return starts, sizes, least[starts].view(np.int64), again
 
 
+def _places(keyed: DataFrame, window: int) -> DataFrame:
+    """(bucket, doc, content, start, n): where each super-k-mer lies; n is 2 if it can hold a window twice, else 1."""
+    schema = pa.schema([("bucket", pa.int64()), ("doc", pa.int64()), ("content", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                found = [super_kmers(WORD.findall(t or ""), window) for t in batch.column(2).to_pylist()]
+                sizes = [len(f[0]) for f in found]
+                starts, _, minimisers, again = (np.concatenate(c) for c in zip(*found))
+                yield batch_of(schema, minimisers, *(np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1)), starts, 1 + again)
+
+    return keyed.mapInArrow(run, f"bucket bigint, {_KEY}, start int, n int")
+
+
+def _shared_places(keyed: DataFrame, window: int) -> DataFrame:
+    """(doc, content, starts, many): the super-k-mers of each document whose minimiser occurs elsewhere too; which buckets are too large."""
+    places = staged(_places(keyed, window), "places")
+    shared = places.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").select("bucket", (F.col("n") > SHARED).alias("many"))
+    # As many entries a document as it has super-k-mers.
+    return staged(places.drop("n").join(shared, "bucket").groupBy("doc", "content")
+                  .agg(F.collect_set(F.struct("start", "many")).alias("wanted")), "shared-places")
+
+
 def _packed(keyed: DataFrame, window: int) -> DataFrame:
-    """(bucket, doc, content, start, n, again, packed): one row per super-k-mer, ``packed`` holding its words.
+    """(bucket, doc, content, start, n, again, packed, many): the super-k-mers that may hold a repeated window, with their words.
 
     ``again`` tells that the minimiser recurs in the text: else a super-k-mer cannot hold a window twice.
     """
     fields = [("bucket", pa.int64()), ("doc", pa.int64()), ("content", pa.int64()), ("start", pa.int32()), ("n", pa.int32()),
-              ("again", pa.bool_()), ("packed", pa.string())]
+              ("again", pa.bool_()), ("packed", pa.string()), ("many", pa.bool_())]
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 256):
                 columns: list[list] = [[] for _ in fields]
-                for doc, content, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for doc, content, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
                     words = WORD.findall(text or "")
-                    starts, sizes, minimisers, again = super_kmers(words, window)
-                    starts, sizes = starts.tolist(), sizes.tolist()
-                    columns[0] += minimisers.tolist()
-                    columns[1] += [doc] * len(starts)
-                    columns[2] += [content] * len(starts)
-                    columns[3] += starts
-                    columns[4] += sizes
-                    columns[5] += again.tolist()
-                    columns[6] += [" ".join(words[s:s + n + window - 1]) for s, n in zip(starts, sizes)]
+                    many = {w["start"]: w["many"] for w in wanted}
+                    for start, n, bucket, again in zip(*(c.tolist() for c in super_kmers(words, window))):
+                        if start in many:
+                            row = (bucket, doc, content, start, n, again, " ".join(words[start:start + n + window - 1]), many[start])
+                            for column, value in zip(columns, row):
+                                column.append(value)
                 yield batch_of(schema, *columns)
 
-    return keyed.mapInArrow(run, f"bucket bigint, {_KEY}, start int, n int, again boolean, packed string")
-
-
-def _shared_minimisers(keyed: DataFrame, window: int) -> DataFrame:
-    """Minimisers of so many super-k-mers that their bucket must not be gathered."""
-    schema = pa.schema([("bucket", pa.int64()), ("places", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [super_kmers(WORD.findall(t or ""), window)[2] for t in batch.column(2).to_pylist()]
-            if found:
-                yield batch_of(schema, *np.unique(np.concatenate(found), return_counts=True))
-
-    return (keyed.mapInArrow(run, "bucket bigint, places bigint").groupBy("bucket").agg(F.sum("places").alias("places"))
-            .where(F.col("places") > SHARED).select("bucket"))
+    rows = keyed.join(_shared_places(keyed, window), ["doc", "content"])
+    return staged(rows.mapInArrow(run, f"bucket bigint, {_KEY}, start int, n int, again boolean, packed string, many boolean"), "super-kmers")
 
 
 def repeated_windows(rows: list[str], window: int) -> list[np.ndarray]:
@@ -164,34 +173,44 @@ def _gathered_spans(packed: DataFrame, window: int) -> DataFrame:
 
 
 def _counted_spans(packed: DataFrame, window: int) -> DataFrame:
-    """Spans of repeated windows where buckets are too large: each window's 128-bit hash is counted by aggregation."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("content", pa.int64()), ("first", pa.int32())])
+    """Spans of repeated windows where buckets are too large, by 128-bit hashes and aggregation.
+
+    A string that occurs twice is repeated as a whole. Of each distinct string one place is taken apart
+    into windows; those that two distinct strings, or one string twice, hold are repeated.
+    """
+    hashed = packed.withColumns({"p1": F.xxhash64("packed"), "p2": F.xxhash64(F.lit(1), F.reverse("packed")),
+                                 "place": F.xxhash64("doc", "content", "start")})
+    times = hashed.groupBy("p1", "p2").agg(F.count("*").alias("times"), F.min("place").alias("first_place"))
+    strings = staged(hashed.join(times, ["p1", "p2"]).drop("p1", "p2"), "shared-strings")
+    whole = strings.where("times > 1").select("doc", "content", F.col("start").alias("first"),
+                                              (F.col("start") + F.col("n") + window - 1).cast("int").alias("after"))
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("content", pa.int64()), ("first", pa.int32()),
+                        ("lone", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, 1024):
-                hashes, docs, contents, firsts = [], [], [], []
-                for _, doc, content, start, n, _, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for all_rows in batches:
+            for batch in slices(all_rows, 1024):
+                out: list[list] = [[] for _ in schema]
+                for doc, content, start, n, text, times in zip(*(c.to_pylist() for c in batch.columns)):
                     words = text.split(" ")
-                    hashes += [blake2b(" ".join(words[i:i + window]).encode(), digest_size=16).digest() for i in range(n)]
-                    docs += [doc] * n
-                    contents += [content] * n
-                    firsts += range(start, start + n)
-                pairs = np.frombuffer(b"".join(hashes), dtype=np.int64).reshape(-1, 2)
-                yield batch_of(schema, pairs[:, 0], pairs[:, 1], docs, contents, firsts)
-
-    windows = staged(packed.mapInArrow(run, f"h1 bigint, h2 bigint, {_KEY}, first int"), "shared-windows")
+                    hashes = [blake2b(" ".join(words[i:i + window]).encode(), digest_size=16).digest() for i in range(n)]
+                    pairs = np.frombuffer(b"".join(hashes), dtype=np.int64).reshape(-1, 2)
+                    for column, values in zip(out, (pairs[:, 0].tolist(), pairs[:, 1].tolist(), [doc] * n, [content] * n,
+                                                    range(start, start + n), [times == 1] * n)):
+                        column += values
+                yield batch_of(schema, *out)
+
+    one = strings.where("place = first_place").select("doc", "content", "start", "n", "packed", "times")
+    windows = staged(one.mapInArrow(run, f"h1 bigint, h2 bigint, {_KEY}, first int, lone boolean"), "shared-windows")
     repeated = windows.groupBy("h1", "h2").count().where("count > 1").drop("count")
-    return windows.join(repeated, ["h1", "h2"]).select("doc", "content", "first", (F.col("first") + window).alias("after"))
+    part = windows.where("lone").join(repeated, ["h1", "h2"]).select("doc", "content", "first", (F.col("first") + window).alias("after"))
+    return whole.union(part)
 
 
 def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
     """(doc, content, spans): the word ranges of each document that windows occurring more than once cover."""
-    keyed = _keyed(docs)
-    shared = staged(_shared_minimisers(keyed, window), "shared-minimisers")
-    packed = _packed(keyed, window)
-    found = (_gathered_spans(packed.join(shared, "bucket", "left_anti"), window)
-             .union(_counted_spans(packed.join(shared, "bucket", "left_semi"), window)))
+    packed = _packed(_keyed(docs), window)
+    found = (_gathered_spans(packed.where("not many"), window).union(_counted_spans(packed.where("many"), window)))
     return staged(found.groupBy("doc", "content").agg(F.collect_set(F.struct("first", "after")).alias("spans")), "spans")
 
 
