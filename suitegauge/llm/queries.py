@@ -8,8 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suitegauge.llm import pieces, quality, simhash, substrings, tokenids, toxicity
-from suitegauge.llm.common import documents, labels
+from suitegauge.llm import neighbours, pieces, quality, simhash, substrings, tokenids, toxicity
+from suitegauge.llm.common import EMBEDDINGS, documents, labels
 
 
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.near_duplicates(spark.read.schema(EMBEDDINGS).parquet(f"{folder}/embeddings.parquet"))
+
+
 def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder)).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_ids": op3_token_ids,
     "op4_sentence_pieces": op4_sentence_pieces,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 ORACLES: dict[str, str] = {}
