@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suitegauge.llm import neighbours, pieces, quality, simhash, substrings, tokenids, toxicity
+from suitegauge.llm import mixing, neighbours, pieces, prefixes, quality, simhash, substrings, tokenids, toxicity
 from suitegauge.llm.common import EMBEDDINGS, documents, labels
 
 
@@ -40,6 +40,14 @@ def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.near_duplicates(spark.read.schema(EMBEDDINGS).parquet(f"{folder}/embeddings.parquet"))
 
 
+def op8_prefix_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.fingerprints(documents(spark, folder))
+
+
+def op9_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(documents(spark, folder).select("doc_id", "source", "text")).drop("text")
+
+
 def op10_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder)).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -59,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentence_pieces": op4_sentence_pieces,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op8_prefix_fingerprints": op8_prefix_fingerprints,
+    "op9_source_mixing": op9_source_mixing,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 ORACLES: dict[str, str] = {}
