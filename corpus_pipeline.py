@@ -7,11 +7,23 @@ the last returns token ids. ``run`` applies them all, writing each stage's resul
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from suitegauge.llm import simhash
-from suitegauge.llm.common import documents, staged
+from suitegauge.llm import mixing, pieces, quality, simhash, surrogates
+from suitegauge.llm.common import documents, labels, staged
+from suitegauge.llm.queries import KEY
+
+#: The pieces that the last stage encodes with; any SentencePiece model with byte pieces will do.
+PIECES = Path(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, taught by the labels of the folder, does not reject."""
+    return quality.good_documents(docs, quality.fit(docs, labels(spark, sf_dir)), threshold=0.3)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,16 +31,36 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.kept_documents(docs, shingle=3, most=3)
 
 
+def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data; n_chars follows the new text."""
+    replaced = surrogates.replaced(docs, KEY).select(*docs.columns)
+    return replaced.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else replaced
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order in which sources interleave by their weights."""
+    return mixing.in_mixed_order(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, n_ids, ids_crc32, decoded), in the order of ``docs``."""
+    return pieces.encode_documents(docs, pieces.Model.load(str(PIECES)))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", keep_good),
     ("simhash_dedup", drop_near_duplicates),
+    ("pii_surrogates", replace_pii),
+    ("source_mixing", mix_sources),
+    ("sentence_pieces", encode),
 ]
 
-#: No SQL expresses the classifier or the encoder; tests compare each stage with a plain version.
+#: No SQL expresses the classifier, the surrogates or the encoder; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,9 +8,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suitegauge.llm import mixing, neighbours, pieces, prefixes, quality, simhash, substrings, tokenids, toxicity
+from suitegauge.llm import mixing, neighbours, pieces, prefixes, quality, simhash, substrings, surrogates, tokenids, toxicity
 from suitegauge.llm.common import EMBEDDINGS, documents, labels
 
+#: Key of the surrogates in the queries; a user passes a secret one.
+KEY = "documents-2024"
+
 
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(documents(spark, folder), labels(spark, folder))
@@ -40,6 +43,10 @@ def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.near_duplicates(spark.read.schema(EMBEDDINGS).parquet(f"{folder}/embeddings.parquet"))
 
 
+def op7_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogates.replaced(documents(spark, folder).select("doc_id", "text"), KEY)
+
+
 def op8_prefix_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return prefixes.fingerprints(documents(spark, folder))
 
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentence_pieces": op4_sentence_pieces,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op8_prefix_fingerprints": op8_prefix_fingerprints,
     "op9_source_mixing": op9_source_mixing,
     "op10_simhash_dedup": op10_simhash_dedup,
