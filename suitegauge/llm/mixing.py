@@ -70,42 +70,50 @@ def period(named: DataFrame) -> DataFrame:
                     F.ceil((F.col("block") + 1) * F.col("period") / F.col("share")).alias("due")))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK) -> DataFrame:
-    """``docs`` with lane, block, release, due, slot and position: the order in which to read them.
+_ADDED = ("lane", "block", "release", "due", "slot", "position")
 
-    Every row is placed once. Within a lane documents follow in the order of md5 of their id, rows without an id first and equal
-    ids by text. Positions are ``block`` apart per slot; where a source has run out its slots stay empty. Names of ``docs``
-    that clash with the added ones keep the values of ``docs`` out: rename them before. An empty table gives no rows.
-    """
-    added = ("lane", "block", "release", "due", "slot", "position")
-    kept = docs.select(*[c for c in docs.columns if c not in added])
-    named = staged(lanes(kept, weights, power), "lanes")
+
+def _timed(docs: DataFrame, weights: dict[str, float] | None, power: float, block: int) -> DataFrame:
+    """The columns of ``docs`` as c0, c1, ... and doc_id, then what mixing adds."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    id_name, source, text = (names[c] for c in ("doc_id", "source", "text"))
+    kept = docs.toDF(*names.values())
+    named = staged(lanes(docs, weights, power), "lanes")
     plan = staged(period(named), "period")
-    order = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))
+    order = F.coalesce(F.md5(F.col(id_name).cast("string").cast("binary")), F.lit(""))
     # As many leading digits of md5 as make cells of a bounded size; a cell follows the other in a lane's order.
     digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("lane_docs") / CELL))).cast("int")
     small = named.select(F.col("source").alias("lane_source"), "lane", F.col("docs").alias("lane_docs"), "share")
-    placed = (kept.join(small, F.col("source").eqNullSafe(F.col("lane_source")))
-              .drop("lane_source").withColumn("mix_order", order).withColumn("mix_cell", F.substring("mix_order", F.lit(1), digits)))
-    sizes = placed.groupBy("lane", "mix_cell").agg(F.count("*").alias("rows"))
-    before = F.sum("rows").over(Window.partitionBy("lane").orderBy("mix_cell").rowsBetween(Window.unboundedPreceding, -1))
-    cells = staged(sizes.select(F.col("lane").alias("cell_lane"), F.col("mix_cell").alias("cell"), F.coalesce(before, F.lit(0)).alias("before")), "cells")
-    within = Window.partitionBy("lane", "mix_cell").orderBy("mix_order", "doc_id", "text")
-    numbered = (placed.withColumn("row", F.row_number().over(within) - 1)
-                .join(cells, (F.col("lane") == F.col("cell_lane")) & (F.col("mix_cell") == F.col("cell")))
+    placed = (kept.join(small, F.col(source).eqNullSafe(F.col("lane_source")))
+              .drop("lane_source").withColumn("order", order).withColumn("cell", F.substring("order", F.lit(1), digits)))
+    sizes = placed.groupBy("lane", "cell").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("lane").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = staged(sizes.select("lane", "cell", F.coalesce(before, F.lit(0)).alias("before")), "cells")
+    within = Window.partitionBy("lane", "cell").orderBy("order", id_name, text)
+    numbered = (placed.withColumn("row", F.row_number().over(within) - 1).join(cells, ["lane", "cell"])
                 .withColumn("index", F.col("before") + F.col("row")).withColumn("block", F.floor(F.col("index") / block)))
-    turn, nth = F.floor(F.col("block") / F.col("share")), F.col("block") % F.col("share")
-    slots = plan.select(F.col("lane").alias("plan_lane"), F.col("block").alias("nth"), F.col("slot").alias("own_slot"),
-                        F.col("release").alias("own_release"), F.col("due").alias("own_due"), "period")
+    slots = plan.select("lane", F.col("block").alias("nth"), "slot", "release", "due", "period")
     # One period: at most SHARES slots and one more for each lane.
-    timed = (numbered.withColumns({"turn": turn, "of_turn": nth})
-             .join(F.broadcast(slots), (F.col("lane") == F.col("plan_lane")) & (F.col("of_turn") == F.col("nth"))))
+    timed = (numbered.withColumns({"turn": F.floor(F.col("block") / F.col("share")), "nth": F.col("block") % F.col("share")})
+             .join(F.broadcast(slots), ["lane", "nth"]))
     shift = F.col("turn") * F.col("period")
-    return timed.select(*kept.columns, "lane", "block", (shift + F.col("own_release")).alias("release"), (shift + F.col("own_due")).alias("due"),
-                        (shift + F.col("own_slot")).alias("slot"),
-                        ((shift + F.col("own_slot")) * block + F.col("index") % block).alias("position"))
+    return timed.select(*names.values(), "lane", "block", (shift + F.col("release")).alias("release"), (shift + F.col("due")).alias("due"),
+                        (shift + F.col("slot")).alias("slot"), ((shift + F.col("slot")) * block + F.col("index") % block).alias("position"))
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK) -> DataFrame:
+    """``docs`` (doc_id, source, text) with lane, block, release, due, slot and position: the order in which to read them.
+
+    Every row is placed once. Within a lane documents follow in the order of md5 of their id, rows without an id first and equal
+    ids by text. Positions are ``block`` apart per slot; where a source has run out its slots stay empty. Columns of
+    ``docs`` with an added name give way to it; others are kept. An empty table gives no rows.
+    """
+    kept = [c for c in docs.columns if c not in _ADDED]
+    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+    return _timed(docs, weights, power, block).toDF(*kept, *_ADDED)
 
 
-def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` sorted by position, so that files written from it hold the mix in order."""
-    return mixed(docs, weights).orderBy("position").select(*docs.columns)
+def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK) -> DataFrame:
+    """``docs``, all columns, sorted by position, so that files written from it hold the mix in order."""
+    timed = _timed(docs, weights, power, block).orderBy("position")
+    return timed.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

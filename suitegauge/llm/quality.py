@@ -151,8 +151,10 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[
 
 
 def good_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """``docs`` without those that the classifier rejects."""
-    return classify(docs, model, threshold, ("*",)).where("predicted = 1").select(*docs.columns)
+    """``docs`` without those that the classifier rejects; columns of any name keep their values."""
+    coded = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col("text"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return classify(coded, model, threshold, tuple(names)).where("predicted = 1").select(*names).toDF(*docs.columns)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
