@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suitegauge.session import keep
+from suitegauge.session import work_folder
 
 #: Fixed value: a word is a run of anything but space and the ASCII controls tab to carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,9 +50,11 @@ def _files_removed(spark: SparkSession) -> Iterator[None]:
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
-    """Writes a frame to the shared folder, frees its shuffle files and reads it back."""
+    """Writes a frame to the shared folder, frees its shuffle files and reads it back: computed once, lineage cut."""
+    path = work_folder(df.sparkSession, purpose)
     with _files_removed(df.sparkSession):
-        return keep(df, purpose)
+        df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
