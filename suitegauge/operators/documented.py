@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from suitegauge.functions import scoring as S
@@ -9,7 +11,8 @@ from suitegauge.functions.text import strip
 from suitegauge.operators.quality import computed_once
 from suitegauge.session import keep
 
-SCENARIO = r"(?m)^\s*Scenario(?: Outline)?:[ \t]*([^\n]*)"
+# Fixed value: the keywords that open a scenario.
+SCENARIO = r"(?m)^\s*(?:Scenario(?: Outline| Template)?|Example):[ \t]*([^\n]*)"
 REQUIREMENT = r">>>\s+\w+\([^)]+\)\n\s+\S+"
 
 
@@ -26,18 +29,19 @@ def requirements(spec: Column) -> Column:
     return F.regexp_extract_all(spec, F.lit(REQUIREMENT), F.lit(0))
 
 
-def spec_coverage(scenarios: DataFrame, executed: DataFrame, by: str = "task_id") -> DataFrame:
-    """Share of each task's scenarios that were executed.
+def spec_coverage(scenarios: DataFrame, executed: DataFrame, by: str = "task_id",
+                  tasks: DataFrame | None = None) -> DataFrame:
+    """Share of each task's scenarios that were executed; with ``tasks``, 0.0 for those that have no scenario.
 
-    Executed names fold to one row each first; a task without scenarios is not in
-    ``scenarios`` and counts as 0 where coverage is joined back.
+    Executed names fold to one row each first.
     """
     ran = executed.select(by, "scenario").distinct().withColumn("_ran", F.lit(1))
-    return (
-        scenarios.join(ran, [by, "scenario"], "left").groupBy(by)
-        .agg(F.count("*").alias("n_scenarios"), F.count("_ran").alias("n_covered"))
-        .withColumn("spec_coverage", F.col("n_covered") / F.col("n_scenarios"))
-    )
+    counted = scenarios.join(ran, [by, "scenario"], "left").groupBy(by).agg(
+        F.count("*").alias("n_scenarios"), F.count("_ran").alias("n_covered"))
+    if tasks is not None:
+        counted = tasks.select(by).distinct().join(counted, by, "left").na.fill(0, ["n_scenarios", "n_covered"])
+    return counted.withColumn("spec_coverage", F.when(
+        F.col("n_scenarios") > 0, F.col("n_covered") / F.col("n_scenarios")).otherwise(0.0))
 
 
 def impl_independence(pairs: DataFrame) -> DataFrame:
@@ -61,6 +65,15 @@ def baseline_delta(agent: DataFrame, baseline: DataFrame, measure: str) -> DataF
 
 QUANTILES = (500, 950, 990)
 """Wanted quantiles in thousandths."""
+SALTS = 32
+"""Keys that a group is spread over."""
+
+
+def _matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joins on equal keys, nulls among them."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def latency_summary(runs: DataFrame, by: list[str], value: str = "execution_time", label: str = "run_id",
@@ -69,8 +82,9 @@ def latency_summary(runs: DataFrame, by: list[str], value: str = "execution_time
 
     A mergeable sketch of bounded size brackets each quantile; the second pass
     counts the rows below a bracket and gathers, by distinct value, only those
-    inside it, about ten in ``accuracy`` of a group. Among equally slow entries
-    the smallest label is named.
+    inside it, about ten in ``accuracy`` of a group. Both are joined and counted by salt first,
+    so a group that holds most rows is many keys. Among equally slow entries the smallest label is
+    named. A null group is a group.
     """
     slack = 10 / accuracy
     edges = [max(q / 1000 - slack, 0.0) for q in QUANTILES] + [min(q / 1000 + slack, 1.0) for q in QUANTILES]
@@ -80,25 +94,28 @@ def latency_summary(runs: DataFrame, by: list[str], value: str = "execution_time
     # lets the planner broadcast it when it is small and shuffle when it is not.
     stats = keep(runs.groupBy(*by).agg(*[F.expr(sql) for sql in (
         f"avg({value}) as avg_latency", f"min({value}) as min_latency", f"max({value}) as max_latency",
-        f"count({value}) as total_steps", f"max_by({label}, struct({value}, -{label})) as slowest",
+        f"count({value}) as total_steps", f"min_by({label}, case when {value} is not null then struct(-{value}, {label}) end) as slowest",
         f"percentile_approx({value}, array({sketch}), {accuracy}) as _edges")]), "latency")
     brackets = stats.selectExpr(*by, "_edges", *[f"(total_steps * {q} + 999) div 1000 as _target{i}"
                                                  for i, q in enumerate(QUANTILES)])
-    rows = runs.select(*by, F.col(value).alias("_v")).join(brackets, by)
-    below = rows.groupBy(*by).agg(*[F.expr(f"count_if(_v < _edges[{i}]) as _below{i}") for i in range(n)])
+    salted = brackets.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    rows = _matched(runs.select(*by, F.col(value).alias("_v"), F.pmod(F.xxhash64(label, value), F.lit(SALTS)).cast("int").alias("_salt")),
+                    salted, [*by, "_salt"])
+    below = (rows.groupBy(*by, "_salt").agg(*[F.expr(f"count_if(_v < _edges[{i}]) as _below{i}") for i in range(n)])
+             .groupBy(*by).agg(*[F.sum(f"_below{i}").alias(f"_below{i}") for i in range(n)]))
     within = [f"_v between _edges[{i}] and _edges[{i + n}]" for i in range(n)]
     marks = ", ".join(f"struct({i} as _i, {w} as _in)" for i, w in enumerate(within))
     inside = (
-        rows.filter(" or ".join(within)).selectExpr(*by, "_v", f"inline(array({marks}))").filter("_in")
-        .groupBy(*by, "_i", "_v").agg(F.expr("count(*) as _n"))
+        rows.filter(" or ".join(within)).selectExpr(*by, "_salt", "_v", f"inline(array({marks}))").filter("_in")
+        .groupBy(*by, "_i", "_v", "_salt").agg(F.expr("count(*) as _n")).groupBy(*by, "_i", "_v").agg(F.sum("_n").alias("_n"))
         .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by, "_i").orderBy("_v")))
     )
-    targets = brackets.join(below, by).selectExpr(
+    targets = _matched(brackets, below, by).selectExpr(
         *by, *[f"_target{i} - _below{i} as _need{i}" for i in range(n)])
-    found = inside.join(targets, by).groupBy(*by).agg(*[
+    found = _matched(inside, targets, by).groupBy(*by).agg(*[
         F.expr(f"min(case when _i = {i} and _upto >= _need{i} then _v end) as p{QUANTILES[i] // 10}_latency")
         for i in range(n)])
-    return stats.drop("_edges").join(found, by, "left")
+    return _matched(stats.drop("_edges"), found, by, "left")
 
 
 def multi_class_mutation(summaries: DataFrame, column: str = "summary") -> DataFrame:

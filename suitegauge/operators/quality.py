@@ -23,12 +23,12 @@ def computed_once(df: DataFrame, *fields: Column) -> DataFrame:
 
 
 def flag_rejects(df: DataFrame, rules: Rules, reason: str = "reason") -> DataFrame:
-    """Adds the first violated rule (null for good rows). One pass; nothing is dropped."""
+    """Adds the first violated rule (null for good rows). One pass, each condition read once; nothing is dropped."""
     chosen = F.lit(None).cast("string")
     for text, violated in reversed(rules):
         label = F.lit(text) if isinstance(text, str) else text
         chosen = F.when(F.coalesce(violated, F.lit(False)), label).otherwise(chosen)
-    return df.withColumn(reason, chosen)
+    return computed_once(df.drop(reason), chosen.alias(reason))
 
 
 def split_rejects(df: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:

@@ -107,10 +107,7 @@ def expected_tasks(evaluations: DataFrame, block: int = 10_000) -> DataFrame:
     Numbers come in blocks that are spread before they are spelled out, so one
     very long run is not produced by one task.
     """
-    blocks = evaluations.filter("task_count > 0").selectExpr(
-        *RUN, "cast(task_count as bigint) as task_count",
-        f"explode(sequence(0L, (task_count - 1) div {block})) as _block")
-    return blocks.repartition(*RUN, "_block").selectExpr(*RUN, f"""explode(sequence(
+    return _blocks(evaluations, block).repartition(*RUN, "_block").selectExpr(*RUN, f"""explode(sequence(
         _block * {block} + 1, least((_block + 1) * {block}, task_count))) as ordinal""")
 
 
@@ -132,15 +129,15 @@ def _sums() -> list[Column]:
 
 
 def _summary(frame: DataFrame) -> DataFrame:
-    # Rounding at the twelfth decimal keeps a sum of thirds from tipping an exact half.
+    # Means are stored as they are; the score rounds them at the twelfth decimal, which keeps a sum of
+    # thirds from tipping an exact half.
     def mean(total: str, name: str) -> str:
-        return (f"case when task_count > 0 then round(coalesce(cast({total} as double), 0D) / task_count, 12) "
-                f"else 0D end as {name}")
+        return f"case when task_count > 0 then coalesce(cast({total} as double), 0D) / task_count else 0D end as {name}"
 
     return frame.selectExpr(
         *RUN, mean("_mutation", "mutation_score"), mean("_detection", "fault_detection_rate"),
         mean("_passed", "pass_rate"), "cast(task_count as bigint) as task_count",
-    ).withColumn("score", S.composite("mutation_score", "fault_detection_rate"))
+    ).withColumn("score", S.composite("round(mutation_score, 12)", "round(fault_detection_rate, 12)"))
 
 
 def summarize_runs(details: DataFrame) -> DataFrame:
@@ -148,17 +145,34 @@ def summarize_runs(details: DataFrame) -> DataFrame:
     return _summary(details.groupBy(*RUN).agg(*_sums(), F.expr("count(*) as task_count")))
 
 
-def summarize_outcomes(evaluations: DataFrame, outcomes: DataFrame) -> DataFrame:
+def _blocks(evaluations: DataFrame, block: int) -> DataFrame:
+    return evaluations.filter("task_count > 0").selectExpr(
+        *RUN, "cast(task_count as bigint) as task_count", f"explode(sequence(0L, (task_count - 1) div {block})) as _block")
+
+
+def summarize_outcomes(evaluations: DataFrame, outcomes: DataFrame, block: int = 10_000) -> DataFrame:
     """The same summary without making the zero rows: sums over tasks that ran, divided by task_count.
 
-    Outcomes beyond a run's task_count are outside the run and ignored. A run with
-    very many tasks is folded where its rows are, before the second join.
+    Outcomes are matched and folded by blocks of task numbers, so a run with very many tasks is many keys; only its
+    blocks' sums meet. What lies outside a run is left to ``outcome_rejects``.
     """
-    within = outcomes.join(evaluations, list(RUN)).filter("ordinal between 1 and task_count")
-    sums = within.groupBy(*RUN).agg(*_sums())
+    within = outcomes.withColumn("_block", F.expr(f"(ordinal - 1) div {block}")).join(
+        _blocks(evaluations, block), [*RUN, "_block"]).filter("ordinal between 1 and task_count")
+    sums = within.groupBy(*RUN, "_block").agg(*_sums()).groupBy(*RUN).agg(*[
+        F.sum(c).alias(c) for c in ("_mutation", "_detection", "_passed")])
     return _summary(evaluations.join(sums, list(RUN), "left"))
 
 
+def outcome_rejects(evaluations: DataFrame, outcomes: DataFrame, block: int = 10_000) -> DataFrame:
+    """Outcomes that no summary counts, with the reason: their participant was not evaluated, or their task is outside the run."""
+    placed = outcomes.withColumn("_block", F.expr(f"(ordinal - 1) div {block}"))
+    known = evaluations.select(*RUN).distinct().withColumn("_known", F.lit(True))
+    unmatched = placed.join(_blocks(evaluations, block), [*RUN, "_block"], "left").filter(
+        "task_count is null or not (ordinal between 1 and task_count)").drop("_block", "task_count")
+    return unmatched.join(known, list(RUN), "left").withColumn("reason", F.when(
+        F.col("_known"), "task outside the run").otherwise("participant not evaluated")).drop("_known")
+
+
 def to_envelope(summary: DataFrame, details: DataFrame | None = None, chunk: int = 10_000) -> DataFrame:
     """Nested result documents (participants, results, part).
 

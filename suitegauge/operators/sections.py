@@ -1,7 +1,7 @@
 """Planning documents to story tables: sections, subsections, story lists, defaults, overrides.
 
-Everything about one document is read inside its row; only the join of sections
-with story lists and of stories with overrides moves rows.
+Everything about one document is read inside its row, the pairing of sections with story lists
+included; only the join of stories with overrides moves rows.
 """
 
 from __future__ import annotations
@@ -80,9 +80,11 @@ def _first_of_each(ordered: Column, key: str) -> Column:
     return F.filter(ordered, lambda x, i: (i == 0) | F.coalesce(F.get(ordered, i - 1)[key] != x[key], F.lit(True)))
 
 
-def extract_sections(docs: DataFrame, parents: tuple[int, ...] = FEATURES_WITH_SUBSECTIONS) -> DataFrame:
+def extract_sections(docs: DataFrame, parents: tuple[int, ...] = FEATURES_WITH_SUBSECTIONS, *keep: str) -> DataFrame:
     """One row per numbered feature section: doc_id, number, name, description, acceptance, files, subsections.
 
+    ``keep`` carries further columns of the document.
+
     A number that occurs again replaces the earlier section. The acceptance list
     keeps its own repeats; requirements are added once each and only if new.
     """
@@ -92,13 +94,13 @@ def extract_sections(docs: DataFrame, parents: tuple[int, ...] = FEATURES_WITH_S
     found = F.transform(numbered, lambda p, i: F.struct(
         F.substring_index(p, ":", 1).try_cast("int").alias("number"), i.alias("pos"),
         F.substring(p, F.instr(p, ":") + 1, F.length(p)).alias("content")))
-    kept = computed_once(docs.select("doc_id", "text"), _bound(
+    kept = computed_once(docs.select("doc_id", "text", *keep), _bound(
         F.sort_array(found), lambda ordered: _last_of_each(ordered, "number")).alias("_kept"))
     content, number = F.col("content"), F.col("number")
     name = F.nullif(strip(F.regexp_extract(content, r"^\s*([^\n]+)", 1)), F.lit(""))
     checklist = _checklist(content)
-    return kept.select("doc_id", F.inline("_kept")).select(
-        "doc_id", "number",
+    return kept.select("doc_id", *keep, F.inline("_kept")).select(
+        "doc_id", *keep, "number",
         F.coalesce(name, F.concat(F.lit("Feature "), number.cast("string"))).alias("name"),
         strip(F.regexp_extract(content, DESCRIPTION, 1)).alias("description"),
         F.concat(checklist, F.array_except(_requirements(content), checklist)).alias("acceptance"),
@@ -133,24 +135,33 @@ def extract_subsections(sections: DataFrame) -> DataFrame:
     return read.select("doc_id", "feature", F.inline("_subsections"))
 
 
+def _listed(text: Column) -> Column:
+    """Array of all listed stories: number (of the feature), place, id, title, depends_on."""
+    def stories(feature: Column, place: tuple[Column, Column]) -> Column:
+        number = F.regexp_extract(feature, BREAKDOWN_FEATURE_PARTS, 1).try_cast("int")
+        found = F.regexp_extract_all(strip(F.regexp_extract(feature, BREAKDOWN_FEATURE_PARTS, 2)), F.lit(BREAKDOWN_STORY), F.lit(0))
+        return F.transform(found, lambda story, at: F.struct(
+            number.alias("number"), F.struct(place[0].alias("_b"), place[1].alias("_f"), at.alias("_s")).alias("place"),
+            F.concat(F.lit("STORY-"), F.regexp_extract(story, BREAKDOWN_STORY_PARTS, 1)).alias("id"),
+            strip(F.regexp_extract(story, BREAKDOWN_STORY_PARTS, 2)).alias("title"),
+            F.regexp_extract_all(F.regexp_extract(story, BREAKDOWN_STORY_PARTS, 3), F.lit("STORY-[0-9]+"), F.lit(0)).alias("depends_on")))
+
+    lists = F.regexp_extract_all(text, F.lit(BREAKDOWN), F.lit(1))
+    return F.flatten(F.transform(lists, lambda part, b: F.flatten(F.transform(
+        F.regexp_extract_all(part, F.lit(BREAKDOWN_FEATURE), F.lit(0)), lambda feature, f: stories(feature, (b, f))))))
+
+
 def extract_stories(docs: DataFrame) -> DataFrame:
     """Story lists of all breakdown parts: doc_id, number (of the feature), place, id, title, depends_on."""
-    found = computed_once(docs.select("doc_id", "text"), F.regexp_extract_all(
-        "text", F.lit(BREAKDOWN), F.lit(1)).alias("_lists"))
-    lists = computed_once(found.select("doc_id", F.posexplode("_lists").alias("_b", "_list")), F.regexp_extract_all(
-        "_list", F.lit(BREAKDOWN_FEATURE), F.lit(0)).alias("_features"))
-    features = computed_once(
-        lists.select("doc_id", "_b", F.posexplode("_features").alias("_f", "_feature")),
-        F.regexp_extract("_feature", BREAKDOWN_FEATURE_PARTS, 1).try_cast("int").alias("number"),
-        F.regexp_extract_all(strip(F.regexp_extract("_feature", BREAKDOWN_FEATURE_PARTS, 2)),
-                             F.lit(BREAKDOWN_STORY), F.lit(0)).alias("_stories"))
-    stories = features.select("doc_id", "_b", "_f", "number", F.posexplode("_stories").alias("_s", "_story"))
-    return stories.select(
-        "doc_id", "number", F.struct("_b", "_f", "_s").alias("place"),
-        F.concat(F.lit("STORY-"), F.regexp_extract("_story", BREAKDOWN_STORY_PARTS, 1)).alias("id"),
-        strip(F.regexp_extract("_story", BREAKDOWN_STORY_PARTS, 2)).alias("title"),
-        F.regexp_extract_all(F.regexp_extract("_story", BREAKDOWN_STORY_PARTS, 3),
-                             F.lit("STORY-[0-9]+"), F.lit(0)).alias("depends_on"))
+    found = computed_once(docs.select("doc_id", "text"), _listed(F.col("text")).alias("_stories"))
+    return found.select("doc_id", F.inline("_stories"))
+
+
+def _paired(docs: DataFrame, parents: tuple[int, ...]) -> DataFrame:
+    """Sections of each document with _listed, the stories of their number, all read from the same row."""
+    found = computed_once(docs.select("doc_id", "text"), _listed(F.col("text")).alias("_stories"))
+    return extract_sections(found, parents, "_stories").withColumn(
+        "_listed", F.filter("_stories", lambda story: story["number"] == F.col("number"))).drop("_stories")
 
 
 def matching_subsection(title: Column, number: Column, subsections: Column,
@@ -166,30 +177,32 @@ def matching_subsection(title: Column, number: Column, subsections: Column,
         keys, lambda k: F.contains(F.lower(s["name"]), k))), F.lit(0))
 
 
-def match_by_keywords(sections: DataFrame, stories: DataFrame,
-                      rules: list[tuple[int, list[str], str]] = KEYWORD_RULES) -> DataFrame:
+def keyword_matches(docs: DataFrame, rules: list[tuple[int, list[str], str]] = KEYWORD_RULES,
+                    parents: tuple[int, ...] = FEATURES_WITH_SUBSECTIONS) -> DataFrame:
     """Stories with the number and name of the subsection they match; unmatched ones are left out."""
-    joined = stories.join(sections.select("doc_id", "number", "subsections"), ["doc_id", "number"])
+    listed = _paired(docs, parents).select("doc_id", "number", "subsections", F.explode("_listed").alias("_story"))
     return (
-        computed_once(joined, matching_subsection(
-            F.col("title"), F.col("number"), F.col("subsections"), rules).alias("_sub"))
+        computed_once(listed, matching_subsection(
+            F.col("_story.title"), F.col("number"), F.col("subsections"), rules).alias("_sub"))
         .filter("_sub is not null")
-        .select("doc_id", "number", "id", "title", F.col("_sub.number").alias("subsection"),
+        .select("doc_id", "number", "_story.id", "_story.title", F.col("_sub.number").alias("subsection"),
                 F.col("_sub.name").alias("subsection_name"))
     )
 
 
-def apply_breakdown(sections: DataFrame, stories: DataFrame,
-                    rules: list[tuple[int, list[str], str]] = KEYWORD_RULES) -> DataFrame:
+def break_down(docs: DataFrame, rules: list[tuple[int, list[str], str]] = KEYWORD_RULES,
+               parents: tuple[int, ...] = FEATURES_WITH_SUBSECTIONS) -> DataFrame:
     """Story records: the listed stories of each section, or one default story for a section without any.
 
     Sections up to 2 without a list yield nothing. A listed story takes the
-    checklist and files of the subsection its title matches, else the section's.
+    checklist and files of the subsection its title matches, else the section's. No row leaves its place.
     """
-    listed = stories.select("doc_id", "number", "place", F.col("id").alias("_id"), F.col("title").alias("_title"),
-                            F.col("depends_on").alias("_deps"))
-    joined = sections.join(listed, ["doc_id", "number"], "left").filter(
-        F.col("_id").isNotNull() | (F.col("number") > FEATURES_BROKEN_DOWN_BY_HAND))
+    listed = _paired(docs, parents)
+    columns = [c for c in listed.columns if c != "_listed"]
+    opened = listed.select(*columns, F.explode_outer("_listed").alias("_story")).filter(
+        F.col("_story").isNotNull() | (F.col("number") > FEATURES_BROKEN_DOWN_BY_HAND))
+    joined = opened.select(*columns, F.col("_story.place").alias("place"), F.col("_story.id").alias("_id"),
+                           F.col("_story.title").alias("_title"), F.col("_story.depends_on").alias("_deps"))
     own = F.col("_id").isNotNull()
     described = computed_once(joined, F.when(own, matching_subsection(
         F.col("_title"), F.col("number"), F.col("subsections"), rules)).alias("_sub"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from suitegauge.functions import text
 from suitegauge.operators import backlog, quality, sections
 from suitegauge.plans.fixtures import view, with_views
-from suitegauge.sources.tables import spread, table
+from suitegauge.sources.tables import table
 
 # Fixed value: the variable every service gets unless it sets its own.
 DEFAULT_ENVIRONMENT = {"PYTHONUNBUFFERED": "1"}
@@ -25,15 +25,15 @@ def content_hash(spark, folder):
 def merge_new(spark, folder):
     stories = _stories(spark, folder)
     existing = stories.filter("o_totalprice < 250000").drop("depends_on")
-    incoming = stories.filter("o_orderdate >= '1996-01-01'").withColumn("title", F.upper("title"))
+    incoming = stories.filter("o_orderdate >= '1996-01-01' or o_totalprice >= 250000").withColumn("title", F.upper("title"))
     return backlog.merge_new(existing, incoming, ordered=True).select(
         "id", "title", "content_hash", F.size("depends_on").alias("n_depends_on"))
 
 
 def diff_by_hash(spark, folder):
     stories = _stories(spark, folder)
-    old = backlog.with_content_hash(stories.filter("o_totalprice < 400000"))
-    new = backlog.with_content_hash(stories.filter("o_orderdate >= '1994-01-01'").withColumn(
+    old = backlog.with_content_hash(stories.filter("position % 11 <> 3"))
+    new = backlog.with_content_hash(stories.filter("position % 11 <> 5").withColumn(
         "title", F.when(F.col("passes"), F.upper(F.concat("title", F.lit("!")))).otherwise(F.col("title"))))
     return backlog.diff_by_hash(old, new)
 
@@ -72,7 +72,7 @@ def retry_runs(spark, folder):
 
 
 def phrase_hits(spark, folder):
-    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    documents = table(spark, folder, "documents").select("doc_id", "text")
     flagged = backlog.detect_phrases(documents, "text")
     return backlog.detect_phrases(flagged, "text", LICENSE_PHRASES, "names_license").drop("text")
 
@@ -101,7 +101,7 @@ def env_defaults(spark, folder):
 
 
 def _plans(spark, folder):
-    return spread(view(spark, folder, "plans_v"))
+    return view(spark, folder, "plans_v")
 
 
 def plan_sections(spark, folder):
@@ -122,13 +122,11 @@ def plan_stories(spark, folder):
 
 
 def keyword_match(spark, folder):
-    docs = _plans(spark, folder)
-    return sections.match_by_keywords(sections.extract_sections(docs), sections.extract_stories(docs))
+    return sections.keyword_matches(_plans(spark, folder))
 
 
 def breakdown(spark, folder):
-    docs = _plans(spark, folder)
-    made = sections.apply_breakdown(sections.extract_sections(docs), sections.extract_stories(docs))
+    made = sections.break_down(_plans(spark, folder))
     return made.select("doc_id", "id", "title", "description", F.array_join("acceptance", "|").alias("acceptance"),
                        F.array_join("files", "|").alias("files"), F.array_join("depends_on", "|").alias("depends_on"))
 
@@ -206,13 +204,13 @@ ORACLES = {
     "content_hash": _STORIES + f" select id, {_hash('title')} as content_hash from stories_v",
     "merge_new": _STORIES + f""",
 old as (select *, {_hash('title')} as content_hash from stories_v where o_totalprice < 250000),
-new as (select *, {_hash('upper(title)')} as content_hash from stories_v where o_orderdate >= '1996-01-01')
+new as (select *, {_hash('upper(title)')} as content_hash from stories_v where o_orderdate >= '1996-01-01' or o_totalprice >= 250000)
 select id, title, content_hash, 0::int as n_depends_on from old union all
 select id, upper(title), content_hash, cast(coalesce(len(depends_on), 0) as int) from new where id not in (select id from old)""",
     "diff_by_hash": _STORIES + f""",
-old as (select id, {_hash('title')} as h from stories_v where o_totalprice < 400000),
+old as (select id, {_hash('title')} as h from stories_v where position % 11 <> 3),
 new as (select id, case when passes then {_hash("upper(concat(title, '!'))")} else {_hash('title')} end as h
-  from stories_v where o_orderdate >= '1994-01-01')
+  from stories_v where position % 11 <> 5)
 select coalesce(o.id, n.id) as id, case when o.id is null then 'added' when n.id is null then 'removed'
   when o.h = n.h then 'same' else 'changed' end as change from old o full join new n on o.id = n.id""",
     "ready_items": _READY + " select id, title from ready",

@@ -26,10 +26,12 @@ def spec_requirements(spark, folder):
 
 
 def _coverage(spark, folder):
-    executed = table(spark, folder, "lineitem").filter("l_linestatus = 'F' and l_quantity > 40").select(
-        (F.col("l_partkey") + 1).alias("ordinal"),
-        F.concat(F.lit("Example "), (1 + F.col("l_linenumber") % 2).cast("string")).alias("scenario"))
-    return documented.spec_coverage(_scenarios(spark, folder), executed, "ordinal")
+    # Other runs count for a scenario that no task has.
+    executed = table(spark, folder, "lineitem").select((F.col("l_partkey") + 1).alias("ordinal"), F.when(
+        F.expr("l_linestatus = 'F' and l_quantity > 40"),
+        F.concat(F.lit("Example "), (1 + F.col("l_linenumber") % 2).cast("string"))).otherwise("none").alias("scenario"))
+    # Every seventh task has lost its scenarios.
+    return documented.spec_coverage(_scenarios(spark, folder).filter("ordinal % 7 <> 0"), executed, "ordinal", built(spark, folder))
 
 
 def spec_coverage(spark, folder):
@@ -55,7 +57,8 @@ executed as (select distinct l_partkey + 1 as ordinal, 1 + l_linenumber % 2 as s
   where l_linestatus = 'F' and l_quantity > 40),
 coverage as (select s.ordinal, count(*) as n_scenarios, count(e.ordinal) as n_covered,
   count(e.ordinal) / count(*) as spec_coverage
-  from scenarios s left join executed e using (ordinal, scenario_no) group by s.ordinal)"""
+  from scenarios s left join executed e using (ordinal, scenario_no) where s.ordinal % 7 <> 0 group by s.ordinal
+  union all select ordinal, 0, 0, 0.0 from built where ordinal % 7 = 0)"""
 
 ORACLES = {
     "scenario_names": _SCENARIOS + " select task_id, cast(scenario_no as int) as scenario_no, concat('Example ', scenario_no) as scenario from scenarios",

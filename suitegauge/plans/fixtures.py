@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from suitegauge.sources.tables import SCHEMAS, table
 
-TASKS_PER_TRACK = 250
+# Participants, tasks of a run and runs all grow with the tables: five suppliers are a participant, eight parts
+# a task of either track, as are seventy-five customers and sixty orders.
+_TASK_COUNT = "(select cast(floor(max(p_partkey) / 8) as bigint) + 1 from {part})"
 
 _TASK_ID = ("concat('task_', lpad(cast(p_partkey + 1 as string), "
             "cast(greatest(3, length(cast(p_partkey + 1 as string))) as int), '0'), '_', replace(p_name, ' ', '_'))")
@@ -57,9 +59,9 @@ VIEWS: dict[str, str] = {
         from {{part}}""",
     # Test runs: participant, task, target, outcome.
     "runs_v": """
-        select cast(l_suppkey % 10 as int) as participant, cast(l_partkey % 500 as int) as task_num,
+        select cast(floor(l_suppkey / 5) as int) as participant, l_partkey as task_num,
           case when l_partkey % 2 = 0 then 'tdd' else 'bdd' end as track,
-          cast(floor((l_partkey % 500) / 2) as bigint) + 1 as ordinal,
+          cast(floor(l_partkey / 8) as bigint) + 1 as ordinal,
           case when l_linestatus = 'F' then 'correct' else 'buggy' end as target,
           case l_returnflag when 'N' then 0 when 'R' then 1 else 2 end as exit_code,
           l_quantity >= 45 as timed_out, l_quantity / 10 as execution_time, l_shipdate as ts,
@@ -67,26 +69,26 @@ VIEWS: dict[str, str] = {
         from {lineitem}""",
     # The same with runs on alternative correct code.
     "runs3_v": """
-        select cast(l_suppkey % 10 as int) as participant,
+        select cast(floor(l_suppkey / 5) as int) as participant,
           case when l_partkey % 2 = 0 then 'tdd' else 'bdd' end as track,
-          cast(floor((l_partkey % 500) / 2) as bigint) + 1 as ordinal,
+          cast(floor(l_partkey / 8) as bigint) + 1 as ordinal,
           case when l_linestatus = 'F' then 'correct' when l_linenumber <= 3 then 'buggy' else 'alternative' end as target,
           case l_returnflag when 'N' then 0 when 'R' then 1 else 2 end as exit_code,
           l_quantity >= 45 as timed_out, l_shipdate as ts
         from {lineitem}""",
     # Who was evaluated on what, and over how many tasks.
-    "evaluations_v": f"""
-        select distinct cast(s_suppkey % 10 as int) as participant, 'tdd' as track, {TASKS_PER_TRACK} as task_count
-        from {{supplier}}
+    "evaluations_v": """
+        select distinct cast(floor(s_suppkey / 5) as int) as participant, 'tdd' as track, %s as task_count
+        from {supplier}
         union all
-        select distinct cast(s_suppkey % 10 as int) as participant, 'bdd' as track, {TASKS_PER_TRACK} as task_count
-        from {{supplier}}""",
+        select distinct cast(floor(s_suppkey / 5) as int) as participant, 'bdd' as track, %s - 1 as task_count
+        from {supplier}""" % (_TASK_COUNT, _TASK_COUNT),
     # Mutation logs.
     "logs_v": """
-        select cast(o_custkey % 10 as int) as participant, cast(o_orderkey % 500 as int) as task_num, o_orderkey,
+        select cast(floor(o_custkey / 75) as int) as participant, o_orderkey as task_num, o_orderkey,
           case when o_orderkey % 2 = 0 then 'tdd' else 'bdd' end as track,
-          cast(floor((o_orderkey % 500) / 2) as bigint) + 1 as ordinal,
-          case o_orderkey % 4 when 0 then concat(cast(o_orderkey % 13 as string), '/12 mutants killed')
+          cast(floor(o_orderkey / 60) as bigint) + 1 as ordinal,
+          case o_orderkey % 4 when 0 then concat(cast(o_orderkey % 15 as string), '/12 mutants killed')
             when 1 then concat('Killed: ', cast(o_orderkey % 13 as string), chr(10),
                                'Survived: ', cast(o_orderkey % 5 as string))
             when 2 then concat('killed ', cast(o_orderkey % 13 as string)) else 'no summary' end as output,

@@ -86,15 +86,11 @@ def _dataset(spark, folder):
 
 
 def dataset_range(spark, folder):
-    dataset = _dataset(spark, folder)
-    chosen, _ = task_source.select_range(dataset, 10, dataset.agg(F.max("n")).first()[0])
-    return chosen
+    return task_source.before_last(_dataset(spark, folder), 10)
 
 
 def missing_ids(spark, folder):
-    dataset = _dataset(spark, folder)
-    _, missing = task_source.select_range(dataset, 0, dataset.agg(F.max("n")).first()[0] + 1)
-    return missing
+    return task_source.missing_numbers(_dataset(spark, folder))
 
 
 def _checked(spark, folder):

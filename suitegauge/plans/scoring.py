@@ -106,6 +106,11 @@ def result_envelope(spark, folder):
                        "fault_detection_rate", "composite_score", "passed_correct", "failed_buggy")
 
 
+def outcome_rejects(spark, folder):
+    rejects = scoring.outcome_rejects(view(spark, folder, "evaluations_v").filter("participant % 7 <> 5"), outcomes(spark, folder))
+    return rejects.select(*scoring.KEYS, "reason")
+
+
 def score_rejects(spark, folder):
     _, rejects = quality.validate_scores(parsed_logs(spark, folder, "odd_logs_v"))
     return rejects.select("o_orderkey", "reason")
@@ -146,7 +151,7 @@ def multi_class_mutation(spark, folder):
 QUERIES = {f.__name__: f for f in (
     classify_runs, failure_breakdown, run_pairs, fault_detection, fault_detection_strict, mean_fault_detection,
     mutation_parse, mutation_score, task_details, composite_scores, run_summary, run_summary_from_details,
-    result_envelope, score_rejects, score_reject_counts, impl_independence, baseline_delta,
+    result_envelope, outcome_rejects, score_rejects, score_reject_counts, impl_independence, baseline_delta,
     latency_summary, track_comparison, multi_class_mutation)}
 
 _CODE = "case when timed_out then 3 when exit_code = 0 then 0 when exit_code = 1 then 1 else 2 end"
@@ -185,7 +190,8 @@ counts as (select *,
     case when error is not null then 0 when fk is not null then ft when k is not null then k + s else 0 end as total
   from marks),
 parsed as (select *, case when total > 0 then killed / total else 0.0::double end as mutation_score from counts),
-mutations as (select {KEYS}, max(case when mutation_score between 0 and 1 then mutation_score end) as mutation_score
+mutations as (select {KEYS}, max(case when mutation_score between 0 and 1 then mutation_score end) as mutation_score,
+    bool_or(mutation_score between 0 and 1) as mutation_valid
   from parsed group by {KEYS})"""
 
 
@@ -200,7 +206,8 @@ outcomes as (select {KEYS}, u * coalesce(m, 0) as mutation_score, u * fd as faul
     u = 1 and passed_correct as passed_correct, u = 1 and failed_buggy as failed_buggy
   from (select d.participant, d.track, d.ordinal, m.mutation_score as m, passed_correct, failed_buggy,
       cast(passed_correct and failed_buggy as int)::double as fd,
-      case when correct_code is not null and buggy_code is not null then 1.0::double else 0.0::double end as u
+      case when correct_code is not null and buggy_code is not null and coalesce(mutation_valid, true)
+        then 1.0::double else 0.0::double end as u
     from detected d left join mutations m using (participant, track, ordinal))),
 grid as (select participant, track, unnest(generate_series(1, task_count)) as ordinal from evaluations_v),
 details as (select g.participant, g.track, g.ordinal, printf('task_%03d', g.ordinal) as task_id,
@@ -252,6 +259,10 @@ select {KEYS}, round(mutation_score, 9) as mutation_score from mutations""",
     "result_envelope": OUTCOMES + """select cast(participant as varchar) as id, track, task_id,
   round(mutation_score, 9) as mutation_score, fault_detection_rate, composite_score, passed_correct, failed_buggy
 from details""",
+    "outcome_rejects": OUTCOMES + f"""
+select {KEYS}, case when e.task_count is null then 'participant not evaluated' else 'task outside the run' end as reason
+from outcomes o left join (select * from evaluations_v where participant % 7 <> 5) e using (participant, track)
+where e.task_count is null or o.ordinal not between 1 and e.task_count""",
     "score_rejects": _REJECTS + " select o_orderkey, reason from rejects where reason is not null",
     "score_reject_counts": _REJECTS + """
 select reason, count(*) as n from rejects where reason is not null group by reason""",

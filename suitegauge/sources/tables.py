@@ -24,11 +24,3 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table by its declared schema, so no file is opened just to plan a query."""
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """For heavy work per row: uses all cores even if the input is a single small file.
-
-    An input that already has a partition per core, as any large table has, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

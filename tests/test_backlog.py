@@ -218,7 +218,8 @@ def test_story_lists(spark, plan):
 
 
 def test_breakdown(spark, plan):
-    made = sections.apply_breakdown(sections.extract_sections(plan), sections.extract_stories(plan))
+    made = sections.break_down(plan)
+    assert "hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString()
     rows = {r.id: r for r in made.collect()}
     assert set(rows) == {"STORY-003", "STORY-040", "STORY-041", "STORY-042", "STORY-060"}
     assert rows["STORY-003"].title == "New name"

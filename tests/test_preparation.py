@@ -211,3 +211,12 @@ def test_exactly_one(spark):
 def test_grammar_is_only_read():
     assert "exec(" not in open(code.__file__).read() and "eval(" not in open(code.__file__).read()
     assert ast.parse(PAIR)
+
+
+def test_dataset_rejects_and_missing_numbers(spark, tmp_path):
+    good = '{"task_id": "HumanEval/%d", "entry_point": "f", "prompt": "p", "canonical_solution": "s"}'
+    (tmp_path / "d.jsonl").write_text("\n".join([good % 0, good % 3, '{"task_id": "Other/1"}', '{"task_id": "Hum', "text"]))
+    assert sorted(r.reason for r in source.dataset_rejects(spark, str(tmp_path)).collect()) == ["no number in task_id", "not a record", "not a record"]
+    data = source.read_dataset(spark, str(tmp_path)).filter("n is not null")
+    assert sorted(r.n for r in source.missing_numbers(data, block=2).collect()) == [1, 2]
+    assert [r.n for r in source.before_last(data, 0).collect()] == [0] and source.missing_numbers(data.limit(0)).count() == 0

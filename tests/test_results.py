@@ -157,3 +157,16 @@ def test_no_query_pairs_all_rows(spark, name):
 def test_scans_read_only_what_is_used(spark):
     plan = QUERIES["mutation_score"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
+
+
+def test_ranks_keep_rows_without_a_track(spark):
+    rows = spark.createDataFrame([("a", None, 0.5, 10.0), ("b", None, 0.7, 10.0), ("c", "tdd", None, 1.0)],
+                                 "id string, track string, score double, mutation_pct double")
+    assert {r.id: r["rank"] for r in board.ranked(rows).collect()} == {"b": 1, "a": 2, "c": 1}
+
+
+def test_lines_that_are_no_documents_are_rejects(spark, tmp_path):
+    good = '{"participants":{"agent":"p"},"results":[{"score":0.5,"task_rewards":{"track":"tdd"}}],"part":0}'
+    (tmp_path / "a.json").write_text("\n".join([good, good.replace("0.5", '"0.85"'), good[:40], "[]", ""]))
+    found = {r.line: r.reason for r in results.result_rejects(spark, str(tmp_path)).collect()}
+    assert found == {good.replace("0.5", '"0.85"'): "score is not a number", good[:40]: "not a result document", "[]": "not a result document"}

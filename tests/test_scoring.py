@@ -213,3 +213,24 @@ def test_four_part_composite(spark):
     frame = spark.createDataFrame([(1.0, 0.5, None, 1.0)],
                                   "mutation_score double, spec_coverage double, fault_detection_rate double, impl_independence double")
     assert documented.composite4(frame).first().composite4 == round(0.3 + 0.125 + 0.2, 2)
+
+
+def test_latency_of_text_labels_and_null_groups(spark):
+    frame = spark.createDataFrame([(None, 1.0, "step-002"), (None, 3.0, "step-009"), (None, 3.0, "step-007"), ("g", None, "step-001")],
+                                  "g string, execution_time double, run_id string")
+    rows = {r.g: r for r in documented.latency_summary(frame, ["g"]).collect()}
+    assert (rows[None].slowest, rows[None].p50_latency, rows[None].p99_latency, rows[None].total_steps) == ("step-007", 3.0, 3.0, 3)
+    assert rows["g"].total_steps == 0 and rows["g"].p50_latency is None and rows["g"].slowest is None
+
+
+def test_outcomes_outside_runs_are_rejects(spark):
+    evaluations = spark.createDataFrame([("p", "tdd", 25), ("q", "tdd", 0)], "participant string, track string, task_count int")
+    outcomes = spark.createDataFrame([("p", "tdd", n, 1.0, 1.0, True, True) for n in (0, 1, 25, 26, 99)] + [("q", "tdd", 1, 1.0, 1.0, True, True),
+                                      ("r", "tdd", 1, 1.0, 1.0, True, True)],
+                                     "participant string, track string, ordinal bigint, mutation_score double, fault_detection_rate double, "
+                                     "passed_correct boolean, failed_buggy boolean")
+    found = {(r.participant, r.ordinal): r.reason for r in scoring.outcome_rejects(evaluations, outcomes, block=10).collect()}
+    assert found == {("p", 0): "task outside the run", ("p", 26): "task outside the run", ("p", 99): "task outside the run",
+                     ("q", 1): "task outside the run", ("r", 1): "participant not evaluated"}
+    sums = {r.participant: r.pass_rate for r in scoring.summarize_outcomes(evaluations, outcomes, block=10).collect()}
+    assert sums == {"p": 2 / 25, "q": 0.0}
