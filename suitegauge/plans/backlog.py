@@ -101,7 +101,7 @@ def env_defaults(spark, folder):
 
 
 def _plans(spark, folder):
-    return view(spark, folder, "plans_v")
+    return view(spark, folder, "plans_v", deal_by="o_orderkey")
 
 
 def plan_sections(spark, folder):
