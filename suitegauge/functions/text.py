@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-WHITESPACE = " \t\n\r\x0b\x0c"
+# Fixed value: the characters that Python's strip() removes.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+              "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 # The pattern that finds worked examples in a specification, the
 # provenance label of dataset tasks and the default participant name.
@@ -17,7 +19,7 @@ _DOC_PATTERN = r'''(?s)\bdef\s+\w+\s*\(.*?\)[^\n]*?:\s*[rRuU]?("""|\'\'\'|"|\')(
 
 
 def strip(text: Column) -> Column:
-    """Both ends freed of ASCII whitespace (SQL ``trim`` only removes blanks)."""
+    """Both ends freed of whitespace of any script (SQL ``trim`` only removes blanks)."""
     return F.btrim(text, F.lit(WHITESPACE))
 
 

@@ -73,7 +73,7 @@ def request_metrics(spark, folder):
 
 
 def stream_first_completed(spark, folder):
-    """The events table read as a stream; the submissions that completed."""
+    """The events table read as a stream; how many events passed of each submission that completed: one."""
     source = table(spark, folder, "events")
     events = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     shaped = events.selectExpr(
@@ -83,7 +83,7 @@ def stream_first_completed(spark, folder):
         "case when event_id % 7 = 0 then 0 else 1 end as n_artifacts")
     out, checkpoint = work_folder(spark, "first-completed"), work_folder(spark, "first-completed-log")
     run_to_table(first_completed_stream(shaped, "40 days"), out, checkpoint)
-    return spark.read.parquet(out).select("submission_id").distinct()
+    return spark.read.parquet(out).groupBy("submission_id").agg(F.count("*").alias("n_passed"))
 
 
 def stream_leaderboard(spark, folder):
@@ -167,7 +167,7 @@ select c.track, case when contains(tests, 'import os') then 'error' else 'succes
   round(avg(length(prompt)), 6) as avg_spec_length, round(avg(length(tests)), 6) as avg_test_length,
   round(avg(length(tests) / 4), 6) as avg_generation_time
 from code_v c join tasks_v t on t.ordinal = c.p_partkey + 1 group by 1, 2""",
-    "stream_first_completed": _DONE + " select distinct submission_id from done",
+    "stream_first_completed": _DONE + " select distinct submission_id, cast(1 as bigint) as n_passed from done",
     "stream_leaderboard": BOARD + """select id, track, score, mutation_pct, fault_detection_pct, pass_rate, task_count
 from board order by score desc, mutation_pct desc, id""",
 }

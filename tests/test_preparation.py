@@ -220,3 +220,8 @@ def test_dataset_rejects_and_missing_numbers(spark, tmp_path):
     data = source.read_dataset(spark, str(tmp_path)).filter("n is not null")
     assert sorted(r.n for r in source.missing_numbers(data, block=2).collect()) == [1, 2]
     assert [r.n for r in source.before_last(data, 0).collect()] == [0] and source.missing_numbers(data.limit(0)).count() == 0
+
+
+def test_strip_takes_whitespace_of_any_script(spark):
+    odd = "\u3000\xa0 bob \x1f\u2028"
+    assert spark.createDataFrame([(odd,)], "t string").select(text.strip(F.col("t"))).first()[0] == odd.strip() == "bob"

@@ -125,6 +125,11 @@ def test_board_follows_arriving_documents(spark, tmp_path):
     twin = {(r.id, r.track): r.score for r in board_stream.latest_per_participant(batch).collect()}
     assert twin == {("a", "tdd"): 0.7, ("b", "tdd"): 0.2, ("a", "bdd"): 0.4}
     assert len([d for d in os.listdir(out) if d.startswith("slot=")]) == 2
+    # A new checkpoint counts its batches from 0 again; its board is the newer one all the same.
+    write(source, "5.json", document("b", score=0.9), at=1_000_040)
+    again = board_stream.latest_per_participant(board_stream.read_result_stream(spark, source))
+    board_stream.keep_snapshots(again, out, str(tmp_path / "other-log"), slots=2)
+    assert {(r.id, r.track): r.score for r in board_stream.read_snapshot(spark, out).collect()}[("b", "tdd")] == 0.9
 
 
 def test_first_text(spark):
