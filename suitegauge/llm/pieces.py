@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from suitegauge.llm.common import batch_of, slices, worker_cache
+from suitegauge.llm.common import slices, worker_cache
 
 #: Fixed values of the model format: the mark that stands for a space, and what an unknown character costs below the least score.
 MARK = "▁"

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
-from suitegauge.llm import mixing, pieces, prefixes, quality, queries, simhash, substrings, surrogates, tokenids, toxicity
+from suitegauge.llm import mixing, pieces, prefixes, queries, simhash, substrings, surrogates, tokenids
 
 FOLDER = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
