@@ -16,7 +16,7 @@ from suitegauge.llm.common import staged
 #: Documents in a block; shares that the weights are rounded to; sources with a lane of their own, the others share one.
 BLOCK, SHARES, LANES = 16, 1000, 255
 #: Documents of one lane that one task puts in order, on average.
-CELL = 20_000
+CELL = 4_000
 
 
 def lanes(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5) -> DataFrame:
