@@ -22,7 +22,7 @@ from suitegauge.llm.common import batch_of, held_out, slices
 from suitegauge.llm.learning import calibrated, isotonic, labelled_sample
 
 #: Labelled rows that teach, at most; features that the field has, at most; rounds of fitting.
-SAMPLE, VOCABULARY, ROUNDS = 12_000, 20_000, 25
+SAMPLE, VOCABULARY, ROUNDS = 6_000, 20_000, 12
 #: Beginnings of these lengths are features, beside the whole word.
 PREFIXES = (4, 5, 6, 7, 8, 9)
 #: A feature marks toxic tokens if this share of its documents, after adding two that are not, are toxic.
