@@ -9,6 +9,7 @@ unknown keys are told by their fingerprint.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -29,13 +30,15 @@ BUCKET_KEYS = 8192
 #: Units of text whose ids a Python worker remembers.
 REMEMBERED = 800_000
 END = b"\0\0\0\0"
+#: What a text of units does not have: other white space, white space in a row or at an end; nor is it empty.
+_UNEVEN = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z|\A\Z")
 
 
 class UnitEncoder:
     """Encodes texts with a byte-level tokenizer, each distinct unit of text once.
 
     Such a tokenizer splits before white space that follows other characters, so a text whose
-    white space is single spaces and line ends falls into units that are encoded independently:
+    white space is single spaces and single line ends falls into units that are encoded independently:
     words, each with the space or line end before it. Texts with other white space are encoded whole.
     """
 
@@ -68,7 +71,7 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " \n").split(" ") for t in texts]
-        plain = [len(units) == len(t.split()) for units, t in zip(split, texts)]
+        plain = [not _UNEVEN.search(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         if len(self.first) > REMEMBERED:

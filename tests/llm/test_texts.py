@@ -140,6 +140,17 @@ def test_token_ids_odd_rows(docs, byte_bpe):
     assert ids[:2] == [None, None] and ids[2:] == sorted(ids[2:])
 
 
+def test_units_of_uneven_white_space(byte_bpe):
+    tokenizer, encoder = Tokenizer.from_str(byte_bpe), tokenids.UnitEncoder(byte_bpe)
+    wide = ["\t", "\u00a0", "\u3000", "\x1c", "\x85", "\r"]
+    uneven = ["{}b  c d", "{}b ", " {}b", "{}b{}c\n\n", "{}b{}c\n\n\nd", "\n{}b", "{}b\n c", "{}b\n", "{}b c\nd"]
+    texts = ["", " ", "\n", "a b\nc d"] + ["a" + t.replace("{}", w) for w in wide for t in uneven] + [t.replace("{}", w) for w in wide for t in uneven]
+    for text in texts:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode([text])[0], dtype="<u4").tolist() == want, text
+    assert [len(r) // 4 for r in encoder.encode(texts)] == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_unknown_keys_are_told(spark, docs, byte_bpe):
     shards = tokenids.write_shards(docs, byte_bpe)
     asked = spark.createDataFrame([(4, 0), (4, 1), (99, 0), (10**12, 0)], "doc_id bigint, copy int")
