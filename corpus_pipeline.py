@@ -27,7 +27,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates, that of the smallest id."""
+    """One row of each group of SimHash near-duplicates, that of the smallest id; rows without an id stay."""
     return simhash.kept_documents(docs, shingle=3, most=3)
 
 

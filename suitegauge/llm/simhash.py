@@ -45,18 +45,18 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(rows)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``, fp being the unsigned fingerprint as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, shingle: int = 3, *longs: str) -> DataFrame:
+    """(doc_id, fp, and columns of longs): one row per row of ``docs``, fp being the unsigned fingerprint as a signed long."""
+    schema = pa.schema([(name, pa.int64()) for name in ("doc_id", "fp", *longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 found = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], schema=schema)
+                    [batch.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64)), *batch.columns[2:]], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", "text", *longs).mapInArrow(run, ", ".join(f"{name} bigint" for name in schema.names))
 
 
 def _ring_keys(fps: np.ndarray) -> np.ndarray:
@@ -141,6 +141,12 @@ def links(classes: DataFrame, most: int = 3) -> DataFrame:
     return routed.mapInArrow(compare, "u bigint, v bigint")
 
 
+def _grouped(classes: DataFrame, most: int) -> DataFrame:
+    """``classes`` (fp, least) with root: the least fingerprint that links reach."""
+    reach = components(links(classes, most), "simhash")
+    return classes.join(reach, classes.fp == reach.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable by links of at most ``most`` bits.
 
@@ -151,25 +157,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFra
     """
     fps = staged(fingerprints(docs, shingle), "fingerprints")
     classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    reach = components(links(classes, most), "simhash")
-    grouped = classes.join(reach, classes.fp == reach.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    grouped = _grouped(classes, most)
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def kept_documents(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest doc_id.
+    """``docs`` with one row of each component of rows that have an id: the least by doc_id, text and the other columns.
 
-    An id names one document: of rows that repeat a kept id the least by text, then by the other
-    columns, stays. Rows without an id cannot be named and all stay.
+    Rows are judged by their own texts, so an id that repeats with unlike texts is in several components.
+    Rows without an id cannot be named and all stay.
     """
-    found = staged(near_duplicates(docs, shingle, most).where("doc_id is not null")
-                   .groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id"))
-                   .where("component_id < doc_id or rows > 1"), "not-alone")
-    gone = staged(found.where("component_id < doc_id").select("doc_id"), "gone")
-    repeated = staged(found.where("component_id = doc_id").select("doc_id"), "repeated")
-    alone = docs.join(gone, "doc_id", "left_anti").join(repeated, "doc_id", "left_anti")
-    order = F.struct(*[F.col(f"`{c}`") for c in ["text", *[c for c in docs.columns if c not in ("doc_id", "text")]]])
-    firsts = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(order).alias("row")).select("doc_id", "row.*")
-    return alone.select(*docs.columns).unionByName(firsts.select(*docs.columns))
+    content = F.xxhash64("text")
+    # A text's fingerprint, once per id and text; ids that repeat a text cost one row.
+    texts = docs.where("doc_id is not null").groupBy("doc_id", content.alias("content")).agg(F.count("*").alias("rows"), F.first("text").alias("text"))
+    prints = staged(fingerprints(texts, shingle, "content", "rows"), "fingerprints")
+    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    grouped = _grouped(classes, most)
+    firsts = grouped.groupBy("root").agg(F.min("least").alias("first_id"))
+    named = staged(prints.join(grouped.join(firsts, "root").select("fp", "root", "first_id"), "fp").drop("fp"), "named")
+    sizes = named.where("doc_id = first_id").groupBy("root").agg(F.sum("rows").alias("size"))
+    gone = staged(named.where("doc_id > first_id").select("doc_id", "content"), "gone")
+    repeated = staged(named.where("doc_id = first_id").join(sizes.where("size > 1"), "root").select("doc_id", "content", "root"), "repeated")
+    keyed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    names = dict(zip(docs.columns, keyed.columns))
+    keyed = keyed.withColumn("doc_id", F.col(names["doc_id"])).withColumn("content", F.xxhash64(names["text"]))
+    alone = keyed.join(gone, ["doc_id", "content"], "left_anti").join(repeated, ["doc_id", "content"], "left_anti")
+    order = F.struct(*[names[c] for c in ["doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]]])
+    least = keyed.join(repeated, ["doc_id", "content"]).groupBy("root").agg(F.min(order).alias("row")).select("row.*")
+    return alone.select(*keyed.columns[:len(names)]).unionByName(least).toDF(*docs.columns)

@@ -124,6 +124,14 @@ def test_simhash_keeps_one_document_of_each_group(docs):
     assert found.count(None) == 2 and found.count(7) == 1 and 8 not in found and 2 not in found
 
 
+def test_simhash_judges_rows_of_a_repeated_id_by_their_own_texts(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    rows = [(1, x, "a"), (5, x, "b"), (5, y, "c"), (9, y, "d"), (5, z, "f"), (5, z, "e"), (7, "w", "g"), (None, "v", "h")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    found = sorted(map(tuple, simhash.kept_documents(frame).collect()), key=str)
+    assert found == sorted([rows[0], rows[2], rows[5], rows[6], rows[7]], key=str)
+
+
 # Token ids
 
 def test_token_ids_odd_rows(docs, byte_bpe):
