@@ -43,8 +43,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_ids, ids_crc32, decoded), in the order of ``docs``."""
-    return pieces.encode_documents(docs, pieces.Model.load(str(PIECES)))
+    """(doc_id, ids, n_ids, ids_crc32, decoded, position), sorted by position: the mix's order.
+
+    Files that are read again need not keep the order of rows, so positions are worked out here; they depend on the rows alone.
+    """
+    placed = mixing.mixed(docs.select("doc_id", "source", "text"))
+    return pieces.encode_documents(placed, pieces.Model.load(str(PIECES)), kept=("position",)).orderBy("position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -190,14 +190,16 @@ def encoder(model: Model) -> Encoder:
     return made[key]
 
 
-def encode_documents(docs: DataFrame, model: Model, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+def encode_documents(docs: DataFrame, model: Model, text: str = "text", id_column: str = "doc_id", kept: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, ids, n_ids, ids_crc32, decoded) for each row of ``docs``; ``decoded`` tells that the ids give back the text.
 
+    Columns of longs named by ``kept`` follow.
+
     Null and empty texts have no ids. Rows that repeat, and rows without an id, are encoded like any other;
     extra columns are ignored, an empty table gives no rows. No text is cut.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_ids", pa.int64()),
-                        ("ids_crc32", pa.int64()), ("decoded", pa.bool_())])
+                        ("ids_crc32", pa.int64()), ("decoded", pa.bool_()), *[(name, pa.int64()) for name in kept]])
     parts = (model.pieces, model.scores, model.ordinary, model.byte_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +213,7 @@ def encode_documents(docs: DataFrame, model: Model, text: str = "text", id_colum
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raws), dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), ids, pa.array(sizes, pa.int64()), pa.array([zlib.crc32(r) for r in raws], pa.int64()),
-                     pa.array([worker.decode(r) == t for r, t in zip(raws, texts)])], schema=schema)
+                     pa.array([worker.decode(r) == t for r, t in zip(raws, texts)]), *batch.columns[2:]], schema=schema)
 
-    return docs.select(docs[id_column].alias("doc_id"), docs[text].alias("text")).mapInArrow(
-        run, "doc_id bigint, ids array<int>, n_ids bigint, ids_crc32 bigint, decoded boolean")
+    return docs.select(docs[id_column].alias("doc_id"), docs[text].alias("text"), *kept).mapInArrow(
+        run, ", ".join(["doc_id bigint, ids array<int>, n_ids bigint, ids_crc32 bigint, decoded boolean", *[f"{name} bigint" for name in kept]]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
-from suitegauge.llm import learning, neighbours, quality, queries, toxicity
+from suitegauge.llm import learning, mixing, neighbours, quality, queries, toxicity
 from suitegauge.llm.common import documents, labels
 
 FOLDER = "/root/testdata/sf0.01"
@@ -135,3 +135,13 @@ def test_pipeline_loses_no_clean_document(spark):
     groups = queries.QUERIES["op10_simhash_dedup"](spark, FOLDER).toPandas().set_index("doc_id").component_id
     alone = {i for i in good if groups[i] == i}
     assert len(found & alone) > 0.97 * len(alone) and not {i for i in found if groups[i] in found and groups[i] < i}
+
+
+def test_ids_come_in_the_mixs_order_from_several_files(spark, tmp_path, monkeypatch):
+    texts = [(k, f"text {k} " + "word " * (k % 7 * 200), "en", "ab"[k % 3 == 0], 0) for k in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    want = [r.doc_id for r in mixing.mixed(docs).orderBy("position").select("doc_id").collect()]
+    docs.repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if s[0] in ("source_mixing", "sentence_pieces")])
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert [r.doc_id for r in found] == want and [r.position for r in found] == sorted({r.position for r in found})
