@@ -2,12 +2,13 @@
 
 All of it is column expressions. An entity is reduced to atoms (an address, a number's digits, a given
 name, a surname), so that its mentions in any format share one surrogate. The surrogate is drawn from keyed
-digests, character class by character class; collisions with other surrogates or with originals are looked for over
+digests, character class by character class; given names are permuted within their list; collisions with other surrogates or with originals are looked for over
 all documents, and those that lose are drawn again.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import reduce
 
@@ -43,7 +44,17 @@ ENTITY = "|".join(PATTERNS.values())
 #: Classes of characters: a character is replaced by one of its class.
 CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèìòùâêîôûäëïöü", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ",
            "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ"]
+#: Letters outside the classes, as a regex of their script or of any, are replaced by one of these.
+SCRIPTS = {
+    "\\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω", "\\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшщыэюя",
+    "\\p{IsArmenian}": "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ", "\\p{IsGeorgian}": "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ",
+    "\\p{L}": "abcdefghijklmnopqrstuvwxyz",
+}
+#: Draws in a row after which surrogates of mail addresses and surnames grow, and after which there is no free one.
+DRAWS, MOST_DRAWS = 3, 60
 _HEX = "0123456789abcdef"
+#: The classes, with ``SCRIPTS`` for letters outside them.
+LETTERED = [*CLASSES]
 
 _ATOM = "struct<kind:string,value:string>"
 
@@ -94,8 +105,12 @@ def _byte(stream: Column, i: Column) -> Column:
 
 
 def _drawn(character: Column, byte: Column, classes: list[str]) -> Column:
+    rest = character
+    if classes is LETTERED:
+        for script, letters in reversed(SCRIPTS.items()):
+            rest = F.when(character.rlike(script), F.substring(F.lit(letters), byte % len(letters) + 1, F.lit(1))).otherwise(rest)
     return reduce(lambda rest, letters: F.when(F.lit(letters).contains(character), F.substring(
-        F.lit(letters), byte % len(letters) + 1, F.lit(1))).otherwise(rest), reversed(classes), character)
+        F.lit(letters), byte % len(letters) + 1, F.lit(1))).otherwise(rest), reversed(classes), rest)
 
 
 def _like(value: Column, stream: Column, classes: list[str]) -> Column:
@@ -119,27 +134,37 @@ def _once(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def surrogate(key: str, atom: Column, attempt: Column) -> Column:
-    """The surrogate of an atom, in the atom's own plain format: same length except for addresses of machines and given names."""
-    return _once(_stream(key, atom, attempt), lambda stream: _from_stream(atom["kind"], atom["value"], stream))
+    """The surrogate of an atom, in the atom's own plain format: same length except for addresses of machines and given names.
+
+    From attempt ``DRAWS`` on, mail addresses and surnames grow, so that short ones do not run out of surrogates.
+    """
+    return _once(_stream(key, atom, attempt), lambda stream: _from_stream(key, atom["kind"], atom["value"], stream, attempt))
+
+
+def permuted(key: str, names: list[str]) -> dict[str, str]:
+    """Each name's surrogate: the next of the list in a keyed order, so no two share one and none is its own."""
+    order = sorted((n.lower() for n in names), key=lambda n: hashlib.sha256(f"{key}|given|{n}".encode()).digest())
+    return dict(zip(order, [*order[1:], order[0]]))
 
 
-def _from_stream(kind: Column, value: Column, stream: Column) -> Column:
+def _from_stream(key: str, kind: Column, value: Column, stream: Column, attempt: Column) -> Column:
+    longer = F.greatest(attempt - (DRAWS - 1), F.lit(0)).cast("int")
     plain = _like(value, stream, CLASSES)
+    surname = _like(F.concat(value, F.substring(F.repeat(value, longer), F.lit(1), longer)), stream, LETTERED)
     # The first digit stays other than 0 where it was; the last makes cards valid that were.
     number = F.concat(F.when(value.startswith("0"), F.lit("0")).otherwise((_byte(stream, F.lit(128)) % 9 + 1).cast("string")),
                       F.substring(_like(value, stream, CLASSES[:1]), F.lit(2), F.length(value)))
     card = _once(number, lambda n: F.when(luhn(value) % 10 == 0, F.concat(
         F.substring(n, F.lit(1), F.length(n) - 1),
         ((10 - luhn(F.concat(F.substring(n, F.lit(1), F.length(n) - 1), F.lit("0"))) % 10) % 10).cast("string"))).otherwise(n))
-    mail = F.concat(_like(F.regexp_extract(value, "^(.*)\\.[^.]*$", 1), stream, CLASSES), F.regexp_extract(value, "\\.[^.]*$", 0))
+    mail = F.concat(_like(F.concat(F.regexp_extract(value, "^(.*)\\.[^.]*$", 1), F.substring(F.repeat(F.lit("na"), longer), F.lit(1), longer)), stream, CLASSES),
+                    F.regexp_extract(value, "\\.[^.]*$", 0))
     machine = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_byte(stream, i) % 254 + 1).cast("string")), ".")
     bank = F.concat(F.substring(value, 1, 2), F.substring(plain, F.lit(3), F.length(value)))
-    given = F.coalesce(*[F.when(kind == name, F.lower(F.element_at(
-        F.filter(F.array(*map(F.lit, names)), lambda n: F.lower(n) != value), _byte(stream, F.lit(1)) % (len(names) - 1) + 1)))
-                         for name, names in GIVEN.items()])
+    given = F.element_at(F.create_map(*[F.lit(n) for names in GIVEN.values() for pair in permuted(key, names).items() for n in pair]), value)
     return (F.when(kind == "email", mail).when(kind == "secret", _like(value, stream, [_HEX]))
             .when(kind == "ip", machine).when(kind == "iban", bank).when(kind == "card", card)
-            .when(kind.isin("phone", "ssn"), number).when(kind == "surname", plain).otherwise(given))
+            .when(kind.isin("phone", "ssn"), number).when(kind == "surname", surname).otherwise(given))
 
 
 def _cased(entity: Column, value: Column) -> Column:
@@ -184,23 +209,28 @@ def _found(docs: DataFrame, text: str = "text") -> DataFrame:
 def redrawn(docs: DataFrame, key: str) -> DataFrame:
     """(kind, value, attempt): the atoms whose first surrogates collided, with the attempt that does not.
 
-    Two atoms of a kind must not share a surrogate, nor may a surrogate be an atom that occurs. Given names are
-    drawn from short lists and may repeat; the surname tells people apart.
+    Two atoms of a kind must not share a surrogate, nor may a surrogate be an atom that occurs, nor a surname's a
+    listed given name. Given names are permuted within their lists and never collide. If the space of a format is used up,
+    as may be for short phone numbers, a ValueError tells.
     """
     atom = F.struct("kind", "value")
     known = staged(_found(docs.select("text")).select(F.explode("pii_entities").alias("e")).select(F.explode("e.atoms").alias("a"))
                    .select("a.kind", "a.value").where(~F.col("kind").isin(*GIVEN)).distinct(), "pii-atoms")
     drawn = staged(known.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(key, atom, F.col("attempt"))), "pii-drawn")
-    while True:
+    listed = [n.lower() for names in GIVEN.values() for n in names]
+    for _ in range(MOST_DRAWS):
         shared = drawn.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("value").alias("winner")).where("n > 1").drop("n")
         occurring = known.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("occurs"))
         lost = staged(drawn.join(shared, ["kind", "surrogate"], "left").join(occurring, ["kind", "surrogate"], "left")
-                      .where("value <> winner or occurs").select("kind", "value", "attempt"), "pii-lost")
+                      .where(F.expr("value <> winner or occurs") | (F.col("kind") == "surname") & F.col("surrogate").isin(listed))
+                      .select("kind", "value", "attempt"), "pii-lost")
         if lost.isEmpty():
             break
         again = lost.withColumn("attempt", F.col("attempt") + 1).withColumn("surrogate", surrogate(key, atom, F.col("attempt")))
         drawn = staged(drawn.join(lost.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", "attempt", "surrogate")
                        .union(again.select("kind", "value", "attempt", "surrogate")), "pii-drawn")
+    else:
+        raise ValueError(f"no free surrogates after {MOST_DRAWS} draws for kinds {[r.kind for r in lost.select('kind').distinct().collect()]}")
     return staged(drawn.where("attempt > 0").select("kind", "value", "attempt"), "pii-redrawn")
 
 

@@ -364,6 +364,27 @@ def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) and not {a for a, _ in pairs} & {b for _, b in pairs}
 
 
+def test_given_names_are_permuted(spark):
+    names = [n for listed in surrogates.GIVEN.values() for n in listed]
+    found = surrogates.replaced(spark.createDataFrame([(n, f"{n} Smith") for n in names], "doc_id string, text string"), "k").collect()
+    assert len({r.text.lower() for r in found}) == len(names)
+    for listed in surrogates.GIVEN.values():
+        given = {r.doc_id: r.text.split()[0] for r in found if r.doc_id in listed}
+        assert sorted(given.values()) == sorted(listed) and all(a != b for a, b in given.items())
+
+
+def test_letters_of_any_script_and_crowded_formats_are_replaced(spark):
+    crowded = [f"Mr {a}{b}" for a in "AEIOU" for b in "bcdfghjklmnpqrstvwxyz"] + [f"{a}@{b}.co" for a in "aeiou" for b in "aeiou"] + ["-@-.co", "_@-.co"]
+    scripts = ["Dr Παπαδόπουλος", "Dr Ավետիսյան", "Dr Łęçñß", "Herr Ѓорѓиев", "Ms Ꭰꭰꭱ"]
+    rows = list(enumerate(crowded + scripts))
+    found = {r.doc_id: r.text for r in surrogates.replaced(spark.createDataFrame(rows, "doc_id bigint, text string"), "k").collect()}
+    atoms = [t.split(" ")[-1].lower() for _, t in rows]
+    new = [found[k].split(" ")[-1].lower() for k, _ in rows]
+    assert len(set(new)) == len(new) and not {*atoms} & {*new}
+    assert re.fullmatch("Dr [Α-Ω][α-ω]+", found[len(crowded)]) and re.fullmatch("Dr [Ա-Ֆ][ա-ֆ]+", found[len(crowded) + 1])
+    assert all(re.fullmatch(r"[a-z_-]+@[a-z-]+\.co", t) for t in (found[k] for k, c in rows if "@" in c))
+
+
 def test_pii_odd_rows(docs, empty):
     found = surrogates.replaced(docs, "k")
     assert found.columns == [*docs.columns, "pii_count"]
