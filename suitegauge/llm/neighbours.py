@@ -4,13 +4,13 @@ A graph of near neighbours starts from hashing by random hyperplanes and improve
 of each vector with each other, until rounds change little. A vector whose list is full of links is saturated:
 its list is enlarged to the whole component that its links reach, compared in blocks that return counts, so that
 large groups are counted exactly without listing their pairs. An audit compares a bounded number of vectors with
-all others; if too many links are missing, the graph is refined from further hash tables.
+all others; if too many links of any class of vectors are missing, the graph is refined from further hash tables.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -23,11 +23,12 @@ from suitegauge.llm.common import batch_of, components, slices, sorted_groups, s
 
 #: Length of neighbour lists; rounds at most; share of changed entries at which rounds end.
 LIST, ROUNDS, SETTLED = 8, 5, 0.01
-#: Hash tables that the graph starts from, and with how many of the next in its bucket a vector is compared.
-TABLES, AHEAD = 12, 16
+#: Vectors in a bucket of a hash table, on average; share of lone links, at the least cosine, that all tables may miss; tables in one shuffle.
+BUCKET, MISSED, TOGETHER = 128, 0.001, 2
 #: Vectors of a component that one task compares with as many others.
 BLOCK = 1024
-#: Vectors that the audit compares with all others, at most; the recall that it asks for; how often the graph is refined.
+#: Vectors of each class of component size that the audit compares with all others, at most; the recall that it asks for
+#: at every class of link counts; how often links are looked for before an error tells.
 AUDITED, RECALL, TRIES = 500, 0.98, 3
 
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("cos", pa.float64())])
@@ -69,42 +70,95 @@ def _dtype(vectors: DataFrame) -> type:
     return np.float32 if "array<float>" in dict(vectors.dtypes)["embedding"] else np.float64
 
 
-def _start(nodes: DataFrame, dtype: type, count: int, first_table: int) -> DataFrame:
-    """Links between vectors that some table of random hyperplanes puts into one bucket, each with the next few of its bucket."""
-    bits = min(24, max(1, math.ceil(math.log2(max(2, count / 8)))))
+def tables(count: int, least: float) -> tuple[int, int]:
+    """Bits of a hash, and how many tables leave no more than ``MISSED`` of lone pairs of cosine ``least`` without a common bucket."""
+    bits = min(24, max(0, math.ceil(math.log2(max(1, count / BUCKET)))))
+    together = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** bits
+    return bits, 1 if together >= 1 - MISSED else math.ceil(math.log(MISSED) / math.log1p(-max(together, 1e-6)))
+
+
+def _groups(near: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The connected group of each vector, and links that connect the groups, fewer than vectors."""
+    group, links = np.arange(len(near)), []
+    left = near.any(axis=1)
+    for seed in np.flatnonzero(left).tolist():
+        if not left[seed]:
+            continue
+        left[seed], edge = False, np.array([seed])
+        while len(edge):
+            new = np.flatnonzero(near[edge].any(axis=0) & left)
+            links += zip(edge[near[np.ix_(edge, new)].argmax(axis=0)].tolist(), new.tolist()) if len(new) else []
+            left[new], group[new], edge = False, seed, new
+    return group, links
+
+
+def _compared(ids: np.ndarray, units: np.ndarray, first: np.ndarray, second: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a pair of parts: inside one part, the nearest few of each vector and links that connect; between two, links that connect them."""
+    cos = units @ units.T
+    np.fill_diagonal(cos, -2.0)
+    near = cos >= least
+    if (first & second).all():
+        links = _groups(near)[1]
+        few = min(LIST, len(ids) - 1)
+        if few:
+            nearest = np.argpartition(-cos, few - 1, axis=1)[:, :few]
+            links += zip(np.repeat(np.arange(len(ids)), few).tolist(), nearest.ravel().tolist())
+    else:
+        # Parts are connected inside by tasks of their own, so one link for each pair of groups is enough.
+        within = near & (first[:, None] == first[None, :])
+        group = _groups(within)[0]
+        a, b = np.nonzero(near & (first[:, None] & ~first[None, :]))
+        _, at = np.unique(group[a] * len(ids) + group[b], return_index=True)
+        links = list(zip(a[at].tolist(), b[at].tolist()))
+    i, j = np.array(links, dtype=np.int64).reshape(-1, 2).T
+    return ids[i], ids[j], cos[i, j]
+
+
+def _start(nodes: DataFrame, dtype: type, count: int, least: float, attempt: int) -> DataFrame:
+    """Near pairs of vectors that some table of random hyperplanes puts into one bucket.
+
+    Buckets are compared whole, large ones in pairs of parts: whatever links inside a bucket connect is connected.
+    """
+    bits, number = tables(count, least)
+    schema = pa.schema([("bucket", pa.int64()), ("node", pa.int64()), ("raw", pa.binary())])
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int64()), ("spread", pa.float64()), ("node", pa.int64()), ("raw", pa.binary())])
-        for batch in batches:
-            raws = batch.column(1).to_pylist()
-            for width in {len(r) for r in raws}:
-                mine = [i for i, r in enumerate(raws) if len(r) == width]
-                units = _units([raws[i] for i in mine], dtype)
-                for table in range(first_table, first_table + TABLES):
-                    planes = np.random.default_rng([table, width]).normal(size=(units.shape[1], bits + 1))
-                    sides = units @ planes
-                    code = (sides[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64)) + (table << 32) + (width << 40)
-                    yield batch_of(schema, code, sides[:, bits], batch.column(0).take(pa.array(mine)), [raws[i] for i in mine])
+    def keyed(chosen: range) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raws = batch.column(1).to_pylist()
+                for width in {len(r) for r in raws}:
+                    mine = [i for i, r in enumerate(raws) if len(r) == width]
+                    units = _units([raws[i] for i in mine], dtype)
+                    for table in chosen:
+                        planes = np.random.default_rng([table, width]).normal(size=(units.shape[1], bits))
+                        code = (units @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64)) + ((table - chosen.start) << 24) + (width << 32)
+                        yield batch_of(schema, code.astype(np.int64), batch.column(0).take(pa.array(mine)), [raws[i] for i in mine])
+        return run
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried: tuple[np.ndarray, np.ndarray, list[bytes]] | None = None
-        for batch in batches:
-            buckets, ids, raws = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist()
-            if carried:
-                buckets, ids, raws = np.r_[carried[0], buckets], np.r_[carried[1], ids], carried[2] + raws
-            fresh = len(carried[0]) if carried else 0
-            for width in {len(r) for r in raws}:
-                mine = np.array([i for i, r in enumerate(raws) if len(r) == width])
-                units, own, names = _units([raws[i] for i in mine], dtype), buckets[mine], ids[mine]
-                for step in range(1, AHEAD + 1):
-                    good = (own[step:] == own[:-step]) & (mine[step:] >= fresh)
-                    if good.any():
-                        a, b = np.flatnonzero(good), np.flatnonzero(good) + step
-                        yield batch_of(_EDGE, names[a], names[b], np.einsum("ij,ij->i", units[a], units[b]))
-            carried = (buckets[-AHEAD:], ids[-AHEAD:], raws[-AHEAD:])
-
-    return (nodes.select("node", "raw").mapInArrow(keyed, "bucket bigint, spread double, node bigint, raw binary")
-            .repartition("bucket").sortWithinPartitions("bucket", "spread", "node").mapInArrow(near, _EDGE_SQL))
+        for batch in sorted_groups(batches, "part"):
+            parts, ids, first, second = (np.asarray(batch.column(c)) for c in ("part", "node", "first", "second"))
+            raws = batch.column("raw").to_pylist()
+            starts = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]])
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(parts)]):
+                if b - a > 1:
+                    yield batch_of(_EDGE, *_compared(ids[a:b], _units(raws[a:b], dtype), first[a:b], second[a:b], least))
+
+    met = []
+    for at in range(0, number, TOGETHER):
+        chosen = range(attempt * number + at, attempt * number + min(number, at + TOGETHER))
+        coded = nodes.select("node", "raw").mapInArrow(keyed(chosen), "bucket bigint, node bigint, raw binary")
+        # Few rows of counts: buckets that are larger than a part.
+        large = staged(coded.groupBy("bucket").count().where(F.col("count") > BLOCK).select(
+            "bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "nn-large")
+        own = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda other: F.struct(
+            F.least("own", other).alias("a"), F.greatest("own", other).alias("b")))
+        routed = (coded.join(large, "bucket", "left").withColumn("own", own).select("bucket", "node", "raw", "own", F.explode(pairs).alias("pair"))
+                  .select(F.xxhash64("bucket", "pair.a", "pair.b").alias("part"), "node", "raw",
+                          (F.col("own") == F.col("pair.a")).alias("first"), (F.col("own") == F.col("pair.b")).alias("second")))
+        met.append(staged(routed.repartition("part").sortWithinPartitions("part").mapInArrow(near, _EDGE_SQL), "nn-start"))
+    return reduce(DataFrame.union, met)
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -159,7 +213,7 @@ def _round(nodes: DataFrame, lists: DataFrame, before: DataFrame | None, dtype:
 
 def _descend(nodes: DataFrame, dtype: type, count: int, least: float, attempt: int) -> DataFrame:
     """(u, v, cos): the links at or over ``least`` that the graph met."""
-    met = staged(_start(nodes, dtype, count, attempt * TABLES), "nn-start")
+    met = _start(nodes, dtype, count, least, attempt)
     links = [met.where(F.col("cos") >= least)]
     lists, before = staged(_lists(met), "nn-lists"), None
     for _ in range(ROUNDS):
@@ -210,9 +264,18 @@ def _counts(nodes: DataFrame, links: DataFrame, dtype: type, least: float) -> Da
 
 
 def audit(nodes: DataFrame, counts: DataFrame, count: int, least: float, dtype: type) -> float:
-    """Of the links that a bounded number of vectors has among all, the share that was found."""
-    share = F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, AUDITED / max(1, count)))
-    asked = [(r["node"], bytes(r["raw"])) for r in nodes.where(share).select("node", "raw").collect()]
+    """The least recall of any class of vectors by their true number of links, in powers of two.
+
+    Asked are a bounded number of vectors of each class of component size, those without links being one, and each
+    stands for as many as its class has to one asked. So a large group says nothing about pairs and small groups.
+    """
+    sizes = counts.groupBy("component").agg(F.floor(F.log2(F.count("*").cast("double"))).cast("int").alias("class"))
+    classed = staged(nodes.select("node").join(counts.join(sizes, "component").select("node", "class"), "node", "left")
+                     .select("node", F.coalesce("class", F.lit(0)).alias("class")), "nn-classes")
+    members = {r["class"]: r["count"] for r in classed.groupBy("class").count().collect()}
+    cut = reduce(lambda rest, c: F.when(F.col("class") == c, int(1_000_000_000 * min(1.0, AUDITED / members[c]))).otherwise(rest), members, F.lit(0))
+    chosen = classed.where(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1_000_000_000)) < cut)
+    asked = [(r["node"], bytes(r["raw"])) for r in nodes.join(chosen, "node").select("node", "raw").collect()]
     schema = pa.schema([("node", pa.int64()), ("linked", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +292,12 @@ def audit(nodes: DataFrame, counts: DataFrame, count: int, least: float, dtype:
                         yield batch_of(schema, names, sizes @ near)
 
     true = nodes.select("node", "raw", "ids").mapInArrow(run, "node bigint, linked bigint").groupBy("node").agg(F.sum("linked").alias("true"))
-    row = true.join(counts, "node", "left").agg(F.sum("true").alias("true"), F.sum(F.least("true", F.coalesce("linked", F.lit(0)))).alias("found")).first()
-    return row["found"] / row["true"] if row["true"] else 1.0
+    weight = F.greatest(F.lit(1.0), reduce(lambda rest, c: F.when(F.col("class") == c, members[c] / AUDITED).otherwise(rest), members, F.lit(1.0)))
+    judged = (true.where(F.col("true") > 0).join(counts, "node", "left").join(classed, "node")
+              .groupBy(F.floor(F.log2(F.col("true").cast("double"))).alias("links"))
+              .agg((F.sum(weight * F.least("true", F.coalesce("linked", F.lit(0))) / F.col("true")) / F.sum(weight)).alias("recall")))
+    worst = judged.agg(F.min("recall")).first()[0]
+    return 1.0 if worst is None else worst
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
@@ -250,8 +317,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         more = _descend(nodes, dtype, count, least, attempt)
         links = more if links is None else links.union(more)
         counts = _counts(nodes, links, dtype, least)
-        if audit(nodes, counts, count, least, dtype) >= RECALL:
+        recall = audit(nodes, counts, count, least, dtype)
+        if recall >= RECALL:
             break
+    else:
+        raise RuntimeError(f"after {TRIES} sets of hash tables the audit's recall is {recall:.4f}, below {RECALL}")
     classes = nodes.join(counts, "node", "left").select(
         "raw", (F.col("ids") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     named = staged(usable.join(classes, "raw").select(F.col("vec").alias("vec_id"), "n_links", "component_id"), "vector-links")

@@ -119,6 +119,30 @@ def test_neighbours_equal_brute_force(spark, monkeypatch):
     assert neighbours.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_lost_pairs_beside_a_large_group_are_told(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    hot, lone = rng.normal(size=16), rng.normal(size=(60, 16))
+    rows = [hot + rng.normal(0, 0.02, 16) for _ in range(120)] + [x + rng.normal(0, 0.02, 16) for x in lone for _ in range(2)]
+    frame = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(rows)], "vec_id bigint, embedding array<float>")
+    whole = neighbours._descend
+    monkeypatch.setattr(neighbours, "_descend", lambda *a: whole(*a).where("u < 120 and v < 120"))
+    monkeypatch.setattr(neighbours, "TRIES", 1)
+    with pytest.raises(RuntimeError, match="recall"):
+        neighbours.near_duplicates(frame)
+
+
+def test_tables_and_parts_leave_no_pair_to_chance(spark, monkeypatch):
+    for count in (2, 10_000, 3_000_000, 10**9):
+        bits, number = neighbours.tables(count, 0.95)
+        assert (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** number <= neighbours.MISSED
+    monkeypatch.setattr(neighbours, "BLOCK", 8)
+    rng = np.random.default_rng(8)
+    rows = [x + rng.normal(0, 0.02, 16) for x in rng.normal(size=(50, 16)) for _ in range(2)]
+    nodes = spark.createDataFrame([(k, bytearray(np.array(x, dtype=np.float32).tobytes())) for k, x in enumerate(rows)], "node bigint, raw binary")
+    met = {(min(r.u, r.v), max(r.u, r.v)) for r in neighbours._start(nodes, np.float32, 100, 0.95, 0).where("cos >= 0.95").collect()}
+    assert {(k, k + 1) for k in range(0, 100, 2)} <= met
+
+
 def test_stages_keep_columns_and_rows(spark):
     docs = documents(spark, FOLDER)
     n = docs.count()
