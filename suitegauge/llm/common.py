@@ -134,3 +134,17 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
         seen = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def byte_slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of at most ``most`` bytes of a string column; a longer text is a piece of its own."""
+    import numpy as np
+
+    texts = batch.column(column)
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(texts.buffers()[1], dtype=kind)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else [0]
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield batch.slice(at, upto - at)
+        at = upto
