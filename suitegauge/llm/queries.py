@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suitegauge.llm import divergence, mixing, neighbours, pieces, prefixes, quality, simhash, substrings, surrogates, tokenids, toxicity, variants
+from suitegauge.llm import automaton, divergence, mixing, neighbours, pieces, prefixes, quality, simhash, substrings, surrogates, tokenids, toxicity, variants
 from suitegauge.llm.common import EMBEDDINGS, documents, labels
 
 #: Key of the surrogates in the queries; a user passes a secret one.
@@ -64,6 +64,10 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.grouped(documents(spark, folder))
 
 
+def op12_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return automaton.scored(documents(spark, folder))
+
+
 def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(documents(spark, folder))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixing": op9_source_mixing,
     "op10_simhash_dedup": op10_simhash_dedup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_lm_scores": op12_lm_scores,
     "op13_source_divergence": op13_source_divergence,
 }
 ORACLES: dict[str, str] = {"op13_source_divergence": divergence.AUDIT_SQL}
