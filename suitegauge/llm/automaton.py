@@ -35,8 +35,11 @@ _BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), (
 _BLOCKS_SQL = "block bigint, doc_ids array<bigint>, held binary, ends binary, ids binary, keys binary, tags binary"
 _GRAMS = pa.schema([("key", pa.int64()), ("tag", pa.int32()), ("block", pa.int64()), ("idx", pa.int32()), ("n", pa.int64())])
 _GRAMS_SQL = "key bigint, tag int, block bigint, idx int, n bigint"
-_TOTALS = pa.schema([("block", pa.int64()), ("round", pa.int32()), ("idx", pa.int32()), ("n", pa.int64())])
-_TOTALS_SQL = "block bigint, round int, idx int, n bigint"
+_TOTALS = pa.schema([("block", pa.int64()), ("round", pa.int32()), ("idx", pa.binary()), ("n", pa.binary()),
+                     ("kinds", pa.int64()), ("tokens", pa.int64())])
+_TOTALS_SQL = "block bigint, round int, idx binary, n binary, kinds bigint, tokens bigint"
+#: Totals that a task holds before it sends them, packed by block.
+HELD = 2_000_000
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                      ("base_score", pa.float64()), ("score", pa.float64())])
 _SCORES_SQL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -128,13 +131,31 @@ def _round_of(keys: np.ndarray) -> np.ndarray:
     return (keys % np.uint64(ROUNDS)).astype(np.int64) + 1
 
 
+def _packed(round_no: int, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """One row for each block, with places ascending."""
+    block, idx, n = (np.concatenate(c) for c in zip(*held))
+    order = np.lexsort((idx, block))
+    block, idx, n = block[order], idx[order], n[order]
+    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    cuts = list(zip(first.tolist(), np.append(first[1:], len(block)).tolist()))
+    for at in range(0, len(cuts), 1000):
+        part = cuts[at:at + 1000]
+        yield batch_of(_TOTALS, [int(block[a]) for a, _ in part], [round_no] * len(part),
+                       [idx[a:b].astype("<i4").tobytes() for a, b in part], [n[a:b].astype("<i8").tobytes() for a, b in part],
+                       [0] * len(part), [0] * len(part))
+
+
 def _totals(round_no: int) -> Callable:
-    """Totals of equal hashes for each block whose own count is another; block -1 has the number of trained words and their sum."""
+    """Totals of equal hashes for each block whose own count is another, and the numbers of words seen in training and of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = tokens = 0
+        kinds = tokens = size = 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in sorted_groups(batches, "key"):
             key, tag, block, idx, n = (batch.column(c).to_numpy() for c in ("key", "tag", "block", "idx", "n"))
+            if ((key[1:] == key[:-1]) & (tag[1:] != tag[:-1])).any():
+                order = np.lexsort((tag, key))
+                key, tag, block, idx, n = (c[order] for c in (key, tag, block, idx, n))
             first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])])
             sums = np.add.reduceat(n, first)
             if round_no == 0:
@@ -142,9 +163,15 @@ def _totals(round_no: int) -> Callable:
             total = np.repeat(sums, np.diff(np.append(first, len(n))))
             told = total != n
             if told.any():
-                yield batch_of(_TOTALS, block[told], np.full(int(told.sum()), round_no, dtype=np.int32), idx[told], total[told])
+                held.append((block[told], idx[told], total[told]))
+                size += int(told.sum())
+            if size > HELD:
+                yield from _packed(round_no, held)
+                held, size = [], 0
+        if held:
+            yield from _packed(round_no, held)
         if kinds:
-            yield batch_of(_TOTALS, [-1, -1], [0, 0], [0, 1], [kinds, tokens])
+            yield batch_of(_TOTALS, [None], [round_no], [None], [None], [kinds], [tokens])
 
     return run
 
@@ -191,13 +218,16 @@ def _walked(tokens: int, kinds: int, prior: float) -> Callable:
         counts = np.bincount(block.ids[block.taught], minlength=block.width)
         codes, pair_counts = block.pairs()
         round_of = _round_of(np.frombuffer(row["keys"], dtype="<u8"))[codes // block.width]
-        told_round, idx, n = (totals.column(c).to_numpy() for c in ("round", "idx", "n"))
-        counts[idx[told_round == 0]] = n[told_round == 0]
-        for round_no in range(1, ROUNDS + 1):
-            # Places in a round's list, which is in the order of all.
-            pair_counts[np.flatnonzero(round_of == round_no)[idx[told_round == round_no]]] = n[told_round == round_no]
+        # Places are those of a round's own list, which is in the order of all pairs.
+        places = [np.flatnonzero(round_of == round_no) for round_no in range(1, ROUNDS + 1)]
+        for told in totals.to_pylist():
+            idx, n = np.frombuffer(told["idx"], dtype="<i4"), np.frombuffer(told["n"], dtype="<i8")
+            if told["round"] == 0:
+                counts[idx] = n
+            else:
+                pair_counts[places[told["round"] - 1][idx]] = n
         automaton = Automaton(block.width, codes, pair_counts, counts, tokens, kinds, prior)
-        del codes, pair_counts, round_of, told_round, idx, n
+        del codes, pair_counts, round_of, places
         scores = [automaton.log10(block.ids[a:b].tolist()) for a, b in zip(block.starts.tolist(), block.ends.tolist())]
         return pa.Table.from_batches([batch_of(
             _SCORES, row["doc_ids"], block.held, block.ends - block.starts,
@@ -223,12 +253,12 @@ def scored(docs: DataFrame, prior: float = PRIOR, every: int = 10) -> DataFrame:
     told = []
     for round_no in range(ROUNDS + 1):
         grams = blocks.select("block", "held", "ends", "ids", "keys", "tags").mapInArrow(_grams(round_no), _GRAMS_SQL)
-        told.append(staged(grams.repartition("key").sortWithinPartitions("key", "tag").mapInArrow(_totals(round_no), _TOTALS_SQL), "gram-totals"))
-    size = {r.idx: r.n for r in told[0].where("block < 0").groupBy("idx").agg(F.sum("n").alias("n")).collect()}
-    kinds, tokens = size.get(0, 0), size.get(1, 0)
-    totals = told[0].where("block >= 0")
+        told.append(staged(grams.repartition("key").sortWithinPartitions("key").mapInArrow(_totals(round_no), _TOTALS_SQL), "gram-totals"))
+    size = told[0].agg(F.sum("kinds"), F.sum("tokens")).first()
+    kinds, tokens = size[0] or 0, size[1] or 0
+    totals = told[0]
     for more in told[1:]:
         totals = totals.unionByName(more)
     walked = blocks.select("block", "doc_ids", "held", "ends", "ids", "keys").groupBy("block").cogroup(
-        totals.groupBy("block")).applyInArrow(_walked(tokens, kinds, prior), _SCORES_SQL)
+        totals.where("block is not null").groupBy("block")).applyInArrow(_walked(tokens, kinds, prior), _SCORES_SQL)
     return walked.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
