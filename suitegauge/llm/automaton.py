@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 from suitegauge.llm.common import LOWER, WORD, batch_of, byte_slices, sorted_groups, staged
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 8 << 20
 #: Rounds in which word pairs are counted, by their first word, so that the files of one round are a share of all.
 ROUNDS = 4
 #: What is added to a word's count, and the weight of the word's own probability against the counts after a context.
 ADDED, PRIOR = 0.1, 20.0
 
 _BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.binary()), ("ends", pa.binary()),
-                     ("ids", pa.binary()), ("keys", pa.binary()), ("tags", pa.binary())])
-_BLOCKS_SQL = "block bigint, doc_ids array<bigint>, held binary, ends binary, ids binary, keys binary, tags binary"
+                     ("ids", pa.binary()), ("keys", pa.binary()), ("tags", pa.binary()), ("rounds", pa.binary())])
+_BLOCKS_SQL = "block bigint, doc_ids array<bigint>, held binary, ends binary, ids binary, keys binary, tags binary, rounds binary"
 _GRAMS = pa.schema([("key", pa.int64()), ("tag", pa.int32()), ("block", pa.int64()), ("idx", pa.int32()), ("n", pa.int64())])
 _GRAMS_SQL = "key bigint, tag int, block bigint, idx int, n bigint"
 _TOTALS = pa.schema([("block", pa.int64()), ("round", pa.int32()), ("idx", pa.binary()), ("n", pa.binary()),
@@ -71,7 +71,8 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip((
                 block, batch.column(0).to_pylist(), held.tobytes(), ends.tobytes(),
-                (ids.astype("<u2") if len(words) <= 1 << 16 else ids).tobytes(), prints["key"].tobytes(), prints["tag"].tobytes()), _BLOCKS)],
+                (ids.astype("<u2") if len(words) <= 1 << 16 else ids).tobytes(), prints["key"].tobytes(), prints["tag"].tobytes(),
+                (prints["key"] % np.uint64(ROUNDS) + np.uint64(1)).astype(np.uint8).tobytes()), _BLOCKS)],
                 schema=_BLOCKS)
             block += 1
 
@@ -87,12 +88,14 @@ class Block:
         self.starts = np.r_[0, self.ends[:-1]]
         self.taught = np.repeat(~self.held, self.ends - self.starts)
         self.before = np.r_[0, self.ids[:-1]]
-        self.width = int(self.ids.max()) + 1
+        #: In which round the pairs that a word begins are counted.
+        self.rounds = np.frombuffer(row["rounds"], dtype=np.uint8)
+        self.width = len(self.rounds)
 
     def pairs(self, of: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
         """Distinct word pairs, ascending, as first * width + second, and how often each is in training texts."""
         code = self.before[of] * self.width + self.ids[of]
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)
         code, taught = code[order], self.taught[of][order]
         first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, dtype=np.int64)
         return code[first], np.add.reduceat(taught, first, dtype=np.int64) if len(first) else first
@@ -115,7 +118,7 @@ def _grams(round_no: int) -> Callable:
                 if round_no == 0:
                     n = np.bincount(block.ids[block.taught], minlength=len(keys))
                 else:
-                    code, n = block.pairs(_round_of(keys)[block.before] == round_no)
+                    code, n = block.pairs(block.rounds[block.before] == round_no)
                     first, second = np.divmod(code, block.width)
                     both = tags[first].astype(np.uint64) << np.uint64(32) | tags[second]
                     keys, tags = _mixed(keys[first] * np.uint64(0x9E3779B97F4A7C15) + keys[second]), _mixed(both).astype(np.uint32)
@@ -127,10 +130,6 @@ def _grams(round_no: int) -> Callable:
     return run
 
 
-def _round_of(keys: np.ndarray) -> np.ndarray:
-    return (keys % np.uint64(ROUNDS)).astype(np.int64) + 1
-
-
 def _packed(round_no: int, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """One row for each block, with places ascending."""
     block, idx, n = (np.concatenate(c) for c in zip(*held))
@@ -186,28 +185,20 @@ class Automaton:
         # All that follows a word in training is one of the pairs that begin with it, so its count is their sum.
         weights = np.log10((pair_counts[seen] + prior * share[second]) / (counts[first] + prior))
         self.width = width
-        self.root = np.log10(share)
+        self.root = np.log10(share).tolist()
         self.arcs = dict(zip(codes[seen].tolist(), weights.tolist()))
         # By state: failing, then the empty context's arc of a word.
         self.failure = np.log10(prior / (counts + prior)).tolist()
 
     def log10(self, ids: list[int]) -> float:
         """Log-probability of a text closed by the boundary, read from the boundary on."""
-        arcs, failure, root, width, state, total = self.arcs, self.failure, self._root, self.width, 0, 0.0
+        arc, failure, root, width, state, total = self.arcs.get, self.failure, self.root, self.width, 0, 0.0
         for word in ids:
-            weight = arcs.get(state * width + word)
+            weight = arc(state * width + word)
             total += failure[state] + root[word] if weight is None else weight
             state = word
         return total
 
-    @property
-    def root(self) -> np.ndarray:
-        return np.array(self._root)
-
-    @root.setter
-    def root(self, values: np.ndarray) -> None:
-        self._root = values.tolist()
-
 
 def _walked(tokens: int, kinds: int, prior: float) -> Callable:
     """Scores of a block's texts from the block and the totals told to it."""
@@ -217,7 +208,7 @@ def _walked(tokens: int, kinds: int, prior: float) -> Callable:
         block = Block(row)
         counts = np.bincount(block.ids[block.taught], minlength=block.width)
         codes, pair_counts = block.pairs()
-        round_of = _round_of(np.frombuffer(row["keys"], dtype="<u8"))[codes // block.width]
+        round_of = block.rounds[codes // block.width]
         # Places are those of a round's own list, which is in the order of all pairs.
         places = [np.flatnonzero(round_of == round_no) for round_no in range(1, ROUNDS + 1)]
         for told in totals.to_pylist():
@@ -232,7 +223,7 @@ def _walked(tokens: int, kinds: int, prior: float) -> Callable:
         return pa.Table.from_batches([batch_of(
             _SCORES, row["doc_ids"], block.held, block.ends - block.starts,
             np.add.reduceat(counts[block.ids] > 0, block.starts, dtype=np.int64),
-            np.add.reduceat(automaton.root[block.ids], block.starts), scores)])
+            np.add.reduceat(np.array(automaton.root)[block.ids], block.starts), scores)])
 
     return run
 
@@ -252,13 +243,13 @@ def scored(docs: DataFrame, prior: float = PRIOR, every: int = 10) -> DataFrame:
     blocks = staged(texts.mapInArrow(_blocked, _BLOCKS_SQL), "text-blocks")
     told = []
     for round_no in range(ROUNDS + 1):
-        grams = blocks.select("block", "held", "ends", "ids", "keys", "tags").mapInArrow(_grams(round_no), _GRAMS_SQL)
+        grams = blocks.select("block", "held", "ends", "ids", "keys", "tags", "rounds").mapInArrow(_grams(round_no), _GRAMS_SQL)
         told.append(staged(grams.repartition("key").sortWithinPartitions("key").mapInArrow(_totals(round_no), _TOTALS_SQL), "gram-totals"))
     size = told[0].agg(F.sum("kinds"), F.sum("tokens")).first()
     kinds, tokens = size[0] or 0, size[1] or 0
     totals = told[0]
     for more in told[1:]:
         totals = totals.unionByName(more)
-    walked = blocks.select("block", "doc_ids", "held", "ends", "ids", "keys").groupBy("block").cogroup(
+    walked = blocks.select("block", "doc_ids", "held", "ends", "ids", "rounds").groupBy("block").cogroup(
         totals.where("block is not null").groupBy("block")).applyInArrow(_walked(tokens, kinds, prior), _SCORES_SQL)
     return walked.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
