@@ -21,12 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suitegauge.llm.common import LOWER, WORD, batch_of, byte_slices, sorted_groups, staged
+from suitegauge.llm.common import batch_of, byte_slices, sorted_groups, staged
 
+#: Fixed value: ASCII capitals to small letters, all other bytes as they are.
+FOLDED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Rounds in which word pairs are counted, by their first word, so that the files of one round are a share of all.
 ROUNDS = 4
+#: Rounds in which blocks get their totals and are read, for the same reason.
+WALKS = 2
 #: What is added to a word's count, and the weight of the word's own probability against the counts after a context.
 ADDED, PRIOR = 0.1, 20.0
 
@@ -45,14 +49,17 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_token
 _SCORES_SQL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def numbered(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Word numbers of all texts, each closed by the boundary 0, where each text ends, and the words by number."""
-    numbers: defaultdict[str, int] = defaultdict()
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Word numbers of all texts, each closed by the boundary 0, where each text ends, and the words by number.
+
+    Texts are UTF-8. In bytes, letters fold by one table, and what splits words is just what ``split`` takes for white space.
+    """
+    numbers: defaultdict[bytes, int] = defaultdict()
     numbers.default_factory = numbers.__len__
-    boundary = numbers[" "]
+    boundary = numbers[b" "]
     ids, ends = array("I"), array("q")
     for text in texts:
-        ids.extend(map(numbers.__getitem__, WORD.findall(text.translate(LOWER))))
+        ids.extend(map(numbers.__getitem__, text.translate(FOLDED).split()))
         ids.append(boundary)
         ends.append(len(ids))
     return np.frombuffer(ids, dtype=np.uint32), np.frombuffer(ends, dtype=np.int64), list(numbers)
@@ -66,7 +73,7 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = TaskContext.get().partitionId() << 32
     for whole in batches:
         for batch in byte_slices(whole, 2, BLOCK_BYTES):
-            ids, ends, words = numbered(batch.column(2).to_pylist())
+            ids, ends, words = numbered(batch.column(2).cast(pa.binary()).to_pylist())
             prints = np.frombuffer(b"".join(map(xxh3_128_digest, words)), dtype=np.dtype([("key", "<u8"), ("tag", "<u4"), ("", "<u4")]))
             held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip((
@@ -250,6 +257,10 @@ def scored(docs: DataFrame, prior: float = PRIOR, every: int = 10) -> DataFrame:
     totals = told[0]
     for more in told[1:]:
         totals = totals.unionByName(more)
-    walked = blocks.select("block", "doc_ids", "held", "ends", "ids", "rounds").groupBy("block").cogroup(
-        totals.where("block is not null").groupBy("block")).applyInArrow(_walked(tokens, kinds, prior), _SCORES_SQL)
+    totals, walked = totals.where("block is not null").drop("kinds", "tokens"), None
+    for walk in range(WALKS):
+        own = F.pmod(F.xxhash64("block"), F.lit(WALKS)) == walk
+        read = staged(blocks.where(own).select("block", "doc_ids", "held", "ends", "ids", "rounds").groupBy("block").cogroup(
+            totals.where(own).groupBy("block")).applyInArrow(_walked(tokens, kinds, prior), _SCORES_SQL), "scores")
+        walked = read if walked is None else walked.unionByName(read)
     return walked.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
