@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from suitegauge.functions.text import content_hash
+from suitegauge.session import keep
 
 # Phrases by which an answer reports that the work was done before.
 COMPLETION_PHRASES = [
@@ -195,21 +196,60 @@ def detect_phrases(df: DataFrame, column: str, phrases: list[str] = COMPLETION_P
     return df.withColumn(flag, found)
 
 
-def retry_runs(log: DataFrame, limit: int = MAX_RETRIES, block: int = 1_000_000) -> DataFrame:
+def _floored(column: str, width: int) -> Column:
+    """Whole-number division, rounded down for negative numbers, too."""
+    return F.expr(f"({column} div {width}) - if({column} % {width} < 0, 1, 0)")
+
+
+def _entries(blocks: DataFrame, fan: int, levels: int) -> DataFrame:
+    """(_block, _entry): where the stretch that is open at the beginning of each block began.
+
+    ``blocks`` has one summary each: story at its beginning and end, first number, and where its last stretch began if
+    that is not its first one. Summaries of neighbouring blocks combine to one of the same kind, so up to ``fan``
+    blocks become one of the level above, until one is left; then every level tells the one below it. No window
+    sees more than ``fan`` rows, however many blocks there are.
+    """
+    along = Window.partitionBy("_above").orderBy("_block")
+    steps = []
+    for _ in range(levels):
+        opens = ~F.lag("_last_id").over(along).eqNullSafe(F.col("_first_id")) & (F.row_number().over(along) > 1)
+        step = (
+            blocks.withColumn("_above", F.expr(f"_block div {fan}"))
+            .withColumn("_opens", opens)
+            .withColumn("_begun", F.coalesce("_last_start", F.when(F.col("_opens"), F.col("_first_seq"))))
+            .withColumn("_carried", F.when(F.col("_opens"), F.col("_first_seq")).otherwise(
+                F.max("_begun").over(along.rowsBetween(Window.unboundedPreceding, -1))))
+        )
+        step = keep(step.select("_block", "_above", "_first_id", "_last_id", "_first_seq", "_begun", "_carried"), "retry-level")
+        steps.append(step)
+        blocks = step.groupBy(F.col("_above").alias("_block")).agg(
+            F.min_by("_first_id", "_block").alias("_first_id"), F.max_by("_last_id", "_block").alias("_last_id"),
+            F.min("_first_seq").alias("_first_seq"), F.max("_begun").alias("_last_start"))
+    entries = blocks.select("_block", F.col("_first_seq").alias("_entry"))
+    for step in reversed(steps):
+        entries = step.join(entries.toDF("_above", "_entry"), "_above").select("_block", F.coalesce("_carried", "_entry").alias("_entry"))
+    return entries
+
+
+def retry_runs(log: DataFrame, limit: int = MAX_RETRIES, block: int = 1_000_000, fan: int = 1_000) -> DataFrame:
     """Stretches of consecutive attempts on one story, over the whole log in ``seq`` order.
 
     Input: story_id, seq (a unique whole number), is_retry. Output per stretch:
     story_id, first_seq, attempts, retries, stopped (retries reached the limit).
 
-    One window over the whole log would be one task. Instead the log is cut into
-    blocks of ``seq``: as numbers are unique, a block holds at most ``block`` rows.
-    Windows run per block; a table with one row per block tells each block
-    how the one before it ended; stretches that cross blocks then meet in the
-    final aggregation, which folds long ones before the shuffle.
+    A segmented scan in levels. The log is cut into blocks of ``seq``: as numbers are unique, a block holds at most
+    ``block`` rows, and wide gaps only make more blocks. Windows run per block; summaries of blocks are combined ``fan`` at a time,
+    level by level, and tell each block where the stretch at its beginning began; stretches that cross blocks
+    then meet in the final aggregation, which folds long ones before the shuffle.
     """
     in_block = Window.partitionBy("_block").orderBy("seq")
+    ends = log.agg(F.min("seq"), F.max("seq")).first()
+    first, last, levels = (ends[0] or 0) // block, (ends[1] or 0) // block, 0
+    while last - first >= fan ** levels:
+        levels += 1
+    # Blocks count from 0, so that one is left on the level above all.
     rows = (
-        log.select("story_id", "seq", "is_retry", F.expr(f"seq div {block} as _block"))
+        log.select("story_id", "seq", "is_retry", (_floored("seq", block) - first).alias("_block"))
         .withColumn("_before", F.lag("story_id").over(in_block))
         .withColumn("_is_first", F.row_number().over(in_block) == 1)
         .withColumn("_start", F.when(~F.col("_is_first") & ~F.col("_before").eqNullSafe(F.col("story_id")), F.col("seq")))
@@ -218,19 +258,8 @@ def retry_runs(log: DataFrame, limit: int = MAX_RETRIES, block: int = 1_000_000)
     edges = rows.groupBy("_block").agg(
         F.min_by("story_id", "seq").alias("_first_id"), F.max_by("story_id", "seq").alias("_last_id"),
         F.min("seq").alias("_first_seq"), F.max("_start").alias("_last_start"))
-    along = Window.orderBy("_block")
-    linked = (
-        edges.withColumn("_prev_id", F.lag("_last_id").over(along))
-        .withColumn("_opens", F.when(
-            F.row_number().over(along) == 1, F.lit(True)).otherwise(
-            ~F.col("_prev_id").eqNullSafe(F.col("_first_id"))))
-        .withColumn("_open_seq", F.when(F.col("_opens"), F.col("_first_seq")))
-        .withColumn("_carried", F.max(F.coalesce("_last_start", "_open_seq")).over(
-            along.rowsBetween(Window.unboundedPreceding, -1)))
-        .select("_block", F.coalesce("_open_seq", "_carried").alias("_entry"))
-    )
     return (
-        rows.join(linked, "_block")
+        rows.join(_entries(edges, fan, levels), "_block")
         .groupBy("story_id", F.coalesce("_inner", "_entry").alias("first_seq"))
         .agg(F.count("*").alias("attempts"), F.count_if("is_retry").alias("retries"))
         .withColumn("stopped", F.col("retries") >= limit)

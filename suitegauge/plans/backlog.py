@@ -71,6 +71,11 @@ def retry_runs(spark, folder):
     return backlog.retry_runs(view(spark, folder, "attempts_v"))
 
 
+def retry_runs_sparse(spark, folder):
+    """Numbers with gaps of a million and more: nearly every attempt is a block of its own."""
+    return backlog.retry_runs(view(spark, folder, "sparse_attempts_v"))
+
+
 def phrase_hits(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", "text")
     flagged = backlog.detect_phrases(documents, "text")
@@ -138,7 +143,7 @@ def overrides(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     content_hash, merge_new, diff_by_hash, ready_items, next_item, apply_status, progress_summary, phase_order,
-    phase_order_refactor, lookback, retry_runs, phrase_hits, placeholders, duplicates, exactly_one, env_defaults,
+    phase_order_refactor, lookback, retry_runs, retry_runs_sparse, phrase_hits, placeholders, duplicates, exactly_one, env_defaults,
     plan_sections, plan_subsections, plan_stories, keyword_match, breakdown, overrides)}
 
 _STORIES = with_views("stories_v")
@@ -200,6 +205,15 @@ matched as (select s.doc_id, s.number, s.id, s.title, b.number as subsection, b.
   b.acceptance, b.files from stories s join subsections b on b.doc_id = s.doc_id and b.feature = s.number and (
   (s.title ilike '%trivial%' and b.name ilike '%trivial%') or (s.title ilike '%statistical%' and b.name ilike '%statistical%')))"""
 
+
+def _retries(attempts: str) -> str:
+    return with_views(attempts) + f""",
+marked as (select *, case when lag(story_id) over (order by seq) is distinct from story_id then 1 else 0 end as opens from {attempts}),
+runs as (select *, sum(opens) over (order by seq) as run from marked)
+select story_id, min(seq) as first_seq, count(*) as attempts, count(*) filter (is_retry) as retries,
+  count(*) filter (is_retry) >= 3 as stopped from runs group by story_id, run"""
+
+
 ORACLES = {
     "content_hash": _STORIES + f" select id, {_hash('title')} as content_hash from stories_v",
     "merge_new": _STORIES + f""",
@@ -235,11 +249,8 @@ judged as (select e.story_id, coalesce(n_recent, 0) as n_recent, coalesce(n_miss
     when n_missing > 0 then 'files missing' end as reason
   from expected_files_v e left join marks using (story_id) left join missing using (story_id))
 select story_id, n_recent, n_missing, reason is null as verified, reason from judged""",
-    "retry_runs": with_views("attempts_v") + """,
-marked as (select *, case when lag(story_id) over (order by seq) is distinct from story_id then 1 else 0 end as opens from attempts_v),
-runs as (select *, sum(opens) over (order by seq) as run from marked)
-select story_id, min(seq) as first_seq, count(*) as attempts, count(*) filter (is_retry) as retries,
-  count(*) filter (is_retry) >= 3 as stopped from runs group by story_id, run""",
+    "retry_runs": _retries("attempts_v"),
+    "retry_runs_sparse": _retries("sparse_attempts_v"),
     "phrase_hits": r"""select doc_id, regexp_matches(text, '(?i)is functionally complete|already complete|work is already done|no further implementation.*required|already implemented|already present|was already|has been successfully completed|implementation.*already.*present') as reported_complete,
   regexp_matches(text, '(?i)all rights reserved|license|copyright') as names_license from documents""",
     "placeholders": with_views("services_v") + r"""

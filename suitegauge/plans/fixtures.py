@@ -153,6 +153,10 @@ VIEWS: dict[str, str] = {
         from {events}""",
     "attempts_v": """
         select event_type as story_id, event_id as seq, value < 50 as is_retry from {events}""",
+    # Numbers far apart, from below zero on; stretches of one story are long, so that they cross blocks.
+    "sparse_attempts_v": """
+        select case when event_id % 97 = 0 then event_type when event_id % 500 < 300 then 'long' else cast(user_id % 3 as string) end as story_id,
+          (event_id - 5000) * 1000003 as seq, value < 50 as is_retry from {events}""",
     # Expected and present files of stories.
     "expected_files_v": """
         select c_custkey as story_id,

@@ -118,6 +118,21 @@ def test_retry_stretches_whatever_the_block_size(spark, block):
     assert found == expected
 
 
+@pytest.mark.parametrize("block,fan", [(1, 2), (7, 3), (1_000_000, 4)])
+def test_sparse_retry_stretches_pass_no_wide_window(spark, block, fan):
+    draw, log, story = random.Random(fan), [], "a"
+    for seq in range(-40, 160):
+        story = story if 0 < seq < 80 or draw.random() < 0.5 else draw.choice("ab")
+        log.append((story, seq * 1_000_003, draw.random() < 0.5))
+    groups = [list(g) for _, g in groupby(log, key=lambda r: r[0])]
+    expected = {(g[0][0], g[0][1], len(g), sum(r[2] for r in g)) for g in groups}
+    frame = spark.createDataFrame(log, "story_id string, seq bigint, is_retry boolean").repartition(3)
+    runs = backlog.retry_runs(frame, block=block, fan=fan)
+    assert {tuple(r) for r in runs.select("story_id", "first_seq", "attempts", "retries").collect()} == expected
+    assert "SinglePartition" not in runs._jdf.queryExecution().executedPlan().toString()
+    assert backlog.retry_runs(frame.limit(0), block=block, fan=fan).count() == 0
+
+
 @pytest.mark.parametrize("answer,found", [
     ("The work is Already Done.", True), ("It WAS ALREADY there", True), ("not yet", False), (None, None),
     ("No further implementation is required", True), ("no further implementation\nrequired", False),
