@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from suitegauge.functions import scoring as S
 from suitegauge.functions.text import strip
@@ -76,46 +76,70 @@ def _matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
     return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
+BINS = 1_000
+"""Bins of a bracket in one round of refinement."""
+FEW = 4_096
+"""Values of a bracket that are gathered, by distinct value, instead of being refined."""
+
+
+def _bracketed(runs: DataFrame, brackets: DataFrame, by: list[str], value: str, label: str) -> DataFrame:
+    """The values inside each bracket (by, _i, _lo, _hi) of their group, matched by salt so that a hot group is many keys."""
+    salted = brackets.groupBy(*by).agg(F.collect_list(F.struct("_i", "_lo", "_hi")).alias("_brackets")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salt = F.pmod(F.xxhash64(label, value), F.lit(SALTS)).cast("int")
+    rows = _matched(runs.select(*by, F.col(value).alias("_v"), salt.alias("_salt")), salted, [*by, "_salt"])
+    return rows.selectExpr(*by, "_v", "inline(filter(_brackets, b -> _v between b._lo and b._hi))")
+
+
+def _reached(parts: str, size: str) -> Column:
+    """Of sorted parts with counts ``n``: the first at which the running count reaches ``_need``, and the count before it."""
+    return F.expr(f"""aggregate({parts}, named_struct('before', 0L, 'part', cast(null as {size})),
+        (s, p) -> if(s.part is null and s.before + p.n < _need, named_struct('before', s.before + p.n, 'part', s.part),
+                     if(s.part is null, named_struct('before', s.before, 'part', p), s)))""")
+
+
 def latency_summary(runs: DataFrame, by: list[str], value: str = "execution_time", label: str = "run_id",
-                    accuracy: int = 10_000) -> DataFrame:
+                    accuracy: int = BINS, few: int = FEW) -> DataFrame:
     """Mean, exact quantiles (the smallest value whose share reaches p), extremes and the slowest entry per group.
 
-    A mergeable sketch of bounded size brackets each quantile; the second pass
-    counts the rows below a bracket and gathers, by distinct value, only those
-    inside it, about ten in ``accuracy`` of a group. Both are joined and counted by salt first,
-    so a group that holds most rows is many keys. Among equally slow entries the smallest label is
-    named. A null group is a group.
+    Each quantile has a bracket, at first all values of its group. A bracket of more than ``few`` values is cut into ``accuracy`` bins of like
+    width, whose counts and extremes fold before the shuffle; the bin that holds the wanted rank is the next bracket. As both
+    ends of a bracket are values of it, each round leaves some out; three rounds narrow a billion even values to one.
+    Then the few left are gathered by distinct value. No step holds or orders more than ``accuracy`` or ``few`` entries of a group,
+    however large the group. Among equally slow entries the smallest label is named. A null group is a group.
     """
-    slack = 10 / accuracy
-    edges = [max(q / 1000 - slack, 0.0) for q in QUANTILES] + [min(q / 1000 + slack, 1.0) for q in QUANTILES]
-    n = len(QUANTILES)
-    sketch = ", ".join(f"{e!r}D" for e in edges)
-    # Written once: the second pass reads it in several places, and its size on disk
-    # lets the planner broadcast it when it is small and shuffle when it is not.
+    kind = f"{runs.schema[value].dataType.simpleString()}"
+    # Written once: each round reads it, and its size on disk lets the planner broadcast it when it is small.
     stats = keep(runs.groupBy(*by).agg(*[F.expr(sql) for sql in (
         f"avg({value}) as avg_latency", f"min({value}) as min_latency", f"max({value}) as max_latency",
-        f"count({value}) as total_steps", f"min_by({label}, case when {value} is not null then struct(-{value}, {label}) end) as slowest",
-        f"percentile_approx({value}, array({sketch}), {accuracy}) as _edges")]), "latency")
-    brackets = stats.selectExpr(*by, "_edges", *[f"(total_steps * {q} + 999) div 1000 as _target{i}"
-                                                 for i, q in enumerate(QUANTILES)])
-    salted = brackets.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    rows = _matched(runs.select(*by, F.col(value).alias("_v"), F.pmod(F.xxhash64(label, value), F.lit(SALTS)).cast("int").alias("_salt")),
-                    salted, [*by, "_salt"])
-    below = (rows.groupBy(*by, "_salt").agg(*[F.expr(f"count_if(_v < _edges[{i}]) as _below{i}") for i in range(n)])
-             .groupBy(*by).agg(*[F.sum(f"_below{i}").alias(f"_below{i}") for i in range(n)]))
-    within = [f"_v between _edges[{i}] and _edges[{i + n}]" for i in range(n)]
-    marks = ", ".join(f"struct({i} as _i, {w} as _in)" for i, w in enumerate(within))
-    inside = (
-        rows.filter(" or ".join(within)).selectExpr(*by, "_salt", "_v", f"inline(array({marks}))").filter("_in")
-        .groupBy(*by, "_i", "_v", "_salt").agg(F.expr("count(*) as _n")).groupBy(*by, "_i", "_v").agg(F.sum("_n").alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by, "_i").orderBy("_v")))
-    )
-    targets = _matched(brackets, below, by).selectExpr(
-        *by, *[f"_target{i} - _below{i} as _need{i}" for i in range(n)])
-    found = _matched(inside, targets, by).groupBy(*by).agg(*[
-        F.expr(f"min(case when _i = {i} and _upto >= _need{i} then _v end) as p{QUANTILES[i] // 10}_latency")
-        for i in range(n)])
-    return _matched(stats.drop("_edges"), found, by, "left")
+        f"count({value}) as total_steps", f"min_by({label}, case when {value} is not null then struct(-{value}, {label}) end) as slowest")]), "latency")
+    marks = ", ".join(f"struct({i} as _i, (total_steps * {q} + 999) div 1000 as _need)" for i, q in enumerate(QUANTILES))
+    brackets = stats.where("total_steps > 0").selectExpr(
+        *by, f"inline(array({marks}))", "min_latency as _lo", "max_latency as _hi", "total_steps as _n")
+    closed = "_lo = _hi or _n <= {few}".format(few=few)
+    done = []
+    while True:
+        done.append(brackets.where(closed))
+        if brackets.where(f"not ({closed})").limit(1).count() == 0:
+            break
+        wide = brackets.where(f"not ({closed})")
+        width = f"least(cast((cast(_v as double) - _lo) / (cast(_hi as double) - _lo) * {accuracy} as int), {accuracy - 1})"
+        counted = _bracketed(runs, wide, by, value, label).groupBy(*by, "_i", F.expr(width).alias("_bin")).agg(
+            F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        folded = counted.groupBy(*by, "_i").agg(F.sort_array(F.collect_list(F.struct("_bin", "n", "lo", "hi"))).alias("_parts"))
+        found = _matched(wide.select(*by, "_i", "_need"), folded, [*by, "_i"]).withColumn(
+            "_r", _reached("_parts", f"struct<_bin:int,n:bigint,lo:{kind},hi:{kind}>"))
+        brackets = keep(found.selectExpr(*by, "_i", "_need - _r.before as _need", "_r.part.lo as _lo", "_r.part.hi as _hi", "_r.part.n as _n"), "brackets")
+    narrow = reduce(DataFrame.union, done)
+    single = narrow.where("_lo = _hi").selectExpr(*by, "_i", "_lo as _q")
+    several = narrow.where("_lo < _hi")
+    values = _bracketed(runs, several, by, value, label).groupBy(*by, "_i", "_v").agg(F.count("*").alias("n")).groupBy(*by, "_i").agg(
+        F.sort_array(F.collect_list(F.struct("_v", "n"))).alias("_parts"))
+    exact = _matched(several.select(*by, "_i", "_need"), values, [*by, "_i"]).select(
+        *by, "_i", _reached("_parts", f"struct<_v:{kind},n:bigint>")["part"]["_v"].alias("_q"))
+    found = single.union(exact).groupBy(*by).agg(*[
+        F.expr(f"max(case when _i = {i} then _q end) as p{q // 10}_latency") for i, q in enumerate(QUANTILES)])
+    return _matched(stats, found, by, "left")
 
 
 def multi_class_mutation(summaries: DataFrame, column: str = "summary") -> DataFrame:

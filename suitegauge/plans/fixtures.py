@@ -151,6 +151,14 @@ VIEWS: dict[str, str] = {
           case event_type when 'signup' then 'RED' when 'click' then 'GREEN' when 'purchase' then 'REFACTOR'
             when 'error' then 'FAIL' else 'OTHER' end as marker
         from {events}""",
+    # Events in the lots they arrive in, eight days each: every fifth twelve hours behind its time, every hundred-and-first 25 days.
+    "arrivals_v": """
+        select user_id as submission_id, event_id, ts, props,
+          case event_type when 'purchase' then 'completed' when 'error' then 'failed' when 'signup' then 'submitted' else 'working' end as state,
+          case when event_id % 7 = 0 then 0 else 1 end as n_artifacts,
+          cast(least(3, floor((dayofyear(ts) - 1
+            + case when event_id % 101 = 0 then 25 when event_id % 5 = 0 and hour(ts) >= 12 then 1 else 0 end) / 8)) as int) as lot
+        from {events}""",
     "attempts_v": """
         select event_type as story_id, event_id as seq, value < 50 as is_retry from {events}""",
     # Numbers far apart, from below zero on; stretches of one story are long, so that they cross blocks.

@@ -17,7 +17,7 @@ from suitegauge.sources.results import append_log, progress_text, read_results,
 from suitegauge.sources.tables import table
 from suitegauge.sources.tasks import write_tasks
 from suitegauge.streaming import leaderboard as board_stream
-from suitegauge.streaming.submissions import first_completed_stream, run_to_table
+from suitegauge.streaming.submissions import earliest_completed_stream, first_completed_stream, keyed_state, run_to_table
 
 
 def first_completed(spark, folder):
@@ -87,12 +87,26 @@ def stream_first_completed(spark, folder):
 
 
 def stream_leaderboard(spark, folder):
-    """Result documents written as files, then read as a stream into board snapshots."""
+    """Result documents written as files, then read as a stream into a board of buckets."""
     files, out, checkpoint = (work_folder(spark, name) for name in ("results", "board", "board-log"))
     write_results(documents(spark, folder), files)
     stream = board_stream.read_result_stream(spark, files, files_per_batch=4)
-    board_stream.keep_snapshots(board_stream.latest_per_participant(stream), out, checkpoint)
-    return board.overall(board_stream.read_snapshot(spark, out))
+    board_stream.keep_board(board_stream.newest_results(stream), out, checkpoint, buckets=8)
+    return board.overall(board_stream.read_board(spark, out))
+
+
+def stream_earliest_completed(spark, folder):
+    """Events that arrive in four lots, some of them out of order and some too late, and at last one from the far future."""
+    keyed_state(spark)
+    lots, out, checkpoint = (work_folder(spark, name) for name in ("lots", "earliest", "earliest-log"))
+    arriving = view(spark, folder, "arrivals_v")
+    for lot in range(5):
+        of_lot = arriving.filter(f"lot = {lot}").drop("lot") if lot < 4 else spark.sql(
+            "select cast(null as bigint) as submission_id, -1L as event_id, timestamp_ntz '2100-01-01' as ts, 'end' as props, "
+            "'completed' as state, 1 as n_artifacts")
+        of_lot.write.mode("append").parquet(lots)
+        run_to_table(earliest_completed_stream(spark.readStream.schema(of_lot.schema).parquet(lots), "1 day"), out, checkpoint)
+    return spark.read.parquet(out)
 
 
 def trace_latency(spark, folder):
@@ -131,7 +145,8 @@ def progress_log(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     trace_latency, results_round_trip, prepared_round_trip, progress_log, first_completed, never_completed, first_text, first_text_part, syntax_valid, submission_lint, request_text,
-    participant_names, request_metrics, stream_first_completed, stream_leaderboard)}
+    participant_names, request_metrics, stream_first_completed, stream_leaderboard,
+    stream_earliest_completed)}
 
 _LINT = with_views("code_v") + r""",
 linted as (select *, contains(tests, case when track = 'tdd' then 'import pytest' else 'from pytest_bdd' end) as has_import,
@@ -168,6 +183,14 @@ select c.track, case when contains(tests, 'import os') then 'error' else 'succes
   round(avg(length(tests) / 4), 6) as avg_generation_time
 from code_v c join tasks_v t on t.ordinal = c.p_partkey + 1 group by 1, 2""",
     "stream_first_completed": _DONE + " select distinct submission_id, cast(1 as bigint) as n_passed from done",
+    "stream_earliest_completed": with_views("arrivals_v") + """,
+done as (select * from arrivals_v where state = 'completed' and n_artifacts > 0),
+edges as (select lot, date_trunc('milliseconds', max(max(ts)) over (order by lot rows between unbounded preceding and 1 preceding)) - interval 1 day as edge
+  from done group by lot),
+judged as (select d.*, coalesce(ts >= edge, true) as in_time from done d join edges using (lot)),
+firsts as (select *, row_number() over (partition by submission_id order by ts, event_id) as n from judged where in_time)
+select submission_id, event_id, ts, props, 'first' as kind from firsts where n = 1
+union all select submission_id, event_id, ts, props, 'late' from judged where not in_time""",
     "stream_leaderboard": BOARD + """select id, track, score, mutation_pct, fault_detection_pct, pass_rate, task_count
 from board order by score desc, mutation_pct desc, id""",
 }

@@ -203,6 +203,20 @@ def test_quantiles_are_exact(spark):
         assert row.slowest == -slowest[1] and row.total_steps == len(values)
 
 
+@pytest.mark.parametrize("bins,few", [(2, 1), (10, 50), (1_000, 4_096)])
+def test_quantiles_of_a_hot_group_pass_no_window(spark, bins, few):
+    draw = random.Random(few)
+    values = [draw.uniform(0, 1e-6) for _ in range(1500)] + [10.0 ** draw.uniform(-3, 9) for _ in range(500)] + [7.5] * 300
+    frame = spark.createDataFrame([("hot", v, n) for n, v in enumerate(values)] + [("one", 4.0, 1), (None, 2.0, 5)],
+                                  "g string, execution_time double, run_id bigint")
+    summary = documented.latency_summary(frame, ["g"], accuracy=bins, few=few)
+    assert "Window" not in summary._jdf.queryExecution().executedPlan().toString()
+    rows, values = {r.g: r for r in summary.collect()}, sorted(values)
+    for share, name in ((500, "p50_latency"), (950, "p95_latency"), (990, "p99_latency")):
+        assert rows["hot"][name] == values[-(-share * len(values) // 1000) - 1]
+        assert rows["one"][name] == 4.0 and rows[None][name] == 2.0
+
+
 def test_multi_class_summary(spark):
     text = "Mutants:\n  - killed: 45 (caught)\n  - survived: 3\n  - suspicious: 1\n  - timeout: 2\n"
     row = documented.multi_class_mutation(spark.createDataFrame([(text,)], "summary string")).first()
