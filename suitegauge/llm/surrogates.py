@@ -128,6 +128,13 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, d: a + d)
 
 
+def mod97(account: Column) -> Column:
+    """An account number's remainder, 1 if it is valid: its first four characters go last, and letters count from 10 on."""
+    turned = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(turned)), lambda i: F.ascii(F.substring(turned, i, F.lit(1)))), F.lit(0), lambda a, c: F.when(
+        c >= 65, (a * 100 + c - 55) % 97).otherwise((a * 10 + c - 48) % 97))
+
+
 def _once(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then`` of ``value``, which is computed once however often ``then`` names it."""
     return F.transform(F.array(value), then)[0]
@@ -159,8 +166,16 @@ def _from_stream(key: str, kind: Column, value: Column, stream: Column, attempt:
         ((10 - luhn(F.concat(F.substring(n, F.lit(1), F.length(n) - 1), F.lit("0"))) % 10) % 10).cast("string"))).otherwise(n))
     mail = F.concat(_like(F.concat(F.regexp_extract(value, "^(.*)\\.[^.]*$", 1), F.substring(F.repeat(F.lit("na"), longer), F.lit(1), longer)), stream, CLASSES),
                     F.regexp_extract(value, "\\.[^.]*$", 0))
-    machine = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_byte(stream, i) % 254 + 1).cast("string")), ".")
-    bank = F.concat(F.substring(value, 1, 2), F.substring(plain, F.lit(3), F.length(value)))
+    octets = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_byte(stream, i) % 254 + 1).cast("string"))
+    # Private and loopback addresses stay in their range; others begin with 11 to 126, which is neither.
+    range_of = _once(F.regexp_extract(value, "^(?:10|127|192\\.168|172\\.(?:1[6-9]|2\\d|3[01]))(?=\\.)", 0), lambda own: F.when(
+        own == "", (_byte(stream, F.lit(1)) % 116 + 11).cast("string")).otherwise(own))
+    machine = _once(range_of, lambda own: F.concat_ws(".", own, F.slice(octets, F.lit(1), 4 - F.size(F.split(own, "\\.")))))
+    # The check digits of a valid account number are those of the new one.
+    account = F.substring(plain, F.lit(5), F.length(value))
+    country = F.substring(value, 1, 2)
+    bank = F.when(mod97(value) == 1, F.concat(country, F.lpad((98 - mod97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0"), account)
+                  ).otherwise(F.concat(country, F.substring(plain, F.lit(3), F.length(value))))
     given = F.element_at(F.create_map(*[F.lit(n) for names in GIVEN.values() for pair in permuted(key, names).items() for n in pair]), value)
     return (F.when(kind == "email", mail).when(kind == "secret", _like(value, stream, [_HEX]))
             .when(kind == "ip", machine).when(kind == "iban", bank).when(kind == "card", card)
@@ -197,30 +212,44 @@ def written(kind: Column, entity: Column, values: Column) -> Column:
             .when(kind == "name", name).when(kind == "ip", values[0]).otherwise(_cased(entity, values[0])))
 
 
-def _found(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with entities: array of entity, kind and atoms."""
-    return docs.withColumn("pii_found", F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).withColumn(
-        "pii_entities", F.transform(F.coalesce("pii_found", F.array().cast("array<string>")), lambda e: F.struct(
-            e.alias("entity"), kind_of(e).alias("kind")))).drop("pii_found").withColumn(
-        "pii_entities", F.transform("pii_entities", lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"),
-                                                                    atoms(e["kind"], e["entity"]).alias("atoms"))))
+#: What marks entities while a text is taken apart; texts that hold it are taken apart by the pattern twice.
+MARK = "\ue0f7"
+
 
+def detected(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with pii_parts: what is between entities and, at every second place, the entities; null where there is none.
+
+    The pattern runs over a text once: it marks the entities, and the text is split at the marks.
+    """
+    marked = F.split(F.regexp_replace(text, F.lit(f"(?:{ENTITY})"), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    between = F.split(text, ENTITY, -1)
+    twice = F.slice(F.flatten(F.zip_with(between, found, lambda piece, entity: F.array(piece, entity))), F.lit(1), 2 * F.size(found) + 1)
+    parts = _once(F.when(F.contains(F.col(text), F.lit(MARK)), twice).otherwise(marked), lambda p: F.when(F.size(p) > 1, p))
+    return docs.withColumn("pii_parts", parts)
 
-def redrawn(docs: DataFrame, key: str) -> DataFrame:
-    """(kind, value, attempt): the atoms whose first surrogates collided, with the attempt that does not.
+
+def _entities(parts: Column) -> Column:
+    """The entities of parts with their kinds and atoms."""
+    kinds = F.transform(F.filter(parts, lambda _, i: i % 2 == 1), lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind")))
+    return F.transform(kinds, lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), atoms(e["kind"], e["entity"]).alias("atoms")))
+
+
+def redrawn(found: DataFrame, key: str) -> DataFrame:
+    """(kind, value, attempt): of entities ``pii_entities``, the atoms whose first surrogates collided, with the attempt that does not.
 
     Two atoms of a kind must not share a surrogate, nor may a surrogate be an atom that occurs, nor a surname's a
     listed given name. Given names are permuted within their lists and never collide. If the space of a format is used up,
     as may be for short phone numbers, a ValueError tells.
     """
     atom = F.struct("kind", "value")
-    known = staged(_found(docs.select("text")).select(F.explode("pii_entities").alias("e")).select(F.explode("e.atoms").alias("a"))
+    known = staged(found.select(F.explode("pii_entities").alias("e")).select(F.explode("e.atoms").alias("a"))
                    .select("a.kind", "a.value").where(~F.col("kind").isin(*GIVEN)).distinct(), "pii-atoms")
     drawn = staged(known.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(key, atom, F.col("attempt"))), "pii-drawn")
     listed = [n.lower() for names in GIVEN.values() for n in names]
     for _ in range(MOST_DRAWS):
-        shared = drawn.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("value").alias("winner")).where("n > 1").drop("n")
-        occurring = known.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("occurs"))
+        shared = drawn.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("value").alias("winner")).where("n > 1").drop("n").hint("merge")
+        occurring = known.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("occurs")).hint("merge")
         lost = staged(drawn.join(shared, ["kind", "surrogate"], "left").join(occurring, ["kind", "surrogate"], "left")
                       .where(F.expr("value <> winner or occurs") | (F.col("kind") == "surname") & F.col("surrogate").isin(listed))
                       .select("kind", "value", "attempt"), "pii-lost")
@@ -242,22 +271,29 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     if any, is replaced; an empty table gives no rows.
     """
     kept = [c for c in docs.columns if c != "pii_count"]
-    exceptions = redrawn(docs, key)
-    # Which texts hold an atom that was drawn again; by content, as ids may be missing or repeat.
-    holders = (_found(docs.select("text")).select(F.xxhash64("text").alias("pii_content"), F.explode("pii_entities").alias("e"))
-               .select("pii_content", F.explode("e.atoms").alias("a")).select("pii_content", "a.kind", "a.value").distinct()
-               .join(exceptions, ["kind", "value"])
-               .groupBy("pii_content").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("kind", "value"), "attempt"))).alias("pii_attempts")))
-    holders = staged(holders, "pii-holders")
-    joined = _found(docs.select(*kept).withColumn("pii_content", F.xxhash64("text"))).join(holders, "pii_content", "left")
+    # The pattern runs once; a text with entities is kept as its parts.
+    parted = detected(docs.select(*[F.col(f"`{c}`") for c in kept])).withColumn("text", F.when(F.col("pii_parts").isNull(), F.col("text")))
+    found = staged(parted, "pii-parts").withColumn("pii_entities", _entities(F.col("pii_parts")))
+    named = staged(found.where("pii_parts is not null").select(F.xxhash64("pii_parts").alias("pii_content"), "pii_entities"), "pii-entities")
+    exceptions = redrawn(named, key)
+    attempts = "map<struct<kind:string,value:string>,int>"
+    if exceptions.isEmpty():
+        joined = found.withColumn("pii_attempts", F.lit(None).cast(attempts))
+    else:
+        # Which texts hold an atom that was drawn again; by content, as ids may be missing or repeat.
+        holders = (named.select("pii_content", F.explode("pii_entities").alias("e"))
+                   .select("pii_content", F.explode("e.atoms").alias("a")).select("pii_content", "a.kind", "a.value").distinct()
+                   .join(exceptions, ["kind", "value"])
+                   .groupBy("pii_content").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("kind", "value"), "attempt"))).alias("pii_attempts")))
+        joined = found.withColumn("pii_content", F.xxhash64("pii_parts")).join(staged(holders, "pii-holders"), "pii_content", "left")
 
     def value(atom: Column) -> Column:
         attempt = F.coalesce(F.element_at("pii_attempts", F.struct(atom["kind"].alias("kind"), atom["value"].alias("value"))), F.lit(0))
         return surrogate(key, atom, attempt)
 
-    texts = F.transform("pii_entities", lambda e: _once(F.transform(e["atoms"], value), lambda values: written(e["kind"], e["entity"], values)))
-    pieces = F.split("text", ENTITY, -1)
-    woven = F.array_join(F.zip_with("pii_pieces", "pii_new", lambda piece, new: F.concat(piece, F.coalesce(new, F.lit("")))), "")
-    out = joined.withColumn("pii_new", texts).withColumn("pii_pieces", F.when(F.size("pii_new") > 0, pieces))
-    return out.withColumn("pii_text", F.when(F.size("pii_new") > 0, woven).otherwise(F.col("text"))).select(
-        *[F.col("pii_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in kept], F.size("pii_new").alias("pii_count"))
+    new = F.transform("pii_entities", lambda e: _once(F.transform(e["atoms"], value), lambda values: written(e["kind"], e["entity"], values)))
+    woven = _once(new, lambda n: F.array_join(F.transform(F.col("pii_parts"), lambda part, i: F.when(
+        i % 2 == 1, F.coalesce(F.get(n, ((i - 1) / 2).cast("int")), F.lit(""))).otherwise(part)), ""))
+    out = joined.withColumn("pii_text", F.when(F.col("pii_parts").isNotNull(), woven).otherwise(F.col("text")))
+    return out.select(*[F.col("pii_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in kept],
+                      F.when(F.col("pii_parts").isNull(), 0).otherwise(F.size("pii_entities")).alias("pii_count"))

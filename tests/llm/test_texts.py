@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import itertools
 import random
 import re
@@ -406,3 +407,30 @@ def test_empty_tables(empty, byte_bpe):
     assert substrings.without_repeats(empty).count() == 0
     assert simhash.near_duplicates(empty).count() == 0 and simhash.kept_documents(empty).count() == 0
     assert tokenids.fetch(tokenids.write_shards(empty, byte_bpe), tokenids.keys_of(empty)).count() == 0
+
+
+def test_accounts_stay_valid_and_private_addresses_private(spark):
+    accounts = ["DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606", "DE00370400440532013000"]
+    addresses = ["10.0.0.1", "127.0.0.1", "192.168.7.9", "172.16.0.4", "172.32.0.4", "8.8.8.8", "224.0.0.1"]
+    frame = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(accounts + addresses)], "doc_id int, text string")
+    found = {r.doc_id: r.text[4:-6] for r in surrogates.replaced(frame, "k").collect()}
+
+    def remainder(account):
+        return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+    for i, account in enumerate(accounts):
+        assert found[i] != account and found[i][:2] == account[:2] and len(found[i]) == len(account)
+        assert remainder(account) != 1 or remainder(found[i]) == 1
+    for i, address in enumerate(addresses, len(accounts)):
+        new = ipaddress.ip_address(found[i])
+        assert found[i] != address and new.is_private == (ipaddress.ip_address(address).is_private) and not new.is_multicast
+
+
+def test_texts_that_hold_the_mark(spark):
+    mark = surrogates.MARK
+    texts = [f"{mark} a@b.com {mark}{mark} then 10.1.2.3{mark}", f"{mark}none{mark}", "a@b.com", "a@b.com 10.1.2.3"]
+    found = [r.text for r in surrogates.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "k").orderBy("doc_id").collect()]
+    mail, machine = found[3].split(" ")
+    assert found == [f"{mark} {mail} {mark}{mark} then {machine}{mark}", texts[1], mail, f"{mail} {machine}"]
+    parts = surrogates.detected(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert all(r.pii_parts is None or "".join(r.pii_parts) == r.text for r in parts) and [bool(r.pii_parts) for r in parts] == [True, False, True, True]
