@@ -9,7 +9,6 @@ unknown keys are told by their fingerprint.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -30,8 +29,11 @@ BUCKET_KEYS = 8192
 #: Units of text whose ids a Python worker remembers.
 REMEMBERED = 800_000
 END = b"\0\0\0\0"
-#: What a text of units does not have: other white space, white space in a row or at an end; nor is it empty.
-_UNEVEN = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z|\A\Z")
+
+
+def even(text: str) -> bool:
+    """Whether a text is words with single spaces and single line ends between them, and no other white space; not if empty."""
+    return text != "" and text.replace("\n", " ") == " ".join(text.split())
 
 
 class UnitEncoder:
@@ -70,8 +72,8 @@ class UnitEncoder:
                 self.known.update(zip(part, self._whole(spelled)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
-        plain = [not _UNEVEN.search(t) for t in texts]
+        plain = [even(t) for t in texts]
+        split = [t.replace("\n", " \n").split(" ") if good else [] for t, good in zip(texts, plain)]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         if len(self.first) > REMEMBERED:
