@@ -165,6 +165,24 @@ VIEWS: dict[str, str] = {
     "sparse_attempts_v": """
         select case when event_id % 97 = 0 then event_type when event_id % 500 < 300 then 'long' else cast(user_id % 3 as string) end as story_id,
           (event_id - 5000) * 1000003 as seq, value < 50 as is_retry from {events}""",
+    # Lines of datasets and results, with what a reader makes of them: cut off, a list, without an id, an id without a number.
+    "dataset_lines_v": """
+        select replace(replace(case p_partkey % 7 when 0 then concat('<"task_id": "HumanEval/', cast(p_partkey as string), '", "entry_point": "', p_name)
+            when 1 then concat('[', cast(p_partkey as string), ']')
+            when 2 then concat('<"entry_point": "', p_name, '">')
+            when 3 then concat('<"task_id": "Other/', cast(p_partkey as string), '", "entry_point": "', p_name, '">')
+            else concat('<"task_id": "HumanEval/', cast(p_partkey as string), '", "entry_point": "', p_name, '", "more": 1>') end, '<', chr(123)), '>', chr(125)) as line,
+          case when p_partkey % 7 > 3 then p_partkey end as n,
+          case when p_partkey % 7 in (0, 1) then null else p_name end as entry_point,
+          case when p_partkey % 7 < 3 then 'not a record' when p_partkey % 7 = 3 then 'no number in task_id' end as reason
+        from {part}""",
+    "result_lines_v": """
+        select replace(replace(case s_suppkey % 4 when 0 then concat('<"participants": <"agent": "', s_name, '">, "results": [<"score"')
+            when 1 then concat('<"participants": <"agent": "', s_name, '">, "results": [<"score": "high">]>')
+            else concat('<"participants": <"agent": "', s_name, '">, "results": [<"score": 0.', cast(s_suppkey % 4 as string), '5>]>') end, '<', chr(123)), '>', chr(125)) as line,
+          case s_suppkey % 4 when 2 then cast(0.25 as double) when 3 then cast(0.35 as double) end as score,
+          case s_suppkey % 4 when 0 then 'not a result document' when 1 then 'score is not a number' end as reason
+        from {supplier}""",
     # Expected and present files of stories.
     "expected_files_v": """
         select c_custkey as story_id,

@@ -13,8 +13,10 @@ from suitegauge.plans.leaderboards import BOARD
 from suitegauge.plans.preparation import BUILT, built
 from suitegauge.plans.scoring import documents
 from suitegauge.session import work_folder
-from suitegauge.sources.results import append_log, progress_text, read_results, write_results
+from suitegauge.sources.results import append_batch, append_log, progress_text, read_results, write_results
+from suitegauge.sources.results import result_lines as read_result_lines
 from suitegauge.sources.tables import table
+from suitegauge.sources.tasks import dataset_lines as read_dataset_lines
 from suitegauge.sources.tasks import write_tasks
 from suitegauge.streaming import leaderboard as board_stream
 from suitegauge.streaming.submissions import earliest_completed_stream, first_completed_stream, keyed_state, run_to_table
@@ -143,8 +145,33 @@ def progress_log(spark, folder):
     return progress_text(spark.read.schema(entries.schema).json(path))
 
 
+def progress_log_rerun(spark, folder):
+    """Two batches of entries, the first appended again after the second: every entry is there once."""
+    path = work_folder(spark, "progress")
+    entries = table(spark, folder, "events").selectExpr(
+        "event_id as iteration", "date_format(ts, 'yyyy-MM-dd') as logged_at", "concat('STORY-', user_id) as story_id",
+        "case event_type when 'purchase' then 'PASS' when 'error' then 'FAIL' else 'RETRY' end as status", "props as notes")
+    for batch in (0, 1, 0):
+        append_batch(entries.filter(f"iteration % 2 = {batch}"), path, batch)
+    return progress_text(spark.read.schema(entries.schema).json(path))
+
+
+def dataset_lines(spark, folder):
+    """Dataset lines written as text, some of them broken, and read once: each line is a record or a reject."""
+    path = work_folder(spark, "dataset")
+    view(spark, folder, "dataset_lines_v").select("line").write.text(path)
+    return read_dataset_lines(spark, path).select("line", F.coalesce("n", F.lit(-1)).alias("n"), "entry_point", "reason")
+
+
+def result_lines(spark, folder):
+    """Result lines written as text, some of them broken, and read once."""
+    path = work_folder(spark, "result-lines")
+    view(spark, folder, "result_lines_v").select("line").write.text(path)
+    return read_result_lines(spark, path).selectExpr("line", "get(results, 0).score as score", "reason")
+
+
 QUERIES = {f.__name__: f for f in (
-    trace_latency, results_round_trip, prepared_round_trip, progress_log, first_completed, never_completed, first_text, first_text_part, syntax_valid, submission_lint, request_text,
+    progress_log_rerun, dataset_lines, result_lines, trace_latency, results_round_trip, prepared_round_trip, progress_log, first_completed, never_completed, first_text, first_text_part, syntax_valid, submission_lint, request_text,
     participant_names, request_metrics, stream_first_completed, stream_leaderboard,
     stream_earliest_completed)}
 
@@ -160,6 +187,8 @@ ORACLES = {
 from board order by score desc, mutation_pct desc, id""",
     "prepared_round_trip": BUILT + """ select task_id, spec, concat('{"task_id":"', task_id, '","function_name":"', function_name,
   '","track":"tdd","source":"evalplus"}') as metadata from built where track = 'bdd'""",
+    "dataset_lines": with_views("dataset_lines_v") + " select line, coalesce(n, -1) as n, entry_point, reason from dataset_lines_v",
+    "result_lines": with_views("result_lines_v") + " select line, score, reason from result_lines_v",
     "progress_log": """select event_id as iteration, concat('## Iteration ', event_id, ' - ', strftime(ts, '%Y-%m-%d'), chr(10),
   'Story: STORY-', user_id, chr(10), 'Status: ',
   case event_type when 'purchase' then 'PASS' when 'error' then 'FAIL' else 'RETRY' end, chr(10), 'Notes: ', props, chr(10)) as entry
@@ -194,3 +223,4 @@ union all select submission_id, event_id, ts, props, 'late' from judged where no
     "stream_leaderboard": BOARD + """select id, track, score, mutation_pct, fault_detection_pct, pass_rate, task_count
 from board order by score desc, mutation_pct desc, id""",
 }
+ORACLES["progress_log_rerun"] = ORACLES["progress_log"]
