@@ -29,6 +29,8 @@ PARTS_REPLACED, PARTS_MOVED = 7, 4
 BUCKET = 100_000
 #: Rows that a task compares at a time, whole buckets of them.
 HELD = 50_000
+#: Letters of a table, padding included; longer words come in tables of fewer rows.
+CELLS = 2_000_000
 #: What a word seeks in a bucket: words of its length, words one letter longer, words one letter shorter.
 ALIKE, SHORTER, LONGER = 0, 1, 2
 
@@ -76,6 +78,21 @@ def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return table, (table > 0).sum(axis=1)
 
 
+def tables(starts: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in parts whose tables are of at most ``CELLS`` letters, like lengths together; the runs that begin at ``starts`` stay whole."""
+    size = np.diff(np.append(starts, len(lengths)))
+    longest = np.maximum.reduceat(lengths, starts) if len(starts) else starts
+    part, rows = [], 0
+    for run in np.argsort(longest, kind="stable").tolist():
+        if part and (rows + size[run]) * longest[run] > CELLS:
+            yield np.concatenate(part)
+            part, rows = [], 0
+        part.append(np.arange(starts[run], starts[run] + size[run]))
+        rows += int(size[run])
+    if part:
+        yield np.concatenate(part)
+
+
 def signatures(table: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, signature, kind) arrays: all PartEnum signatures of all words.
 
@@ -111,9 +128,11 @@ def _signed(words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 2000):
-                word, signature, kind = signatures(*letters(batch.column(0).to_pylist()))
-                yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(kind), batch.column(0).take(pa.array(word))],
-                                                 schema=schema)
+                words = batch.column(0).to_pylist()
+                for part in tables(np.arange(len(words)), np.array([len(w) for w in words])):
+                    word, signature, kind = signatures(*letters([words[i] for i in part.tolist()]))
+                    yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(kind),
+                                                      batch.column(0).take(pa.array(part[word]))], schema=schema)
 
     return words.select("word").mapInArrow(run, "bucket bigint, kind tinyint, word string")
 
@@ -193,10 +212,12 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A bucket of one row has no pairs.
         same = np.r_[False, bucket[1:] == bucket[:-1], False]
         several = np.flatnonzero(same[1:] | same[:-1])
-        if len(several):
-            words = [words[i] for i in several.tolist()]
-            a, b = near_pairs(bucket[several], kind[several], words)
-            pairs = {(words[i], words[j]) for i, j in zip(a.tolist(), b.tolist())}
+        bucket, kind, words = bucket[several], kind[several], [words[i] for i in several.tolist()]
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][:len(bucket)])
+        for part in tables(starts, np.array([len(w) for w in words], dtype=np.int64)):
+            own = [words[i] for i in part.tolist()]
+            a, b = near_pairs(bucket[part], kind[part], own)
+            pairs = {(own[i], own[j]) for i, j in zip(a.tolist(), b.tolist())}
             if pairs:
                 yield batch_of(_PAIRS, *zip(*pairs), [None] * len(pairs), [None] * len(pairs))
 

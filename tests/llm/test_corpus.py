@@ -106,6 +106,14 @@ def test_links_of_one_hot_bucket_are_whole(spark, monkeypatch, bucket):
     assert all(abs(len(a) - len(b)) <= 1 for a, b in found)
 
 
+def test_very_long_words_come_in_small_tables(spark):
+    long = "abcdefghij" * 4_000
+    words = [long, long + "x", "y" + long[1:], *(f"short{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100))]
+    found = {(r.a, r.b) for r in variants.links(spark.createDataFrame([(w,) for w in words], "word string").coalesce(1)).collect()}
+    assert {p for p in found if len(p[0]) > 9} == {(long, long + "x"), (long, "y" + long[1:])}
+    assert len(found) == 2 + 100 * 18 // 2
+
+
 def test_near_words_share_a_signature():
     rng = random.Random(5)
     for _ in range(300):
