@@ -164,14 +164,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFra
 
 
 def kept_documents(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
-    """``docs`` with one row of each component of rows that have an id: the least by doc_id, text and the other columns.
+    """``docs`` with one row of each component: the least by doc_id, text and the other columns, rows without an id last.
 
-    Rows are judged by their own texts, so an id that repeats with unlike texts is in several components.
-    Rows without an id cannot be named and all stay.
+    Rows are judged by their own texts, so an id that repeats with unlike texts is in several components, and a row without an
+    id goes like any other if a near copy of it stays.
     """
     content = F.xxhash64("text")
+    # Rows without an id come under the largest one; a row that really has it differs by its text, or is a copy.
+    number = F.coalesce("doc_id", F.lit(2**63 - 1).cast("long"))
     # A text's fingerprint, once per id and text; ids that repeat a text cost one row.
-    texts = docs.where("doc_id is not null").groupBy("doc_id", content.alias("content")).agg(F.count("*").alias("rows"), F.first("text").alias("text"))
+    texts = docs.groupBy(number.alias("doc_id"), content.alias("content")).agg(F.count("*").alias("rows"), F.first("text").alias("text"))
     prints = staged(fingerprints(texts, shingle, "content", "rows"), "fingerprints")
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     grouped = _grouped(classes, most)
@@ -182,8 +184,9 @@ def kept_documents(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFram
     repeated = staged(named.where("doc_id = first_id").join(sizes.where("size > 1"), "root").select("doc_id", "content", "root"), "repeated")
     keyed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     names = dict(zip(docs.columns, keyed.columns))
-    keyed = keyed.withColumn("doc_id", F.col(names["doc_id"])).withColumn("content", F.xxhash64(names["text"]))
+    keyed = keyed.withColumn("doc_id", F.coalesce(names["doc_id"], F.lit(2**63 - 1).cast("long"))).withColumn("content", F.xxhash64(names["text"]))
     alone = keyed.join(gone, ["doc_id", "content"], "left_anti").join(repeated, ["doc_id", "content"], "left_anti")
-    order = F.struct(*[names[c] for c in ["doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")]]])
+    others = [names[c] for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.struct(F.col(names["doc_id"]).isNull(), *[names[c] for c in ("doc_id", "text")], *others)
     least = keyed.join(repeated, ["doc_id", "content"]).groupBy("root").agg(F.min(order).alias("row")).select("row.*")
     return alone.select(*keyed.columns[:len(names)]).unionByName(least).toDF(*docs.columns)

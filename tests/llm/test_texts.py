@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import itertools
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -301,7 +303,7 @@ def test_spans_and_extensions():
 # Mixing
 
 def test_mixing_odd_rows(docs, empty):
-    found = mixing.mixed(docs.drop("position", "lane"), block=2).collect()
+    found = mixing.mixed(docs.drop("position"), block=4).collect()
     assert len(found) == len(ROWS) and len({r.position for r in found}) == len(ROWS)
     assert all(r.release <= r.slot < r.due for r in found)
     ordered = mixing.in_mixed_order(docs)
@@ -309,29 +311,78 @@ def test_mixing_odd_rows(docs, empty):
     assert mixing.mixed(empty).count() == 0
 
 
-def test_no_source_is_a_block_away_from_its_weight(spark):
-    sizes = {"a": 4000, "b": 900, "c": 90, None: 700}
+def read_order(spark, sizes, weights, block=16):
     rows = [(k, s, "t") for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
-    for weights in (None, {"a": 0.6, "b": 0.3, "c": 0.1}):
-        found = mixing.mixed(docs, weights, block=4)
-        blocks = sorted({(r.slot, r.lane) for r in found.collect()})
-        shares = {r.lane: r.share for r in mixing.lanes(docs, weights).collect()}
-        whole, counts = sum(shares.values()), dict.fromkeys(shares, 0)
-        end = min(max(s for s, x in blocks if x == lane) for lane in shares)
-        assert len({s for s, _ in blocks}) == len(blocks) and max(shares.values()) > 1
-        for slot, lane in blocks:
-            if slot > end:
-                break
-            counts[lane] += 1
-            assert all(abs(counts[x] - (slot + 1) * shares[x] / whole) < 1 for x in shares)
-
-
-def test_cells_keep_a_lanes_order(docs, monkeypatch):
+    found = mixing.mixed(docs, weights, block=block).select("position", "source", "doc_id", "release", "slot", "due").collect()
+    assert sorted(r.doc_id for r in found) == list(range(len(rows))) and len({r.position for r in found}) == len(rows)
+    assert all(r.release <= r.slot < r.due for r in found)
+    return sorted(found)
+
+
+def far_off(order, sizes, parts):
+    """The largest difference, in documents, of any source from its part, at any place until a source has run out."""
+    end = min(max(r.position for r in order if r.source == s) for s in parts)
+    slots, worst = dict.fromkeys(parts, 0), 0.0
+    names = list(parts)
+    share, counts = np.array([parts[s] for s in names]), np.zeros(len(names))
+    at = {s: k for k, s in enumerate(names)}
+    for place, row in enumerate(order):
+        if row.position > end:
+            break
+        assert row.position == place
+        counts[at[row.source]] += 1
+        worst = max(worst, np.abs(counts - (place + 1) * share).max())
+    return worst
+
+
+@pytest.mark.parametrize("case", ["default", "three", "many", "tiny", "heavy"])
+def test_no_source_is_a_block_away_from_its_given_weight(spark, case):
+    sizes, weights = {"a": 4000, "b": 900, "c": 90, None: 700}, None
+    if case == "three":
+        sizes, weights = {"a": 4000, "b": 900, "c": 90}, {"a": 0.6, "b": 0.3, "c": 0.1}
+    elif case == "many":
+        sizes = {f"s{k}": 40 + k % 90 for k in range(301)}
+        weights = {s: 1 + k * k % 37 / 7 for k, s in enumerate(sizes)}
+    elif case == "tiny":
+        sizes, weights = {"a": 30_000, "b": 11, "c": 500}, {"a": 0.9896, "b": 0.0004, "c": 0.01}
+    elif case == "heavy":
+        sizes, weights = {f"s{k}": 5000 >> min(k, 12) for k in range(20)}, {f"s{k}": 2.0 ** -k for k in range(20)}
+        sizes = {s: n + 3 for s, n in sizes.items()}
+    parts = {s: n ** 0.5 for s, n in sizes.items()} if weights is None else weights
+    whole = sum(parts.values())
+    order = read_order(spark, sizes, weights)
+    assert 0 < far_off(order, sizes, {s: w / whole for s, w in parts.items()}) < 16
+
+
+def test_sources_of_weight_zero_follow_all_others(spark):
+    order = read_order(spark, {"a": 300, "b": 100, "z": 50, "y": 30, None: 20}, {"a": 0.75, "b": 0.25, "z": 0.0}, block=4)
+    places = {s: [k for k, r in enumerate(order) if r.source == s] for s in ("a", "b", "z", "y", None)}
+    assert max(places["a"] + places["b"]) == 399 and min(places["z"] + places["y"] + places[None]) == 400
+    assert [r.source for r in read_order(spark, {"a": 3, "b": 2}, {}, block=4)].count("a") == 3
+    with pytest.raises(ValueError, match="negative"):
+        mixing.mixed(spark.createDataFrame([(1, "a", "t")], "doc_id bigint, source string, text string"), {"a": -1.0})
+
+
+def test_two_sources_follow_the_plain_earliest_deadline_schedule(spark):
+    for a, b in ((7, 3), (1, 1), (19, 1), (3, 5)):
+        order = read_order(spark, {"a": 40 * a, "b": 40 * b}, {"a": a, "b": b}, block=4)
+        done, plain = {"a": 0, "b": 0}, []
+        for slot in range(40 * (a + b)):
+            share = {"a": Fraction(a, a + b), "b": Fraction(b, a + b)}
+            ready = [(Fraction(done[s] + 1) / share[s], -share[s] if a != b else 0, s) for s in "ab" if math.floor(done[s] / share[s]) <= slot]
+            # Equal deadlines: the lighter side is the first of its node.
+            chosen = min((due, -key, s) for due, key, s in ready)[2]
+            done[chosen] += 1
+            plain.append(chosen)
+        assert [r.source for r in order] == plain
+
+
+def test_cells_keep_a_sources_order(docs, monkeypatch):
     monkeypatch.setattr(mixing, "CELL", 2)
-    found = sorted((r.block * 16 + r.position % 16, r.doc_id) for r in mixing.mixed(docs.where("source is not null")).collect())
-    keys = ["" if i is None else hashlib.md5(str(i).encode()).hexdigest() for _, i in found]
-    assert keys == sorted(keys) and [k for k, _ in found] == list(range(len(found)))
+    rows = mixing.mixed(docs.where("source is not null")).orderBy("position").select("doc_id", "text", "position").collect()
+    keys = [hashlib.md5(f"{'' if r.doc_id is None else r.doc_id}:{hashlib.md5((r.text or '').encode()).hexdigest()}".encode()).hexdigest() for r in rows]
+    assert keys == sorted(keys) and [r.position for r in rows] == list(range(len(rows)))
 
 
 # PII
