@@ -171,3 +171,17 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, pow
     """``docs``, all columns, sorted by position, so that files written from it hold the mix in order."""
     timed = _timed(docs, weights, power, block).orderBy("position")
     return timed.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
+def written_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with position: the place of each row in the Parquet files that ``docs`` reads, in the order of their names.
+
+    So a mix that was written in order need not be worked out again. One row per file is counted before.
+    A frame that does not read Parquet files has no such order: AnalysisException.
+    """
+    kept = [c for c in docs.columns if c != "position"]
+    placed = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("_metadata.file_path").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
+    files = placed.groupBy("mix_file").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("mix_file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = staged(files.select("mix_file", F.coalesce(before, F.lit(0)).alias("start")), "mix-files")
+    return placed.join(starts, "mix_file").select(*[F.col(f"`{c}`") for c in kept], (F.col("start") + F.col("mix_row")).alias("position"))

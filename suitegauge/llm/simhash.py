@@ -188,5 +188,5 @@ def kept_documents(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFram
     alone = keyed.join(gone, ["doc_id", "content"], "left_anti").join(repeated, ["doc_id", "content"], "left_anti")
     others = [names[c] for c in docs.columns if c not in ("doc_id", "text")]
     order = F.struct(F.col(names["doc_id"]).isNull(), *[names[c] for c in ("doc_id", "text")], *others)
-    least = keyed.join(repeated, ["doc_id", "content"]).groupBy("root").agg(F.min(order).alias("row")).select("row.*")
+    least = keyed.join(repeated, ["doc_id", "content"]).groupBy("root").agg(F.min(order).alias("row")).select(*[f"row.{c}" for c in names.values()])
     return alone.select(*keyed.columns[:len(names)]).unionByName(least).toDF(*docs.columns)

@@ -168,4 +168,33 @@ def test_ids_come_in_the_mixs_order_from_several_files(spark, tmp_path, monkeypa
     docs.repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
     monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if s[0] in ("source_mixing", "sentence_pieces")])
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert [r.doc_id for r in found] == want and [r.position for r in found] == sorted({r.position for r in found})
+    assert [r.doc_id for r in found] == want and [r.position for r in found] == list(range(400))
+
+
+def test_written_order_is_that_of_the_files(spark, tmp_path):
+    path = f"{tmp_path}/rows"
+    spark.range(5000).repartition(6).orderBy(F.desc("id")).write.option("maxRecordsPerFile", 300).parquet(path)
+    found = mixing.written_order(spark.read.parquet(path)).collect()
+    assert {r.position: r.id for r in found} == {k: 4999 - k for k in range(5000)}
+    assert mixing.written_order(spark.read.parquet(path).where("id < 0")).count() == 0
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    long = " ".join(f"w{k % 977}x{k % 31}" for k in range(20_000))
+    words = " ".join(f"y{k}" for k in range(50))
+    rows = [(1, None, None, None), (2, "", "en", "a"), (3, words, "en", "a"), (None, words, "en", "b"), (None, words, None, None), (4, long, "en", "b"), (4, long, "en", "b"),
+            (None, " ".join(reversed(long.split())), "de", None), (5, "日本 語　é\x00 \n\n end ", "ja", "a")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    clashing = docs.select("*", *[F.lit("kept").alias(c) for c in ("position", "score", "slot", "fp", "content", "share", "row", "ids")])
+    for name, table in (("odd", docs), ("empty", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    found = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    # Without labels nothing is rejected; empty texts are one group, repeated rows one row.
+    assert sorted((r.doc_id for r in found), key=str) == sorted([1, 3, 4, None, 5], key=str) and all(r.decoded for r in found)
+    assert [r.position for r in found] == list(range(5))
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, clashing, f"{tmp_path}/odd")
+        assert out.count() == (5 if name == "simhash_dedup" else len(rows)), name
+        assert name == "sentence_pieces" or out.columns == clashing.columns
