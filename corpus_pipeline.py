@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of SimHash near-duplicates, that of the smallest id; rows without an id stay."""
+    """One row of each group of SimHash near-duplicates, that of the smallest id; rows without an id come last."""
     return simhash.kept_documents(docs, shingle=3, most=3)
 
 
@@ -43,11 +44,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_ids, ids_crc32, decoded, position), sorted by position: the mix's order.
+    """(doc_id, ids, n_ids, ids_crc32, decoded, position), sorted by position: the order in which the mix was written.
 
-    Files that are read again need not keep the order of rows, so positions are worked out here; they depend on the rows alone.
+    ``position`` is a row's place in the files of the stage before. Rows that come from no Parquet files get the mix's own positions.
     """
-    placed = mixing.mixed(docs.select("doc_id", "source", "text"))
+    try:
+        placed = mixing.written_order(docs.select("doc_id", "text"))
+    except AnalysisException:
+        placed = mixing.mixed(docs.select("doc_id", "source", "text"))
     return pieces.encode_documents(placed, pieces.Model.load(str(PIECES)), kept=("position",)).orderBy("position")
 
 
@@ -64,6 +68,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of the documents that the stages keep, in the mix's order. An empty table gives no rows; null texts have no ids."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
