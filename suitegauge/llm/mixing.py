@@ -110,7 +110,7 @@ def lanes(docs: DataFrame, weights: dict[str, float] | None = None, power: float
     named = staged(inner.join(_over_kinds(inner), ["tier", "kind"]).select(
         "source", "docs", "tier", "share", "whole", F.concat("inner", "outer").alias("path")), "lanes")
     last = _slot(F.ceil(F.col("docs") / unit) - 1) + 1
-    end = named.where("tier = 0").agg(F.coalesce(F.max(last), F.lit(0).cast("long")).alias("base")).select(F.lit(1).alias("tier"), "base")
+    end = named.groupBy((F.col("tier") + 1).alias("tier")).agg(F.max(last).alias("base"))
     return named.join(end, "tier", "left").withColumn("base", F.coalesce("base", F.lit(0).cast("long")))
 
 
