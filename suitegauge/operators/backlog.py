@@ -19,6 +19,9 @@ COMPLETION_PHRASES = [
     "has been successfully completed",
     "implementation.*already.*present",
 ]
+# How a log entry names a story and its phase.
+STORY_ID = r"\b(STORY-\d+)\b"
+MARKER = r"\[(RED|GREEN|REFACTOR|BLUE)\]"
 MAX_RETRIES = 3
 LOOK_BACK = 20
 
@@ -116,23 +119,49 @@ def progress_summary(stories: DataFrame) -> DataFrame:
         F.count("*").alias("total"))
 
 
-def _latest(marker: Column, *names: str) -> Column:
-    return F.max(F.when(marker.isin(*names), F.col("seq")))
+def log_entries(logs: DataFrame) -> DataFrame:
+    """Entries of work logs as text: log, seq, entry, story_ids, markers.
+
+    Input: log (a number; later logs have larger ones) and text with one entry a line, newest first, an id and a message
+    each. An entry may name several stories and carry several markers; each comes once. Of an entry's id only the
+    message behind it is read. ``seq`` orders all entries of all logs. Blank lines are no entries; a null text has none.
+    """
+    lines = logs.select("log", F.posexplode(F.split("text", "\r?\n")).alias("_nth", "entry")).filter(F.btrim("entry") != "")
+    message = F.regexp_replace("entry", r"^\s*\S+\s*", "")
+    return lines.select(
+        "log", F.struct("log", (-F.col("_nth")).alias("back")).alias("seq"), "entry",
+        F.array_distinct(F.regexp_extract_all(message, F.lit(STORY_ID), F.lit(1))).alias("story_ids"),
+        F.array_distinct(F.regexp_extract_all(message, F.lit(MARKER), F.lit(1))).alias("markers"))
+
+
+def entries_by_story(entries: DataFrame) -> DataFrame:
+    """(story_id, seq, markers): a row for each story that an entry names."""
+    return entries.select(F.explode("story_ids").alias("story_id"), "seq", "markers")
+
+
+def _carries(log: DataFrame, *names: str) -> Column:
+    """Whether an entry has one of the markers: in its list ``markers`` if there is one, else as its one ``marker``."""
+    if "markers" in log.columns:
+        return F.coalesce(F.arrays_overlap("markers", F.array(*map(F.lit, names))), F.lit(False))
+    return F.col("marker").isin(*names)
+
+
+def _latest(log: DataFrame, *names: str) -> Column:
+    return F.max(F.when(_carries(log, *names), F.col("seq")))
 
 
 def check_phase_order(log: DataFrame, require_refactor: bool = False) -> DataFrame:
     """Per story: does the work log show RED, then GREEN, then (if any) REFACTOR?
 
     Looks at the latest entry of each marker by ``seq``; every entry counts
-    towards the minimum number. One hash aggregation.
+    towards the minimum number. Entries have one ``marker`` or a list of ``markers``. One aggregation.
     """
     need = 3 if require_refactor else 2
-    marker = F.col("marker")
     seen = log.groupBy("story_id").agg(
         F.count("*").alias("n_entries"),
-        _latest(marker, "RED").alias("_red"),
-        _latest(marker, "GREEN").alias("_green"),
-        _latest(marker, "REFACTOR", "BLUE").alias("_refactor"))
+        _latest(log, "RED").alias("_red"),
+        _latest(log, "GREEN").alias("_green"),
+        _latest(log, "REFACTOR", "BLUE").alias("_refactor"))
     red, green, refactor = F.col("_red"), F.col("_green"), F.col("_refactor")
     reason = (
         F.when(F.col("n_entries") < need, F.lit(f"expected at least {need} entries"))
@@ -155,7 +184,7 @@ def check_lookback(log: DataFrame, stories: DataFrame, present_files: DataFrame,
     recent = log.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= latest)
     marks = recent.groupBy("story_id").agg(
         F.count("*").alias("n_recent"),
-        F.max(F.col("marker") == "RED").alias("_red"), F.max(F.col("marker") == "GREEN").alias("_green"))
+        F.max(_carries(log, "RED")).alias("_red"), F.max(_carries(log, "GREEN")).alias("_green"))
     missing = (
         stories.select("story_id", F.explode("files").alias("file"))
         .join(present_files.select("file"), "file", "left_anti")

@@ -67,6 +67,24 @@ def lookback(spark, folder):
                                   view(spark, folder, "present_files_v"))
 
 
+def _logged(spark, folder):
+    """Work logs as text, newest entry first, read into entries by story."""
+    lines = view(spark, folder, "log_lines_v")
+    newest = F.sort_array(F.collect_list(F.struct("nth", "line")), asc=False)
+    # A log has 200 lines.
+    logs = lines.groupBy("log").agg(F.array_join(newest["line"], "\n").alias("text"))
+    return backlog.entries_by_story(backlog.log_entries(logs))
+
+
+def phase_order_from_text(spark, folder):
+    return backlog.check_phase_order(_logged(spark, folder), require_refactor=True)
+
+
+def lookback_from_text(spark, folder):
+    stories = view(spark, folder, "expected_files_v").withColumn("story_id", F.concat(F.lit("STORY-"), F.col("story_id").cast("string")))
+    return backlog.check_lookback(_logged(spark, folder), stories, view(spark, folder, "present_files_v"))
+
+
 def retry_runs(spark, folder):
     return backlog.retry_runs(view(spark, folder, "attempts_v"))
 
@@ -143,7 +161,7 @@ def overrides(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     content_hash, merge_new, diff_by_hash, ready_items, next_item, apply_status, progress_summary, phase_order,
-    phase_order_refactor, lookback, retry_runs, retry_runs_sparse, phrase_hits, placeholders, duplicates, exactly_one, env_defaults,
+    phase_order_refactor, lookback, phase_order_from_text, lookback_from_text, retry_runs, retry_runs_sparse, phrase_hits, placeholders, duplicates, exactly_one, env_defaults,
     plan_sections, plan_subsections, plan_stories, keyword_match, breakdown, overrides)}
 
 _STORIES = with_views("stories_v")
@@ -153,6 +171,14 @@ def _hash(title: str) -> str:
     return (f"sha256(concat({title}, '|', description, '|[\"', acceptance[1], '\", \"', acceptance[2], '\"]'))")
 
 
+#: Entries of the logs by story, from the lines themselves: seq is the line's number, r, g, f whether it has the markers.
+_LOGGED = """,
+parts as (select nth as seq, regexp_replace(line, '^\\S+ ', '') as message from log_lines_v),
+logged as (select distinct unnest(regexp_extract_all(concat(' ', message), '[^A-Z](STORY-[0-9]+)', 1)) as story_id, seq,
+  contains(message, '[RED]') as r, contains(message, '[GREEN]') as g,
+  contains(message, '[REFACTOR]') or contains(message, '[BLUE]') as f from parts)"""
+
+
 def _phases(need: int, refactor_needed: bool) -> str:
     extra = "when f is null then 'missing REFACTOR'" if refactor_needed else ""
     return with_views("work_log_v") + f""",
@@ -248,6 +274,22 @@ judged as (select e.story_id, coalesce(n_recent, 0) as n_recent, coalesce(n_miss
   case when n_recent is null then 'no entries' when not r then 'no RED entry' when not g then 'no GREEN entry'
     when n_missing > 0 then 'files missing' end as reason
   from expected_files_v e left join marks using (story_id) left join missing using (story_id))
+select story_id, n_recent, n_missing, reason is null as verified, reason from judged""",
+    "phase_order_from_text": with_views("log_lines_v") + _LOGGED + """,
+seen as (select story_id, count(*) as n_entries, max(seq) filter (r) as r, max(seq) filter (g) as g, max(seq) filter (f) as f from logged group by story_id),
+judged as (select *, case when n_entries < 3 then 'expected at least 3 entries' when r is null or g is null then 'missing RED and/or GREEN'
+  when f is null then 'missing REFACTOR' when r >= g then 'RED must come before GREEN' when f <= g then 'REFACTOR must come after GREEN' end as reason from seen)
+select story_id, n_entries, reason is null as in_order, reason from judged""",
+    "lookback_from_text": with_views("log_lines_v", "expected_files_v", "present_files_v") + _LOGGED + """,
+recent as (select * from (select *, row_number() over (partition by story_id order by seq desc) as n from logged) where n <= 20),
+marks as (select story_id, count(*) as n_recent, bool_or(r) as r, bool_or(g) as g from recent group by story_id),
+stories as (select concat('STORY-', cast(story_id as string)) as story_id, files from expected_files_v),
+missing as (select story_id, count(*) as n_missing from (select story_id, unnest(files) as file from stories)
+  where file not in (select file from present_files_v) group by story_id),
+judged as (select s.story_id, coalesce(n_recent, 0) as n_recent, coalesce(n_missing, 0) as n_missing,
+  case when n_recent is null then 'no entries' when not r then 'no RED entry' when not g then 'no GREEN entry'
+    when n_missing > 0 then 'files missing' end as reason
+  from stories s left join marks using (story_id) left join missing using (story_id))
 select story_id, n_recent, n_missing, reason is null as verified, reason from judged""",
     "retry_runs": _retries("attempts_v"),
     "retry_runs_sparse": _retries("sparse_attempts_v"),

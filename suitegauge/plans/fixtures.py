@@ -151,6 +151,17 @@ VIEWS: dict[str, str] = {
           case event_type when 'signup' then 'RED' when 'click' then 'GREEN' when 'purchase' then 'REFACTOR'
             when 'error' then 'FAIL' else 'OTHER' end as marker
         from {events}""",
+    # Lines of work logs, 200 a log: entries with several markers, several stories, or none, markers elsewhere than in the message.
+    "log_lines_v": """
+        select cast(floor(event_id / 200) as bigint) as log, event_id as nth,
+          concat(case when event_id % 23 = 0 then '[RED]' else concat('c', cast(event_id as string)) end, ' ',
+            case event_type when 'signup' then '[RED] ' when 'click' then '[GREEN] ' when 'purchase' then '[REFACTOR] ' when 'error' then '[BLUE] '
+              else 'red green ' end,
+            case when event_id % 6 = 0 then '[GREEN] [GREEN] ' when event_id % 7 = 0 then '[RED] ' else '' end,
+            case when event_id % 11 = 0 then 'chore' else concat('STORY-', cast(user_id as string), ': ', event_type) end,
+            case when event_id % 5 = 0 then concat(' after STORY-', cast(user_id + 1 as string)) else '' end,
+            case when event_id % 9 = 0 then concat(', NOSTORY-', cast(user_id + 2 as string)) else '' end) as line
+        from {events}""",
     # Events in the lots they arrive in, eight days each: every fifth twelve hours behind its time, every hundred-and-first 25 days.
     "arrivals_v": """
         select user_id as submission_id, event_id, ts, props,

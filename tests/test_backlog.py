@@ -257,3 +257,25 @@ def test_overrides(spark):
     over = spark.createDataFrame([("S-1", "new", []), ("S-2", "", ["y", "z"])], "id string, title string, acceptance array<string>")
     rows = {r.id: (r.title, r.acceptance) for r in sections.apply_overrides(base, over).collect()}
     assert rows == {"S-1": ("new", ["x"]), "S-2": ("tS-2", ["y", "z"])}
+
+
+def test_log_text_gives_stories_and_several_markers(spark):
+    texts = [(1, "a1 [RED] STORY-1 first\n\nb2 [GREEN] merge for STORY-1 and STORY-12\r\n[RED] STORY-3"), (2, "c3 [RED] [GREEN] STORY-7 both [RED]\n  d4 chore"), (3, None), (4, "")]
+    entries = backlog.log_entries(spark.createDataFrame(texts, "log bigint, text string"))
+    found = {r.entry.split()[0]: (r.story_ids, r.markers) for r in entries.collect()}
+    assert found == {"a1": (["STORY-1"], ["RED"]), "b2": (["STORY-1", "STORY-12"], ["GREEN"]), "[RED]": (["STORY-3"], []),
+                     "c3": (["STORY-7"], ["RED", "GREEN"]), "d4": ([], [])}
+    checked = {r.story_id: r.reason for r in backlog.check_phase_order(backlog.entries_by_story(entries)).collect()}
+    # The newest entry stands first: RED of STORY-1 came after its GREEN; both in one entry are in no order.
+    assert checked["STORY-1"] == "RED must come before GREEN" and checked["STORY-7"] == "expected at least 2 entries"
+    more = spark.createDataFrame([(1, "x [GREEN] STORY-9\ny [RED] STORY-9"), (2, "z [RED] [GREEN] STORY-8"), (0, "w STORY-8")], "log bigint, text string")
+    checked = {r.story_id: r.reason for r in backlog.check_phase_order(backlog.entries_by_story(backlog.log_entries(more))).collect()}
+    assert checked == {"STORY-9": None, "STORY-8": "RED must come before GREEN"}
+
+
+def test_lookback_counts_matching_entries_only(spark):
+    lines = ["n [RED] [GREEN] STORY-2 both"] + [f"k{i} STORY-1 more" for i in range(30)] + ["o [RED] STORY-2"]
+    log = backlog.entries_by_story(backlog.log_entries(spark.createDataFrame([(1, "\n".join(lines))], "log bigint, text string")))
+    stories = spark.createDataFrame([("STORY-1", []), ("STORY-2", ["a"]), ("STORY-4", [])], "story_id string, files array<string>")
+    found = {r.story_id: (r.n_recent, r.reason) for r in backlog.check_lookback(log, stories, spark.createDataFrame([("a",)], "file string")).collect()}
+    assert found == {"STORY-1": (20, "no RED entry"), "STORY-2": (2, None), "STORY-4": (0, "no entries")}
