@@ -15,7 +15,6 @@ DATASET_SOURCE = "evalplus"
 UNKNOWN_PARTICIPANT = "unknown"
 
 _DEF_PATTERN = r"(?m)^\s*def\s+(\w+)"
-_DOC_PATTERN = r'''(?s)\bdef\s+\w+\s*\(.*?\)[^\n]*?:\s*[rRuU]?("""|\'\'\'|"|\')(.*?)\1'''
 
 
 def strip(text: Column) -> Column:
@@ -71,15 +70,6 @@ def function_name(metadata: Column, spec: Column, directory: Column) -> Column:
     )
 
 
-def docstring(spec: Column) -> Column:
-    """Text of the first documented function, '' if there is none.
-
-    Reads the source as text; ``functions.code.parsed_docstring`` is the exact
-    reading by the Python grammar for sources where strings precede the docstring.
-    """
-    return strip(F.regexp_extract(spec, _DOC_PATTERN, 2))
-
-
 def examples(spec: Column) -> Column:
     """Array of {call, expected}; the expected value is the first output line only."""
     pattern = F.lit(EXAMPLE_PATTERN)

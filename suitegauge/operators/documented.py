@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from suitegauge.functions import scoring as S
+from suitegauge.functions.docstrings import raw_docstring
 from suitegauge.functions.text import strip
 from suitegauge.operators.quality import computed_once
 from suitegauge.session import keep
@@ -25,10 +26,15 @@ def scenario_names(specs: DataFrame, spec: str = "spec") -> DataFrame:
 
 
 def requirements(spec: Column) -> Column:
-    """Worked examples of a docstring as discrete requirements."""
+    """Worked examples of a spec as discrete requirements."""
     return F.regexp_extract_all(spec, F.lit(REQUIREMENT), F.lit(0))
 
 
+def docstring_requirements(spec: Column) -> Column:
+    """Worked examples of the docstring alone, as it stands in the source: those of other strings and comments are none."""
+    return requirements(raw_docstring(spec))
+
+
 def spec_coverage(scenarios: DataFrame, executed: DataFrame, by: str = "task_id",
                   tasks: DataFrame | None = None) -> DataFrame:
     """Share of each task's scenarios that were executed; with ``tasks``, 0.0 for those that have no scenario.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from suitegauge.functions import code, text
+from suitegauge.functions import code, docstrings, text
 from suitegauge.operators.quality import Rules, computed_once, split_rejects
 
 # The task-specific bug patterns.
@@ -97,7 +97,7 @@ def derive_bdd(tasks: DataFrame, source_root: str = "data/tasks/tdd/python",
         rules: Rules = [("invalid Python in spec", ~F.col("_parsed.valid"))]
     else:
         parsed = tasks
-        doc = text.docstring(F.col("spec"))
+        doc = docstrings.docstring(F.col("spec"))
         named = text.function_name(F.col("metadata"), F.col("spec"), F.col("task_id"))
         rules = []
     rules.append((F.concat(F.lit("Could not extract function name from "), F.col("task_id")),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from suitegauge.operators import documented, scoring
 from suitegauge.operators import preparation as prep
+from suitegauge.operators.quality import computed_once
 from suitegauge.plans.fixtures import view, with_views
 from suitegauge.plans.preparation import BUILT, built
 from suitegauge.plans.scoring import KEYS, _DETECT, _pairs_sql, _parsed_sql, cents, parsed_logs
@@ -25,6 +26,12 @@ def spec_requirements(spark, folder):
     return built(spark, folder).select("task_id", F.size(documented.requirements(F.col("spec"))).alias("n_requirements"))
 
 
+def docstring_requirements(spark, folder):
+    specs = view(spark, folder, "specs_v")
+    found = computed_once(specs, documented.docstring_requirements(F.col("spec")).alias("found"))
+    return found.select("p_partkey", F.size("found").alias("n_requirements"), F.get("found", F.lit(0)).alias("requirement"))
+
+
 def _coverage(spark, folder):
     # Other runs count for a scenario that no task has.
     executed = table(spark, folder, "lineitem").select((F.col("l_partkey") + 1).alias("ordinal"), F.when(
@@ -48,7 +55,7 @@ def composite4(spark, folder):
     return documented.composite4(joined).select(*scoring.KEYS, "composite4")
 
 
-QUERIES = {f.__name__: f for f in (scenario_names, spec_requirements, spec_coverage, composite4)}
+QUERIES = {f.__name__: f for f in (scenario_names, spec_requirements, docstring_requirements, spec_coverage, composite4)}
 
 _SCENARIOS = BUILT + r""",
 scenarios as (select ordinal, task_id, unnest(generate_series(1, len(regexp_extract_all(spec, '>>> ')))) as scenario_no from built)"""
@@ -62,6 +69,9 @@ coverage as (select s.ordinal, count(*) as n_scenarios, count(e.ordinal) as n_co
 
 ORACLES = {
     "scenario_names": _SCENARIOS + " select task_id, cast(scenario_no as int) as scenario_no, concat('Example ', scenario_no) as scenario from scenarios",
+    "docstring_requirements": with_views("specs_v") + """
+select p_partkey, case when kind in (2, 3) then 0 else 1 end as n_requirements,
+  case when kind not in (2, 3) then concat('>>> f(', cast(size as string), ')', chr(10), '      2') end as requirement from specs_v""",
     "spec_requirements": BUILT + r"""
 select task_id, cast(len(regexp_extract_all(spec, '>>>\s+\w+\([^)]+\)\n\s+\S+')) as int) as n_requirements from built""",
     "spec_coverage": _COVERAGE + """

@@ -31,6 +31,19 @@ VIEWS: dict[str, str] = {
           case p_partkey % 4 when 0 then concat('    return True', chr(10), '    return True')
             when 1 then '    return False' when 2 then '    return x * 2' else '    pass' end as canonical_solution
         from {part}""",
+    # Specs with strings where no docstring is, and the docstring that each has: in a header, above it, after it, inside, none.
+    "specs_v": """
+        select p_partkey, size, case kind
+            when 0 then concat('def f(a,', chr(10), '      b={{1: "', p_name, ' (:"}}):  # "no"', chr(10), '    # first', chr(10), chr(10), '    \"\"\"', body, '\"\"\"', chr(10), '    return a')
+            when 1 then concat('\"\"\"Of the module.', chr(10), 'def g():', chr(10), '    "no"', chr(10), '\"\"\"', chr(10), 'X = {{1: "v"}}', chr(10), 'def f(x) -> str:', chr(10), '    r\"\"\"', body, '\"\"\"')
+            when 2 then concat('def f(x={{1: "v"}}):', chr(10), '    y = \"\"\"', body, '\"\"\"', chr(10), '    return {{"a": "', p_name, '"}}')
+            when 3 then concat('def f(x): return x', chr(10), 'def g(x): "', p_name, '"  # so', chr(10), 'def h(x):', chr(10), '    \"\"\"', body, '\"\"\"')
+            when 4 then concat('class C:', chr(10), '    def m(self):', chr(10), '        "', p_name, ' inside"', chr(10), chr(10), 'def f(x):', chr(10), '    \"\"\"', body, '\"\"\"')
+            else concat('def f(x):', chr(10), '    "', p_name, '".join(x)', chr(10), 'def g(x):', chr(10), '    \"\"\"', body, '\"\"\"; return x') end as spec,
+          case kind when 2 then '' when 3 then p_name else text end as doc, kind
+        from (select p_partkey, p_name, p_size as size, p_partkey % 6 as kind,
+          concat(p_type, ' size.', chr(10), chr(10), '      >>> f(', cast(p_size as string), ')', chr(10), '      2', chr(10), '    ', p_brand, chr(10), '    ') as body,
+          concat(p_type, ' size.', chr(10), chr(10), '  >>> f(', cast(p_size as string), ')', chr(10), '  2', chr(10), p_brand) as text from {part})""",
     # Bug patterns of single tasks; some of them do not occur in their task.
     "patterns_v": f"""
         select {_TASK_ID} as task_id, 'return x * 2' as old, 'return x * 3' as new

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from suitegauge.functions import text
+from suitegauge.functions.docstrings import docstring
 from suitegauge.operators import preparation as prep
 from suitegauge.operators import quality
 from suitegauge.plans.fixtures import view, with_views
@@ -42,7 +43,12 @@ def doctest_examples(spark, folder):
 
 
 def docstrings(spark, folder):
-    return built(spark, folder).select("task_id", text.first_line(text.docstring(F.col("spec"))).alias("feature"))
+    return built(spark, folder).select("task_id", text.first_line(docstring(F.col("spec"))).alias("feature"))
+
+
+def docstring_texts(spark, folder):
+    """Whole texts, from specs with strings in other places than the docstring's."""
+    return view(spark, folder, "specs_v").select("p_partkey", docstring(F.col("spec")).alias("doc"))
 
 
 def gherkin_features(spark, folder):
@@ -116,7 +122,7 @@ def track_tasks(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    task_ids, correct_impl, metadata_json, first_tasks, function_names, doctest_examples, docstrings, gherkin_features,
+    task_ids, correct_impl, metadata_json, first_tasks, function_names, doctest_examples, docstrings, docstring_texts, gherkin_features,
     derive_bdd, derive_bdd_by_grammar, inject_bugs, inject_rejects, inject_reject_counts, dataset_range, missing_ids,
     task_completeness, complete_tasks, completeness_counts, track_tasks)}
 
@@ -164,6 +170,7 @@ select p_partkey, coalesce(json_extract_string(metadata, '$.function_name'),
   nullif(regexp_extract(directory, '^[^_]*_[^_]*_(.*)$', 1), '')) as function_name from named_v""",
     "doctest_examples": _EXAMPLES + " select task_id, cast(example_no as int) as example_no, call, expected from found",
     "docstrings": BUILT + " select task_id, trim(split_part(regexp_extract(spec, '(?s)def .*?\"\"\"(.*?)\"\"\"', 1), chr(10), 1)) as feature from built",
+    "docstring_texts": with_views("specs_v") + " select p_partkey, doc from specs_v",
     "gherkin_features": _GHERKIN + " select task_id, spec from features",
     "derive_bdd": BUILT + """ select task_id, 'bdd' as track, function_name, concat('{"task_id":"', task_id, '","function_name":"',
   function_name, '","track":"bdd","tdd_source":"data/tasks/tdd/python/', task_id, '","source":"evalplus"}') as metadata,

@@ -7,7 +7,7 @@ import textwrap
 import pytest
 from pyspark.sql import functions as F
 
-from suitegauge.functions import code, text
+from suitegauge.functions import code, docstrings, text
 from suitegauge.operators import preparation as prep
 from suitegauge.operators import quality
 from suitegauge.sources import tasks as source
@@ -72,10 +72,27 @@ def test_function_name_precedence(spark, metadata, spec, directory, expected):
 @pytest.mark.parametrize("spec", [PAIR, PLAIN, LATE, BARE, "def f(a=')'):\n    r\"\"\"Raw.\"\"\"\n"])
 def test_docstring_readings_agree(spark, spec):
     row = spark.createDataFrame([(spec,)], "spec string").select(
-        text.first_line(text.docstring(F.col("spec"))).alias("by_text"), code.parsed_spec("spec").alias("p")).first()
+        text.first_line(docstrings.docstring(F.col("spec"))).alias("by_text"), code.parsed_spec("spec").alias("p")).first()
     assert row.by_text == row.p.docstring.split("\n")[0].strip()
 
 
+ODD_SPECS = [
+    "def f(x={1: \"v\"}):\n    return x\n", "x = {1: 'v'}\n", "def f(): 'short'\n", "def f():\n    'a' 'b'.upper()\n", "def f():\n    ''\n",
+    "def f():\n    '''\n\n    '''\n", "def f():\n    f'no {1}'\n", "def f():\n    b'no'\n", "def f():\n    u'yes'  # so\n", "def f():\n    \"it's\"; x = 1\n", "",
+    "def f(\n    a: dict = {'(': 1},  # (\n    b='):',\n) -> dict[str, int]:\n\n    # note\n    \"\"\"One \"two\" three.\n\n      four\n\tfive\n    \"\"\"\n",
+    "def f():\n    return '''\ndef g():\n    \"no\"\n'''\n\ndef h():\n    '''yes'''\n",
+    "def f():\n    def g():\n        'inner'\n    return g\ndef h():\n    'outer'\n",
+    "class A:\n    'of the class'\n    def m(self):\n        pass\n", "def f():\n    x = 'a'; y = \"b\"\n    \"\"\"late\"\"\"\n",
+    "def f(a=''):\n    \"\"\"  " + "long word " * 3000 + "\n   end  \n\n    \"\"\"\n", "def f():\r\n    '''a\r\n    b'''\r\n"]
+
+
+def test_docstrings_are_those_of_the_grammar(spark):
+    frame = spark.createDataFrame([(s,) for s in [*ODD_SPECS, PAIR, PLAIN, LATE, BARE]], "spec string")
+    for row in frame.select("spec", docstrings.docstring(F.col("spec")).alias("by_lines"), code.parsed_spec("spec").alias("p")).collect():
+        assert (row.by_lines.rstrip(), row.p.valid) == (row.p.docstring.rstrip(), True), row.spec
+    assert spark.createDataFrame([(None,)], "spec string").select(docstrings.docstring(F.col("spec"))).first()[0] is None
+
+
 def test_feature_text_and_metadata(spark):
     tdd = specs(spark, ("task_001_widest_gap", PAIR, '{"source": "evalplus"}', "c"), ("task_002_double", PLAIN, "{}", "c"))
     for by_grammar in (False, True):
