@@ -52,7 +52,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         placed = mixing.written_order(docs.select("doc_id", "text"))
     except AnalysisException:
         placed = mixing.mixed(docs.select("doc_id", "source", "text"))
-    return pieces.encode_documents(placed, pieces.Model.load(str(PIECES)), kept=("position",)).orderBy("position")
+    # Written before it is sorted: the sort samples its input, which would encode every text twice.
+    ids = staged(pieces.encode_documents(placed, pieces.Model.load(str(PIECES)), kept=("position",)), "pipeline-ids")
+    return ids.orderBy("position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
