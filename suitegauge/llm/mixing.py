@@ -39,9 +39,9 @@ def _shares(counts: DataFrame, weights: dict[str, float] | None, power: float) -
         given = F.coalesce(F.element_at(table, F.coalesce("source", F.lit(""))), F.lit(0.0))
         own = F.when(given > 0, given).otherwise(own)
     tiers = counts.withColumns({"tier": F.when(given > 0, 0).otherwise(1), "weight": own})
-    sums = tiers.groupBy("tier").agg(F.sum("weight").alias("sum"))
+    tiers = tiers.withColumn("sum", F.sum("weight").over(Window.partitionBy("tier")))
     share = F.greatest(F.lit(1), F.round(F.col("weight") / F.col("sum") * F.lit(float(WHOLE)))).cast("long")
-    return tiers.join(sums, "tier").select("source", "docs", "tier", share.alias("share"))
+    return tiers.select("source", "docs", "tier", share.alias("share"))
 
 
 def _within_kinds(shares: DataFrame) -> DataFrame:
