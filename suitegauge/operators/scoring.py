@@ -4,6 +4,9 @@ Runs carry (participant, track, ordinal, target, exit_code, timed_out, ts); logs
 carry (participant, track, ordinal, output, error). Both are reduced to one row
 per task by hash aggregation on the same keys, so the join between them needs no
 further shuffle, and a hot task or participant is folded before it travels.
+
+``run`` names the columns that tell one evaluation from another: participant and
+track, unless evaluations have an identity of their own (``evaluations``).
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ def failure_breakdown(runs: DataFrame, *by: str) -> DataFrame:
         F.expr(f"count_if({S.FAILURE_CODE} = {position}) as n_{name}") for position, name in enumerate(FAILURE_TYPES)])
 
 
-def pair_runs(runs: DataFrame, targets: tuple[str, ...] = ("correct", "buggy")) -> DataFrame:
+def pair_runs(runs: DataFrame, targets: tuple[str, ...] = ("correct", "buggy"), run: tuple[str, ...] = RUN) -> DataFrame:
     """One row per task with the class of its latest run on each target (null: never run).
 
     Per target and class the latest time is kept, and the class with the latest
@@ -41,7 +44,7 @@ def pair_runs(runs: DataFrame, targets: tuple[str, ...] = ("correct", "buggy"))
     so this is a hash aggregation with a map-side part and no self-join.
     """
     codes = range(len(FAILURE_TYPES))
-    latest = runs.groupBy(*KEYS).agg(*[
+    latest = runs.groupBy(*run, "ordinal").agg(*[
         F.expr(f"max(case when target = '{t}' and {S.FAILURE_CODE} = {k} then ts end) as _{t}_{k}")
         for t in targets for k in codes])
 
@@ -50,7 +53,7 @@ def pair_runs(runs: DataFrame, targets: tuple[str, ...] = ("correct", "buggy"))
         cases = " ".join(f"when _{target}_{k} = {newest} then {k}" for k in reversed(codes))
         return f"case {cases} end as {target}_code"
 
-    return latest.selectExpr(*KEYS, *[winner(t) for t in targets])
+    return latest.selectExpr(*run, "ordinal", *[winner(t) for t in targets])
 
 
 def with_fault_detection(pairs: DataFrame, mode: str = "reference") -> DataFrame:
@@ -78,44 +81,44 @@ def parse_mutation_logs(logs: DataFrame) -> DataFrame:
     return counted.withColumn("mutation_score", S.mutation_score("killed", "total"))
 
 
-def mutation_per_task(parsed: DataFrame) -> DataFrame:
+def mutation_per_task(parsed: DataFrame, run: tuple[str, ...] = RUN) -> DataFrame:
     """Best in-range score per task; mutation_valid is false when a task has only out-of-range ones."""
     good = S.in_unit("mutation_score")
-    return parsed.groupBy(*KEYS).agg(
+    return parsed.groupBy(*run, "ordinal").agg(
         F.expr(f"max(case when {good} then mutation_score end) as mutation_score"),
         F.expr(f"max({good}) as mutation_valid"))
 
 
-def task_outcomes(pairs: DataFrame, mutations: DataFrame, mode: str = "reference") -> DataFrame:
+def task_outcomes(pairs: DataFrame, mutations: DataFrame, mode: str = "reference", run: tuple[str, ...] = RUN) -> DataFrame:
     """Scored tasks, one row for each task that ran at all. Tasks that did not run are zeros elsewhere.
 
     A task with a side missing or an out-of-range mutation score is a zero row.
     """
-    joined = with_fault_detection(pairs, mode).join(mutations, list(KEYS), "left")
+    joined = with_fault_detection(pairs, mode).join(mutations, [*run, "ordinal"], "left")
     usable = "(correct_code is not null and buggy_code is not null and coalesce(mutation_valid, true))"
     scored = joined.selectExpr(
-        *KEYS,
+        *run, "ordinal",
         f"case when {usable} then coalesce(mutation_score, 0D) else 0D end as mutation_score",
         f"case when {usable} then fault_detection_rate else 0D end as fault_detection_rate",
         f"{usable} and passed_correct as passed_correct", f"{usable} and failed_buggy as failed_buggy")
     return scored.withColumn("composite_score", S.composite("mutation_score", "fault_detection_rate"))
 
 
-def expected_tasks(evaluations: DataFrame, block: int = 10_000) -> DataFrame:
+def expected_tasks(evaluations: DataFrame, block: int = 10_000, run: tuple[str, ...] = RUN) -> DataFrame:
     """One row per (run, task 1..task_count), made from each run's own count: no cross join.
 
     Numbers come in blocks that are spread before they are spelled out, so one
     very long run is not produced by one task.
     """
-    return _blocks(evaluations, block).repartition(*RUN, "_block").selectExpr(*RUN, f"""explode(sequence(
+    return _blocks(evaluations, block, run).repartition(*run, "_block").selectExpr(*run, f"""explode(sequence(
         _block * {block} + 1, least((_block + 1) * {block}, task_count))) as ordinal""")
 
 
-def task_details(evaluations: DataFrame, outcomes: DataFrame) -> DataFrame:
+def task_details(evaluations: DataFrame, outcomes: DataFrame, run: tuple[str, ...] = RUN) -> DataFrame:
     """Every expected task of every run; those without a usable result as zero rows."""
     scores = ("mutation_score", "fault_detection_rate", "composite_score")
-    return expected_tasks(evaluations).join(outcomes, list(KEYS), "left").selectExpr(
-        *KEYS, "format_string('task_%03d', ordinal) as task_id",
+    return expected_tasks(evaluations, run=run).join(outcomes, [*run, "ordinal"], "left").selectExpr(
+        *run, "ordinal", "format_string('task_%03d', ordinal) as task_id",
         *[f"coalesce({c}, 0D) as {c}" for c in scores],
         *[f"coalesce({c}, false) as {c}" for c in ("passed_correct", "failed_buggy")])
 
@@ -128,14 +131,14 @@ def _sums() -> list[Column]:
         "count_if(passed_correct and failed_buggy) as _passed")]
 
 
-def _summary(frame: DataFrame) -> DataFrame:
+def _summary(frame: DataFrame, run: tuple[str, ...] = RUN) -> DataFrame:
     # Means are stored as they are; the score rounds them at the twelfth decimal, which keeps a sum of
     # thirds from tipping an exact half.
     def mean(total: str, name: str) -> str:
         return f"case when task_count > 0 then coalesce(cast({total} as double), 0D) / task_count else 0D end as {name}"
 
     return frame.selectExpr(
-        *RUN, mean("_mutation", "mutation_score"), mean("_detection", "fault_detection_rate"),
+        *run, mean("_mutation", "mutation_score"), mean("_detection", "fault_detection_rate"),
         mean("_passed", "pass_rate"), "cast(task_count as bigint) as task_count",
     ).withColumn("score", S.composite("round(mutation_score, 12)", "round(fault_detection_rate, 12)"))
 
@@ -145,22 +148,23 @@ def summarize_runs(details: DataFrame) -> DataFrame:
     return _summary(details.groupBy(*RUN).agg(*_sums(), F.expr("count(*) as task_count")))
 
 
-def _blocks(evaluations: DataFrame, block: int) -> DataFrame:
+def _blocks(evaluations: DataFrame, block: int, run: tuple[str, ...] = RUN) -> DataFrame:
     return evaluations.filter("task_count > 0").selectExpr(
-        *RUN, "cast(task_count as bigint) as task_count", f"explode(sequence(0L, (task_count - 1) div {block})) as _block")
+        *run, "cast(task_count as bigint) as task_count", f"explode(sequence(0L, (task_count - 1) div {block})) as _block")
 
 
-def summarize_outcomes(evaluations: DataFrame, outcomes: DataFrame, block: int = 10_000) -> DataFrame:
+def summarize_outcomes(evaluations: DataFrame, outcomes: DataFrame, block: int = 10_000,
+                       run: tuple[str, ...] = RUN) -> DataFrame:
     """The same summary without making the zero rows: sums over tasks that ran, divided by task_count.
 
     Outcomes are matched and folded by blocks of task numbers, so a run with very many tasks is many keys; only its
     blocks' sums meet. What lies outside a run is left to ``outcome_rejects``.
     """
     within = outcomes.withColumn("_block", F.expr(f"(ordinal - 1) div {block}")).join(
-        _blocks(evaluations, block), [*RUN, "_block"]).filter("ordinal between 1 and task_count")
-    sums = within.groupBy(*RUN, "_block").agg(*_sums()).groupBy(*RUN).agg(*[
+        _blocks(evaluations, block, run), [*run, "_block"]).filter("ordinal between 1 and task_count")
+    sums = within.groupBy(*run, "_block").agg(*_sums()).groupBy(*run).agg(*[
         F.sum(c).alias(c) for c in ("_mutation", "_detection", "_passed")])
-    return _summary(evaluations.join(sums, list(RUN), "left"))
+    return _summary(evaluations.join(sums, list(run), "left"), run)
 
 
 def outcome_rejects(evaluations: DataFrame, outcomes: DataFrame, block: int = 10_000) -> DataFrame:
@@ -173,12 +177,14 @@ def outcome_rejects(evaluations: DataFrame, outcomes: DataFrame, block: int = 10
         F.col("_known"), "task outside the run").otherwise("participant not evaluated")).drop("_known")
 
 
-def to_envelope(summary: DataFrame, details: DataFrame | None = None, chunk: int = 10_000) -> DataFrame:
+def to_envelope(summary: DataFrame, details: DataFrame | None = None, chunk: int = 10_000,
+                run: tuple[str, ...] = RUN, carry: tuple[str, ...] = ()) -> DataFrame:
     """Nested result documents (participants, results, part).
 
     A run of up to ``chunk`` tasks is one document with part 0. A longer one
     continues in further parts with the same head, so no row or task holds an
     unbounded list and no detail is left out. Without ``details`` the lists are empty.
+    ``carry`` names further columns of the summary that every part keeps.
     """
     fields = ("task_id", "mutation_score", "fault_detection_rate", "composite_score", "passed_correct", "failed_buggy")
     empty = ("cast(array() as array<struct<task_id:string,mutation_score:double,fault_detection_rate:double,"
@@ -188,19 +194,19 @@ def to_envelope(summary: DataFrame, details: DataFrame | None = None, chunk: int
     else:
         item = "named_struct(" + ", ".join(f"'{f}', {f}" for f in fields) + ")"
         parts = (
-            details.selectExpr(*RUN, "ordinal", f"{item} as d", f"(ordinal - 1) div {chunk} as part")
-            .groupBy(*RUN, "part").agg(F.expr("sort_array(collect_list(struct(ordinal, d))) as _ordered"))
-            .selectExpr(*RUN, "part", "transform(_ordered, x -> x.d) as _details")
+            details.selectExpr(*run, "ordinal", f"{item} as d", f"(ordinal - 1) div {chunk} as part")
+            .groupBy(*run, "part").agg(F.expr("sort_array(collect_list(struct(ordinal, d))) as _ordered"))
+            .selectExpr(*run, "part", "transform(_ordered, x -> x.d) as _details")
         )
         # A long run has many parts; joining on the part number too keeps the keys unique and even.
         heads = summary.selectExpr("*", f"explode(sequence(0L, greatest(task_count - 1, 0) div {chunk})) as part")
-        joined = heads.join(parts, [*RUN, "part"], "left")
+        joined = heads.join(parts, [*run, "part"], "left")
     return joined.selectExpr(
         "map('agent', cast(participant as string)) as participants",
         f"""array(named_struct('score', score, 'pass_rate', pass_rate,
             'task_rewards', struct(mutation_score, fault_detection_rate, track, task_count),
             'detail', named_struct('task_details', coalesce(_details, {empty})))) as results""",
-        "part")
+        "part", *carry)
 
 
 def with_trace(documents: DataFrame, started: str, ended: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from suitegauge.functions import text
-from suitegauge.operators import backlog, quality, sections
+from suitegauge.operators import backlog, phrases, quality, sections
 from suitegauge.plans.fixtures import view, with_views
 from suitegauge.sources.tables import table
 
@@ -100,6 +100,11 @@ def phrase_hits(spark, folder):
     return backlog.detect_phrases(flagged, "text", LICENSE_PHRASES, "names_license").drop("text")
 
 
+def phrase_table_hits(spark, folder):
+    """A table of phrases that grows with the data, found in all documents."""
+    return phrases.find_phrases(table(spark, folder, "documents"), view(spark, folder, "phrases_v"))
+
+
 def placeholders(spark, folder):
     found = quality.computed_once(view(spark, folder, "services_v"), text.placeholders(F.col("env_text")).alias("names"))
     return found.select(F.explode("names").alias("name")).distinct().orderBy("name")
@@ -161,7 +166,7 @@ def overrides(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     content_hash, merge_new, diff_by_hash, ready_items, next_item, apply_status, progress_summary, phase_order,
-    phase_order_refactor, lookback, phase_order_from_text, lookback_from_text, retry_runs, retry_runs_sparse, phrase_hits, placeholders, duplicates, exactly_one, env_defaults,
+    phase_order_refactor, lookback, phase_order_from_text, lookback_from_text, retry_runs, retry_runs_sparse, phrase_hits, phrase_table_hits, placeholders, duplicates, exactly_one, env_defaults,
     plan_sections, plan_subsections, plan_stories, keyword_match, breakdown, overrides)}
 
 _STORIES = with_views("stories_v")
@@ -293,6 +298,10 @@ judged as (select s.story_id, coalesce(n_recent, 0) as n_recent, coalesce(n_miss
 select story_id, n_recent, n_missing, reason is null as verified, reason from judged""",
     "retry_runs": _retries("attempts_v"),
     "retry_runs_sparse": _retries("sparse_attempts_v"),
+    "phrase_table_hits": with_views("phrases_v") + r""",
+p as (select distinct trim(regexp_replace(lower(phrase), '[\x20\x09-\x0D]+', ' ', 'g')) as phrase from phrases_v),
+d as (select doc_id, concat(' ', trim(regexp_replace(lower(text), '[\x20\x09-\x0D]+', ' ', 'g')), ' ') as t from documents)
+select distinct doc_id, phrase from p, d where phrase <> '' and contains(t, concat(' ', phrase, ' '))""",
     "phrase_hits": r"""select doc_id, regexp_matches(text, '(?i)is functionally complete|already complete|work is already done|no further implementation.*required|already implemented|already present|was already|has been successfully completed|implementation.*already.*present') as reported_complete,
   regexp_matches(text, '(?i)all rights reserved|license|copyright') as names_license from documents""",
     "placeholders": with_views("services_v") + r"""

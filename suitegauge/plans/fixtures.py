@@ -17,6 +17,14 @@ _TASK_COUNT = "(select cast(floor(max(p_partkey) / 8) as bigint) + 1 from {part}
 _TASK_ID = ("concat('task_', lpad(cast(p_partkey + 1 as string), "
             "cast(greatest(3, length(cast(p_partkey + 1 as string))) as int), '0'), '_', replace(p_name, ' ', '_'))")
 
+_RUN_ID = "concat('run-', cast(p as string), '-', track, '-', cast(y as string))"
+
+_RUN_PARTS = """cast(floor(l_suppkey / 5) as int) as p, case when l_partkey % 2 = 0 then 'tdd' else 'bdd' end as track,
+          year(l_shipdate) as y, cast(floor(l_partkey / 8) as bigint) + 1 as ordinal,
+          case when l_linestatus = 'F' then 'correct' else 'buggy' end as target,
+          case l_returnflag when 'N' then 0 when 'R' then 1 else 2 end as exit_code,
+          l_quantity >= 45 as timed_out, l_shipdate as ts"""
+
 VIEWS: dict[str, str] = {
     # Task records.
     "tasks_v": """
@@ -247,6 +255,35 @@ VIEWS: dict[str, str] = {
           '- **Feature 5 (Rigor)** → STORY-005: Trivial guard, STORY-006: Statistical power (depends: STORY-005), STORY-007: Other',
           chr(10)) as text
         from {orders}""",
+    # Evaluations with an identity: one a year for each participant and track, some by nobody, some failed, some still at work;
+    # their test runs and mutation logs.
+    "requests_v": f"""
+        select {_RUN_ID} as run_id,
+          case when p % 3 = 1 then '   ' else concat(' agent ', cast(p as string), chr(10)) end as requester, track, task_count, started,
+          case when (p + y) % 5 <> 4 then ended end as ended,
+          case when (p + y) % 7 = 3 then 'Scenario file not found' end as error
+        from (select p, track, y, min(ts) as started, max(ts) as ended, max(ordinal) + 2 as task_count
+          from (select {_RUN_PARTS} from {{lineitem}}) r group by p, track, y) g""",
+    "requested_runs_v": f"""
+        select {_RUN_ID} as run_id, ordinal, target, exit_code, timed_out, ts from (select {_RUN_PARTS} from {{lineitem}}) r""",
+    "requested_logs_v": f"""
+        select {_RUN_ID} as run_id, ordinal, concat(cast(l_orderkey % 14 as string), '/12 mutants killed') as output,
+          case when l_orderkey % 31 = 0 then 'mutation testing timed out' end as error
+        from (select {_RUN_PARTS}, l_orderkey, l_linenumber from {{lineitem}}) r where l_linenumber < 3""",
+    # What tasks' folders hold.
+    "tree_v": """
+        select concat('task_', lpad(cast(p_partkey + 1 as string), 7, '0')) as task,
+          case when p_type in ('PROMO', 'ECONOMY', 'SMALL') then 'tdd' else 'bdd' end as track,
+          case when p_size <> 1 then concat('[', cast(p_partkey as string), ']') end as metadata,
+          case when p_size <> 3 then concat('spec of ', p_name, chr(10), 'line two') end as spec,
+          case when p_size <> 4 then p_brand end as correct,
+          case when p_size % 10 = 5 then '' when p_size <> 6 then p_type end as buggy
+        from {part}""",
+    # Phrases: words 3 to 6 of every document, and the first three of conversations, in capitals; some of them are there many times.
+    "phrases_v": """
+        select regexp_extract(text, '^[^ ]+ [^ ]+ ([^ ]+ [^ ]+ [^ ]+ [^ ]+)', 1) as phrase from {documents}
+        union all select upper(regexp_extract(text, '^([^ ]+ [^ ]+ [^ ]+)', 1)) as phrase from {conversations}
+        union all select regexp_extract(text, '^[^ ]+ ([^ ]+)', 1) as phrase from {conversations}""",
     # Field overrides, some of them empty.
     "overrides_v": """
         select concat('STORY-', cast(c_custkey as string)) as id,

@@ -9,6 +9,7 @@ from suitegauge.functions.docstrings import docstring
 from suitegauge.operators import preparation as prep
 from suitegauge.operators import quality
 from suitegauge.plans.fixtures import view, with_views
+from suitegauge.session import work_folder
 from suitegauge.sources import tasks as task_source
 
 
@@ -121,10 +122,33 @@ def track_tasks(spark, folder):
     return built(spark, folder).filter(F.col("track") == "tdd").select("task_id", "track")
 
 
+def _tree(spark, folder):
+    path = work_folder(spark, "tree")
+    task_source.write_task_tree(view(spark, folder, "tree_v"), path)
+    return path
+
+
+def task_tree(spark, folder):
+    """A tree of task folders, written and read back folder by folder, both tracks."""
+    return task_source.read_task_folders(spark, _tree(spark, folder)).drop("directory")
+
+
+def task_tree_scan(spark, folder):
+    """The same through Spark's own scan; one track, the other is never listed."""
+    return task_source.read_tasks(spark, _tree(spark, folder), "bdd").drop("directory")
+
+
+def task_tree_rejects(spark, folder):
+    """Folders of the tree that lack a file, by reason."""
+    _, rejects = prep.check_tasks(task_source.read_task_folders(spark, _tree(spark, folder)))
+    return rejects.select("task", "track", F.regexp_replace("reason", " in .*$", "").alias("reason"))
+
+
 QUERIES = {f.__name__: f for f in (
     task_ids, correct_impl, metadata_json, first_tasks, function_names, doctest_examples, docstrings, docstring_texts, gherkin_features,
     derive_bdd, derive_bdd_by_grammar, inject_bugs, inject_rejects, inject_reject_counts, dataset_range, missing_ids,
-    task_completeness, complete_tasks, completeness_counts, track_tasks)}
+    task_completeness, complete_tasks, completeness_counts, track_tasks,
+    task_tree, task_tree_scan, task_tree_rejects)}
 
 BUILT = with_views("tasks_v") + """,
 built as (select *, printf('task_%03d_%s', ordinal, function_name) as task_id, prompt as spec,
@@ -188,5 +212,13 @@ anti join ds on ds.n = g.n""",
   correct as correct_implementation, buggy as buggy_implementation from judged where reason is null""",
     "completeness_counts": _FOLDERS + r""" select regexp_extract(reason, '^\w+(?: to read)? [\w.]+') as reason, count(*) as n
 from judged where reason is not null group by 1""",
+    "task_tree": with_views("tree_v") + " select task, track, metadata, spec, correct, buggy from tree_v",
+    "task_tree_scan": with_views("tree_v") + """
+select task, track, metadata, spec, correct, nullif(buggy, '') as buggy from tree_v where track = 'bdd'""",
+    "task_tree_rejects": with_views("tree_v") + """
+select * from (select task, track, case when metadata is null then 'Missing metadata.json'
+  when spec is null then concat('Missing ', case when track = 'tdd' then 'spec.py' else 'spec.feature' end)
+  when correct is null then 'Missing correct.py' when buggy is null then 'Missing buggy.py' end as reason from tree_v)
+where reason is not null""",
     "track_tasks": BUILT + " select task_id, track from built where track = 'tdd'",
 }

@@ -168,15 +168,15 @@ def cents(x: str) -> str:
     return f"cast(printf('%.2f', {x}) as double)"
 
 
-def _pairs_sql(runs: str, targets: tuple[str, ...]) -> str:
+def _pairs_sql(runs: str, targets: tuple[str, ...], keys: str = KEYS) -> str:
     sides = ", ".join(f"max(case when target = '{t}' then code end) as {t}_code" for t in targets)
     return f"""
 latest as (select *, {_CODE} as code, row_number() over (
-    partition by {KEYS}, target order by ts desc, {_CODE} desc) as rn from {runs}),
-pairs as (select {KEYS}, {sides} from latest where rn = 1 group by {KEYS})"""
+    partition by {keys}, target order by ts desc, {_CODE} desc) as rn from {runs}),
+pairs as (select {keys}, {sides} from latest where rn = 1 group by {keys})"""
 
 
-def _parsed_sql(logs: str) -> str:
+def _parsed_sql(logs: str, keys: str = KEYS) -> str:
     frac, killed, survived = (r"([0-9]+)/([0-9]+)\s+mutants?\s+killed", r"[Kk]illed[:\s]+([0-9]+)",
                               r"[Ss]urvived[:\s]+([0-9]+)")
     return f"""
@@ -190,9 +190,9 @@ counts as (select *,
     case when error is not null then 0 when fk is not null then ft when k is not null then k + s else 0 end as total
   from marks),
 parsed as (select *, case when total > 0 then killed / total else 0.0::double end as mutation_score from counts),
-mutations as (select {KEYS}, max(case when mutation_score between 0 and 1 then mutation_score end) as mutation_score,
+mutations as (select {keys}, max(case when mutation_score between 0 and 1 then mutation_score end) as mutation_score,
     bool_or(mutation_score between 0 and 1) as mutation_valid
-  from parsed group by {KEYS})"""
+  from parsed group by {keys})"""
 
 
 _DETECT = """

@@ -184,6 +184,33 @@ def test_tree_scan_and_completeness(spark, tree):
                        "task_004_x": "Missing spec.feature", "task_005_x": "Missing correct.py", "task_006_x": "Missing buggy.py"}
 
 
+def test_folders_read_in_place_are_those_of_the_scan(spark, tree):
+    def rows(frame):
+        return sorted(((r.track, r.task, r.metadata, r.spec, r.correct, r.buggy) for r in frame.collect()), key=str)
+
+    assert rows(source.read_task_folders(spark, tree)) == rows(source.read_tasks(spark, tree))
+    assert rows(source.read_task_folders(spark, tree, "bdd")) == rows(source.read_tasks(spark, tree, "bdd"))
+    assert source.read_task_folders(spark, tree + "/none").count() == 0
+
+
+def test_written_tree_comes_back_and_may_be_written_again(spark, tmp_path):
+    given = [("tdd", "task_001_a", "{}", "sp\u00e9c\n", "c", ""), ("bdd", "task_001_a", None, "Feature", "c\r\n", None)]
+    tasks = spark.createDataFrame(given, "track string, task string, metadata string, spec string, correct string, buggy string")
+    assert source.write_task_tree(tasks, str(tmp_path)) == source.write_task_tree(tasks, f"file:{tmp_path}") == 6
+    read = source.read_task_folders(spark, str(tmp_path)).select("track", "task", "metadata", "spec", "correct", "buggy")
+    assert sorted(tuple(r) for r in read.collect()) == sorted(given)
+    assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file()) == [
+        "buggy.py", "correct.py", "correct.py", "metadata.json", "spec.feature", "spec.py"]
+
+
+def test_the_other_track_and_other_files_are_never_read(spark, tree):
+    import pathlib
+
+    (pathlib.Path(tree) / "bdd" / "python" / "task_004_x" / "notes.md").write_text("n")
+    files = source.read_tasks(spark, tree, "bdd").inputFiles()
+    assert files and all("/bdd/" in f and not f.endswith("notes.md") for f in files)
+
+
 def test_one_track_of_the_tree(spark, tree):
     assert {r.track for r in source.read_tasks(spark, tree, "bdd").collect()} == {"bdd"}
 
