@@ -5,7 +5,7 @@ with the same minimiser travel as one packed string to the minimiser's bucket; e
 have equal minimisers and so meet there, where sorting their words counts them exactly.
 Minimisers are counted first, without their words: a bucket of a single place cannot hold a
 repeated window, so nothing is sent to it. Buckets that very many places share are not gathered:
-equal strings are counted as one by hash aggregation, and so are the windows of what strings are left.
+equal strings are counted as one by aggregation over their words, and so are the windows of what strings are left.
 """
 
 from __future__ import annotations
@@ -173,37 +173,58 @@ def _gathered_spans(packed: DataFrame, window: int) -> DataFrame:
 
 
 def _counted_spans(packed: DataFrame, window: int) -> DataFrame:
-    """Spans of repeated windows where buckets are too large, by 128-bit hashes and aggregation.
+    """Spans of repeated windows where buckets are too large to gather: equal words are counted by aggregation.
 
     A string that occurs twice is repeated as a whole. Of each distinct string one place is taken apart
-    into windows; those that two distinct strings, or one string twice, hold are repeated.
+    into windows; those that two distinct strings, or one string twice, hold are repeated. Hashes only part what
+    differs and tell which windows cannot recur; what counts as equal has equal words.
     """
-    hashed = packed.withColumns({"p1": F.xxhash64("packed"), "p2": F.xxhash64(F.lit(1), F.reverse("packed")),
-                                 "place": F.xxhash64("doc", "content", "start")})
-    times = hashed.groupBy("p1", "p2").agg(F.count("*").alias("times"), F.min("place").alias("first_place"))
-    strings = staged(hashed.join(times, ["p1", "p2"]).drop("p1", "p2"), "shared-strings")
+    hashed = packed.withColumns({"p1": F.xxhash64("packed"), "place": F.xxhash64("doc", "content", "start")})
+    times = staged(hashed.groupBy("p1", "packed").agg(F.count("*").alias("times"), F.min("place").alias("first_place")), "shared-times")
+    strings = staged(hashed.join(times, ["p1", "packed"]).drop("p1"), "shared-strings")
     whole = strings.where("times > 1").select("doc", "content", F.col("start").alias("first"),
                                               (F.col("start") + F.col("n") + window - 1).cast("int").alias("after"))
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("content", pa.int64()), ("first", pa.int32()),
-                        ("lone", pa.bool_())])
+    fields = [("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("content", pa.int64()), ("start", pa.int32()), ("nth", pa.int32())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for all_rows in batches:
             for batch in slices(all_rows, 1024):
-                out: list[list] = [[] for _ in schema]
-                for doc, content, start, n, text, times in zip(*(c.to_pylist() for c in batch.columns)):
+                out: list[list] = [[] for _ in fields]
+                for doc, content, start, n, text in zip(*(c.to_pylist() for c in batch.columns)):
                     words = text.split(" ")
                     hashes = [blake2b(" ".join(words[i:i + window]).encode(), digest_size=16).digest() for i in range(n)]
                     pairs = np.frombuffer(b"".join(hashes), dtype=np.int64).reshape(-1, 2)
                     for column, values in zip(out, (pairs[:, 0].tolist(), pairs[:, 1].tolist(), [doc] * n, [content] * n,
-                                                    range(start, start + n), [times == 1] * n)):
+                                                    [start] * n, range(n))):
                         column += values
-                yield batch_of(schema, *out)
+                yield batch_of(pa.schema(fields), *out)
+
+    # Rows of one id and text are one place here; that they are several is in ``times``.
+    one = strings.where("place = first_place").dropDuplicates(["doc", "content", "start"]).select(
+        "doc", "content", "start", "n", "packed", (F.col("times") == 1).alias("lone"))
+    windows = staged(one.select("doc", "content", "start", "n", "packed").mapInArrow(
+        taken_apart, f"h1 bigint, h2 bigint, {_KEY}, start int, nth int"), "shared-windows")
+    maybe = windows.groupBy("h1", "h2").count().where("count > 1").drop("count")
+    # At most as many entries as a string has windows.
+    wanted = windows.join(maybe, ["h1", "h2"]).groupBy("doc", "content", "start").agg(F.collect_list(F.struct("nth", "h1")).alias("wanted"))
+    spelled = [("h1", pa.int64()), ("words", pa.string()), ("doc", pa.int64()), ("content", pa.int64()), ("first", pa.int32()), ("lone", pa.bool_())]
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for all_rows in batches:
+            for batch in slices(all_rows, 64):
+                out: list[list] = [[] for _ in spelled]
+                for doc, content, start, text, lone, found in zip(*(c.to_pylist() for c in batch.columns)):
+                    words = text.split(" ")
+                    for w in found:
+                        row = (w["h1"], " ".join(words[w["nth"]:w["nth"] + window]), doc, content, start + w["nth"], lone)
+                        for column, value in zip(out, row):
+                            column.append(value)
+                yield batch_of(pa.schema(spelled), *out)
 
-    one = strings.where("place = first_place").select("doc", "content", "start", "n", "packed", "times")
-    windows = staged(one.mapInArrow(run, f"h1 bigint, h2 bigint, {_KEY}, first int, lone boolean"), "shared-windows")
-    repeated = windows.groupBy("h1", "h2").count().where("count > 1").drop("count")
-    part = windows.where("lone").join(repeated, ["h1", "h2"]).select("doc", "content", "first", (F.col("first") + window).alias("after"))
+    texts = staged(one.join(wanted, ["doc", "content", "start"]).select("doc", "content", "start", "packed", "lone", "wanted")
+                   .mapInArrow(spell, f"h1 bigint, words string, {_KEY}, first int, lone boolean"), "shared-words")
+    repeated = staged(texts.groupBy("h1", "words").count().where("count > 1").drop("count"), "repeated-words")
+    part = texts.where("lone").join(repeated, ["h1", "words"]).select("doc", "content", "first", (F.col("first") + window).alias("after"))
     return whole.union(part)
 
 
