@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from suitegauge.llm.common import batch_of, held_out, slices
+from suitegauge.llm.common import batch_of, held_out, slices, staged
 from suitegauge.llm.learning import calibrated, isotonic, labelled_sample
 
-#: Labelled rows that teach, at most; features that the field has, at most; rounds of fitting.
-SAMPLE, VOCABULARY, ROUNDS = 6_000, 20_000, 12
+#: Labelled rows that teach, at most.
+SAMPLE = 6_000
+#: Fitting ends when a round moves no weight by more than ``SETTLED``, at the latest after ``ROUNDS`` rounds.
+SETTLED, ROUNDS = 0.05, 60
 #: Beginnings of these lengths are features, beside the whole word.
 PREFIXES = (4, 5, 6, 7, 8, 9)
 #: A feature marks toxic tokens if this share of its documents, after adding two that are not, are toxic.
@@ -115,9 +117,16 @@ def marginals(emissions: np.ndarray, lengths: np.ndarray, pairs: np.ndarray) ->
     return toxic, both
 
 
-def any_toxic(toxic: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each document the probability that some token is toxic, tokens taken as independent; 0 without tokens."""
-    sums = np.r_[0.0, np.cumsum(np.log1p(-np.minimum(toxic, 1 - 1e-12)))]
+def any_toxic(toxic: np.ndarray, both: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each document the probability that some token is toxic, exactly as the chain has it; 0 without tokens.
+
+    None is toxic if the first is not, and each next one is not given that the one before is not.
+    """
+    before = both[:, 0, 0] + both[:, 0, 1]
+    none = np.where(before > 0, both[:, 0, 0] / np.where(before > 0, before, 1.0), 1.0 - toxic)
+    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
+    none[starts] = 1.0 - toxic[starts]
+    sums = np.r_[0.0, np.cumsum(np.log(np.maximum(none, 1e-12)))]
     ends = np.cumsum(lengths)
     return -np.expm1(sums[ends] - sums[ends - lengths])
 
@@ -138,67 +147,82 @@ def _vocabulary(sample: DataFrame) -> tuple[list[str], set[str]]:
     seen = (sample.mapInArrow(run, "feature string, toxic bigint, other bigint").groupBy("feature")
             .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where("toxic >= 3")
             .withColumn("share", F.col("toxic") / (F.col("toxic") + F.col("other") + 2))
-            .orderBy(F.desc("share"), "feature").limit(VOCABULARY).collect())
+            .orderBy(F.desc("share"), "feature").collect())  # bounded as the sample is
     return [r["feature"] for r in seen], {r["feature"] for r in seen if r["share"] >= MARKING}
 
 
+def _read_once(sample: DataFrame, vocabulary: list[str], marking: set[str]) -> DataFrame:
+    """The sample as numbers: tokens of each text, features of each token, their places in the vocabulary, and token labels."""
+    ids = {f: i for i, f in enumerate(vocabulary)}
+    names = ("lengths", "counts", "flat", "tags")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[list[int], bool]] = {}
+        for whole in batches:
+            for batch in slices(whole, 256):
+                lengths, counts, flat, tags = [], [], [], []
+                for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    words = TOKEN.findall(text or "")
+                    lengths.append(len(words))
+                    for w in words:
+                        if w not in known:
+                            found = [f for f in features(w) if f in ids]
+                            known[w] = ([ids[f] for f in found], any(f in marking for f in found))
+                        mine, marks = known[w]
+                        counts.append(len(mine))
+                        flat += mine
+                        tags.append(bool(y and marks))
+                if counts:
+                    columns = (np.array(lengths, np.int32), np.array(counts, np.int8), np.array(flat, np.int32), np.array(tags, np.int8))
+                    yield batch_of(pa.schema([(n, pa.binary()) for n in names]), *([c.tobytes()] for c in columns))
+
+    return staged(sample.mapInArrow(run, ", ".join(f"{n} binary" for n in names)), "toxicity-features")
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Field:
     """Gradients are added up over the sample's parts in each round; without labelled rows every score is the same."""
     sample = labelled_sample(docs, labels, "toxic", most)
     vocabulary, marking = _vocabulary(sample)
-    ids = {f: i for i, f in enumerate(vocabulary)}
+    numbers = _read_once(sample, vocabulary, marking)
     size = len(vocabulary)
 
-    def gradient_of(theta: np.ndarray, pairs: np.ndarray):
+    def gradient_of(theta: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, tokens = np.zeros(size + 1 + 4), 0
-            known: dict[str, tuple[list[int], bool]] = {}
-            for whole in batches:
-                for batch in slices(whole, 256):
-                    rows, lengths = [], []
-                    for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                        words = TOKEN.findall(text or "")
-                        lengths.append(len(words))
-                        for w in words:
-                            if w not in known:
-                                found = [f for f in features(w) if f in ids]
-                                known[w] = ([ids[f] for f in found], any(f in marking for f in found))
-                            mine, marks = known[w]
-                            rows.append((mine, bool(y and marks)))
-                    if not rows:
-                        continue
-                    counts = np.array([len(r) for r, _ in rows])
-                    flat = np.array([i for r, _ in rows for i in r], dtype=np.int64)
-                    owner = np.repeat(np.arange(len(rows)), counts)
-                    emission = theta[-1] + np.bincount(owner, weights=theta[flat], minlength=len(rows))
-                    tags, lengths = np.array([t for _, t in rows]), np.array(lengths)
+            total = np.zeros(size + 1 + 4)
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    lengths, counts, flat, tags = (np.frombuffer(b, kind).astype(np.int64)
+                                                   for b, kind in zip(row, (np.int32, np.int8, np.int32, np.int8)))
+                    owner = np.repeat(np.arange(len(counts)), counts)
+                    emission = theta[-1] + np.bincount(owner, weights=theta[flat], minlength=len(counts))
                     toxic, both = marginals(emission, lengths, pairs)
                     gap = tags - toxic
                     total[:size] += np.bincount(flat, weights=gap[owner], minlength=size)[:size]
                     total[size] += gap.sum()
-                    follows = np.ones(len(rows), dtype=bool)
+                    follows = np.ones(len(counts), dtype=bool)
                     follows[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
                     at = np.flatnonzero(follows)
                     seen = np.bincount(2 * tags[at - 1] + tags[at], minlength=4)
                     total[size + 1:] += seen - both.sum(axis=0).ravel()
-                    tokens += len(rows)
-            yield batch_of(pa.schema([("part", pa.binary()), ("tokens", pa.int64())]), [total.tobytes()], [tokens])
+            yield batch_of(pa.schema([("part", pa.binary())]), [total.tobytes()])
 
-        parts = sample.mapInArrow(run, "part binary, tokens bigint").collect()  # one row for each part of the sample
-        return sum((np.frombuffer(p["part"]) for p in parts), np.zeros(size + 5)), sum(p["tokens"] for p in parts)
+        parts = numbers.mapInArrow(run, "part binary").collect()  # one row for each part of the sample
+        return sum((np.frombuffer(p["part"]) for p in parts), np.zeros(size + 5))
 
     theta, pairs = np.zeros(size + 1), np.zeros((2, 2))
     theta[-1] = -6.0
     theta[:size] = [2.0 if f in marking else 0.0 for f in vocabulary]
     seen = np.full(size + 5, 1.0)
     for _ in range(ROUNDS if size else 0):
-        gradient, _ = gradient_of(theta, pairs)
+        gradient = gradient_of(theta, pairs)
         gradient[:size] -= 0.1 * theta[:size]
         seen += gradient ** 2
         step = gradient / np.sqrt(seen)
         theta = theta + np.r_[step[:size], 0.5 * step[size]]
         pairs = np.clip(pairs + 0.3 * step[size + 1:].reshape(2, 2), -3, 3)
         pairs -= pairs[0, 0]
+        if np.abs(step).max() <= SETTLED:
+            break
     field = Field({f: float(w) for f, w in zip(vocabulary, theta) if abs(w) > 1e-3}, float(theta[-1]), pairs, ([0.0, 1.0], [0.0, 1.0]))
     raw = tag(sample, field, ("y",)).select("score", "y")
     curve = isotonic(raw)
@@ -228,8 +252,8 @@ def tag(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",)) -> D
                     known[w] = field.emission(w)
                 lengths = np.array([len(w) for w in words])
                 emissions = np.fromiter((known[w] for ws in words for w in ws), dtype=np.float64, count=int(lengths.sum()))
-                toxic = marginals(emissions, lengths, field.pairs)[0] if len(emissions) else emissions
-                scores = calibrated(any_toxic(toxic, lengths), field.curve)
+                toxic, both = marginals(emissions, lengths, field.pairs) if len(emissions) else (emissions, np.zeros((0, 2, 2)))
+                scores = calibrated(any_toxic(toxic, both, lengths), field.curve)
                 first = np.cumsum(lengths) - lengths
                 spans: list[list[dict]] = [[] for _ in texts]
                 hits = np.flatnonzero(toxic >= TAGGED)

@@ -88,6 +88,19 @@ def test_marginals_equal_enumeration():
         at += n
 
 
+def test_any_toxic_equals_enumeration():
+    rng = np.random.default_rng(4)
+    lengths, pairs = np.array([0, 1, 6, 3, 0, 5]), np.array([[0.0, -2.0], [-1.5, 2.5]])
+    emissions = rng.normal(-1, 2, lengths.sum())
+    found = toxicity.any_toxic(*toxicity.marginals(emissions, lengths, pairs), lengths)
+    at = 0
+    for n, chance in zip(lengths.tolist(), found):
+        weights = {tags: np.exp(sum(e * y for e, y in zip(emissions[at:at + n], tags)) + sum(pairs[a, b] for a, b in zip(tags, tags[1:])))
+                   for tags in itertools.product((0, 1), repeat=n)}
+        assert abs(chance - (1 - weights[(0,) * n] / sum(weights.values()))) < 1e-9
+        at += n
+
+
 def test_isotonic_rises(spark):
     rng = np.random.default_rng(1)
     rows = [(float(s), int(rng.random() < s)) for s in rng.random(500)]
