@@ -248,3 +248,39 @@ def test_outcomes_outside_runs_are_rejects(spark):
                      ("q", 1): "task outside the run", ("r", 1): "participant not evaluated"}
     sums = {r.participant: r.pass_rate for r in scoring.summarize_outcomes(evaluations, outcomes, block=10).collect()}
     assert sums == {"p": 2 / 25, "q": 0.0}
+
+
+def _sparse(spark, tasks=25_000):
+    evaluations = spark.createDataFrame([("p", "tdd", tasks), ("q", "tdd", 0), ("r", "tdd", 3)], "participant string, track string, task_count long")
+    outcomes = spark.createDataFrame(
+        [("p", "tdd", n, 0.5, 1.0, 0.7, True, True) for n in (1, 2, 9_999, 10_000, 10_001, 20_500, tasks, tasks + 1)] + [("r", "tdd", 2, 0.25, 0.0, 0.15, True, False)],
+        "participant string, track string, ordinal long, mutation_score double, fault_detection_rate double, composite_score double, "
+        "passed_correct boolean, failed_buggy boolean")
+    return evaluations, outcomes
+
+
+def test_zero_rows_are_made_where_they_stand(spark):
+    evaluations, outcomes = _sparse(spark)
+    details = scoring.task_details(evaluations, outcomes)
+    rows = {(r.participant, r.ordinal): r for r in details.collect()}
+    assert sorted(rows) == [("p", n) for n in range(1, 25_001)] + [("r", n) for n in (1, 2, 3)]
+    assert {n for (p, n), r in rows.items() if p == "p" and r.mutation_score == 0.5 and r.failed_buggy} == {1, 2, 9_999, 10_000, 10_001, 20_500, 25_000}
+    assert sum(r.composite_score for r in rows.values()) == pytest.approx(7 * 0.7 + 0.15)
+    assert (rows["p", 7].task_id, rows["p", 700].task_id, rows["p", 7_000].task_id) == ("task_007", "task_700", "task_7000")
+    # Rows are spelled out behind the last shuffle.
+    plan = details._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(first" in plan.split("Exchange")[0]
+
+
+def test_documents_of_lists_equal_documents_of_rows(spark):
+    evaluations, outcomes = _sparse(spark)
+    summary = scoring.summarize_outcomes(evaluations, outcomes)
+
+    def content(documents):
+        return sorted((r.participants["agent"], r.part, r.results) for r in documents.collect())
+
+    whole = content(scoring.to_envelope(summary, scoring.task_details(evaluations, outcomes), 5_000))
+    assert content(scoring.to_envelope(summary, scoring.task_lists(evaluations, outcomes), 5_000)) == whole
+    assert [(p, part) for p, part, _ in whole] == [("p", n) for n in range(5)] + [("q", 0), ("r", 0)]
+    with pytest.raises(ValueError):
+        scoring.to_envelope(summary, scoring.task_lists(evaluations, outcomes), 3_000)
