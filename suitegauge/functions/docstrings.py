@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from suitegauge.functions.text import bound
+
 # Strings of a line; the first group is the quotes of one that goes on. Possessive repetition needs no stack for long lines.
 _STRINGS = (r'"""(?:[^"\\]++|\\.|"(?!""))*+"""' r"|'''(?:[^'\\]++|\\.|'(?!''))*+'''" r"""|("{3}|'{3}).*$"""
             r'|"(?:[^"\\]++|\\.)*+"' r"|'(?:[^'\\]++|\\.)*+'")
@@ -36,11 +38,15 @@ def _ends(quote: Column, line: Column) -> Column:
 def _step(state: Column, line: Column) -> Column:
     # The line without its strings and its comment.
     code = F.rtrim(F.regexp_replace(F.regexp_replace(line, _STRINGS, "0$1"), r"#.*$", ""))
+    return bound(code, lambda code: _next(state, line, code))
+
+
+def _next(state: Column, line: Column, code: Column) -> Column:
     mode, indent = state["mode"], state["indent"]
     opened = F.regexp_extract(code, r"""("{3}|'{3})""", 1)
     is_def = mode.isin(_BETWEEN, _FIRST) & line.rlike(r"^\s*def\s+\w+\s*[(\[]")
     depth = (F.when(mode == _HEADER, state["depth"]).otherwise(0)
-             + F.length(F.regexp_replace(code, r"[^(\[{]", "")) - F.length(F.regexp_replace(code, r"[^)\]}]", "")))
+             + F.length(F.translate(code, ")]}", "")) - F.length(F.translate(code, "([{", "")))
     inline = F.when(code.rlike(r":\s*[rRuU]?0$"), F.regexp_extract(line, _INLINE, 2)).otherwise("")
     starts = (mode == _FIRST) & line.rlike(_OPENS)
     quote = F.when(mode == _DOC, state["quote"]).otherwise(F.regexp_extract(line, _OPENS, 1))
@@ -81,12 +87,16 @@ def _found(spec: Column) -> Column:
 
 def dedented(doc: Column) -> Column:
     """The text without its margin: the first line from its first letter, the others less what they all are indented by, no blank ends."""
+    def shifted(lines: Column) -> Column:
+        others = F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))
+        margin = F.coalesce(F.array_min(F.transform(
+            F.filter(others, lambda x: F.trim(x) != ""), lambda x: F.length(x) - F.length(F.ltrim(x)))), F.lit(0))
+        return bound(margin, lambda margin: F.concat(
+            F.array(F.ltrim(F.get(lines, F.lit(0)))), F.transform(others, lambda x: F.substring(x, margin + 1, F.length(x)))))
+
+    # A text's lines are found once: an expression inside a lambda is worked out for each of its items.
     lines = F.transform(F.split(doc, "\n"), lambda x: F.replace(x, F.lit("\t"), F.lit(" " * 8)))
-    others = F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))
-    margin = F.coalesce(F.array_min(F.transform(
-        F.filter(others, lambda x: F.trim(x) != ""), lambda x: F.length(x) - F.length(F.ltrim(x)))), F.lit(0))
-    kept = F.concat(F.array(F.ltrim(F.get(lines, F.lit(0)))), F.transform(others, lambda x: F.substring(x, margin + 1, F.length(x))))
-    return F.regexp_replace(F.array_join(kept, "\n"), r"\A\n+|\n+\z", "")
+    return F.regexp_replace(F.array_join(bound(lines, shifted), "\n"), r"\A\n+|\n+\z", "")
 
 
 def _first(spec: Column, cleaned: bool) -> Column:

@@ -6,11 +6,9 @@ included; only the join of stories with overrides moves rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from suitegauge.functions.text import content_hash, strip
+from suitegauge.functions.text import bound, content_hash, strip
 from suitegauge.operators.quality import computed_once
 
 # Headings and markers of a planning document. The repetitions are
@@ -66,11 +64,6 @@ def _files(content: Column, block: str = FILES) -> Column:
     return F.transform(quoted, lambda name: strip(F.substring_index(name, " - ", 1)))
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over a value that is worked out once, however often ``body`` mentions it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _last_of_each(ordered: Column, key: str) -> Column:
     """Of an array sorted by ``key``, the last item of each key."""
     return F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i + 1)[key] != x[key], F.lit(True)))
@@ -94,7 +87,7 @@ def extract_sections(docs: DataFrame, parents: tuple[int, ...] = FEATURES_WITH_S
     found = F.transform(numbered, lambda p, i: F.struct(
         F.substring_index(p, ":", 1).try_cast("int").alias("number"), i.alias("pos"),
         F.substring(p, F.instr(p, ":") + 1, F.length(p)).alias("content")))
-    kept = computed_once(docs.select("doc_id", "text", *keep), _bound(
+    kept = computed_once(docs.select("doc_id", "text", *keep), bound(
         F.sort_array(found), lambda ordered: _last_of_each(ordered, "number")).alias("_kept"))
     content, number = F.col("content"), F.col("number")
     name = F.nullif(strip(F.regexp_extract(content, r"^\s*([^\n]+)", 1)), F.lit(""))
@@ -105,7 +98,7 @@ def extract_sections(docs: DataFrame, parents: tuple[int, ...] = FEATURES_WITH_S
         strip(F.regexp_extract(content, DESCRIPTION, 1)).alias("description"),
         F.concat(checklist, F.array_except(_requirements(content), checklist)).alias("acceptance"),
         _files(content).alias("files"),
-        F.when(number.isin(*parents), _bound(_sorted_subsections(content), _subsections)).alias("subsections"),
+        F.when(number.isin(*parents), bound(_sorted_subsections(content), _subsections)).alias("subsections"),
     )
 
 

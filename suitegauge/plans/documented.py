@@ -8,13 +8,13 @@ from suitegauge.operators import documented, scoring
 from suitegauge.operators import preparation as prep
 from suitegauge.operators.quality import computed_once
 from suitegauge.plans.fixtures import view, with_views
-from suitegauge.plans.preparation import BUILT, built
+from suitegauge.plans.preparation import BUILT, built, dealt
 from suitegauge.plans.scoring import KEYS, _DETECT, _pairs_sql, _parsed_sql, cents, parsed_logs
 from suitegauge.sources.tables import table
 
 
 def _scenarios(spark, folder):
-    bdd, _ = prep.derive_bdd(built(spark, folder))
+    bdd, _ = prep.derive_bdd(dealt(spark, folder))
     return documented.scenario_names(bdd.select("task_id", "ordinal", "spec"))
 
 
@@ -27,7 +27,7 @@ def spec_requirements(spark, folder):
 
 
 def docstring_requirements(spark, folder):
-    specs = view(spark, folder, "specs_v")
+    specs = view(spark, folder, "specs_v", "p_partkey")
     found = computed_once(specs, documented.docstring_requirements(F.col("spec")).alias("found"))
     return found.select("p_partkey", F.size("found").alias("n_requirements"), F.get("found", F.lit(0)).alias("requirement"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from suitegauge.functions import code, docstrings, text
 from suitegauge.operators import preparation as prep
 from suitegauge.operators import quality
+from suitegauge.plans.catalog import QUERIES
 from suitegauge.sources import tasks as source
 
 PAIR = '''from typing import List
@@ -269,3 +270,11 @@ def test_dataset_rejects_and_missing_numbers(spark, tmp_path):
 def test_strip_takes_whitespace_of_any_script(spark):
     odd = "\u3000\xa0 bob \x1f\u2028"
     assert spark.createDataFrame([(odd,)], "t string").select(text.strip(F.col("t"))).first()[0] == odd.strip() == "bob"
+
+
+def test_docstrings_are_read_once_per_text_on_dealt_rows(spark):
+    frame = spark.createDataFrame([('def f():\n    """a\n      b\n    c"""',)], "spec string").select(docstrings.docstring(F.col("spec")).alias("doc"))
+    assert frame.first()[0] == "a\n  b\nc"
+    assert frame._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+    for name in ("docstrings", "docstring_texts", "gherkin_features", "scenario_names", "spec_coverage"):
+        assert "RepartitionByExpression [p_partkey" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString(), name
