@@ -278,3 +278,35 @@ def test_docstrings_are_read_once_per_text_on_dealt_rows(spark):
     assert frame._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
     for name in ("docstrings", "docstring_texts", "gherkin_features", "scenario_names", "spec_coverage"):
         assert "RepartitionByExpression [p_partkey" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_a_scan_in_lots_is_that_of_the_whole(spark, tree, monkeypatch):
+    import pathlib
+
+    for n in range(20):
+        place = pathlib.Path(tree) / "bdd" / "python" / f"task_{n}_[a]{{b}}*"
+        place.mkdir()
+        (place / "spec.feature").write_text(f"s{n}")
+
+    def rows(frame):
+        return sorted(((r.track, r.task, r.metadata, r.spec, r.correct, r.buggy) for r in frame.collect()), key=str)
+
+    whole, given, scan = rows(source.read_tasks(spark, tree, "bdd")), [], source.read_tasks
+
+    def counted(spark, root, track, folders):
+        given.append(len(folders))
+        return scan(spark, root, track, folders)
+
+    monkeypatch.setattr(source, "read_tasks", counted)
+    assert rows(source.read_tasks_in_lots(spark, tree, "bdd", lot=4)) == whole and len(whole) == 22
+    assert sum(given) == 22 and max(given) < 22
+    assert source.read_tasks_in_lots(spark, tree + "/none", "bdd").count() == 0
+
+
+def test_a_tree_is_written_by_many_tasks(spark, monkeypatch):
+    from suitegauge.plans import preparation as plans
+
+    given = []
+    monkeypatch.setattr(plans.task_source, "write_task_tree", lambda tasks, path: given.append(tasks))
+    plans._tree(spark, "/root/testdata/sf0.001")
+    assert "RepartitionByExpression [p_partkey" in given[0]._jdf.queryExecution().optimizedPlan().toString()
