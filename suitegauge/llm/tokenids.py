@@ -9,18 +9,20 @@ unknown keys are told by their fingerprint.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from suitegauge.llm.common import batch_of, slices, staged, worker_cache
+from suitegauge.llm.common import batch_of, byte_slices, slices, staged, worker_cache
 
 #: Ids after which a block is closed; a document is never cut.
 BLOCK_IDS = 1 << 18
@@ -28,12 +30,27 @@ BLOCK_IDS = 1 << 18
 BUCKET_KEYS = 8192
 #: Units of text whose ids a Python worker remembers.
 REMEMBERED = 800_000
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 4 << 20
 END = b"\0\0\0\0"
 
 
-def even(text: str) -> bool:
+#: White space other than space and line end, as ``str.isspace`` tells it, or a space or line end that is not alone between words.
+UNEVEN = (r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+          r"|[ \n][ \n]|\A[ \n]|[ \n]\z")
+#: Marks at the end of a unit that are encoded apart from the word before them.
+MARKS = ".,;:!?$%&*#"
+
+
+def even(texts: pa.Array) -> pa.Array:
     """Whether a text is words with single spaces and single line ends between them, and no other white space; not if empty."""
-    return text != "" and text.replace("\n", " ") == " ".join(text.split())
+    return pc.and_(pc.not_equal(texts, ""), pc.invert(pc.match_substring_regex(texts, UNEVEN)))
+
+
+def stem_of(unit: str) -> str:
+    """A unit without the marks at its end if a Latin letter stands before them, else the unit."""
+    stem = unit.rstrip(MARKS)
+    return stem if stem and stem[-1] < "\u0250" and stem[-1].isalpha() else unit
 
 
 class UnitEncoder:
@@ -42,6 +59,7 @@ class UnitEncoder:
     Such a tokenizer splits before white space that follows other characters, so a text whose
     white space is single spaces and single line ends falls into units that are encoded independently:
     words, each with the space or line end before it. Texts with other white space are encoded whole.
+    The pattern of byte-level tokenizers also splits between a letter and marks, so a word and the marks that end it are remembered apart.
     """
 
     def __init__(self, model: str):
@@ -51,8 +69,15 @@ class UnitEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.begins[[i for piece, i in vocabulary.items() if piece[0] in "ĠĊ"]] = True
+        read = json.loads(model)
+        splits = read["pre_tokenizer"] or {}
+        added = "".join(t["content"] for t in read["added_tokens"])
+        self.marked = splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not set(MARKS) & set(added)
+        #: Ids of units met since the last turn, and of those met in the turn before.
         self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        #: Ids of what no white space precedes: first words of texts, and marks.
+        self.bare: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -71,24 +96,51 @@ class UnitEncoder:
             else:
                 self.known.update(zip(part, self._whole(spelled)))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [even(t) for t in texts]
-        split = [t.replace("\n", " \n").split(" ") if good else [] for t, good in zip(texts, plain)]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if len(self.first) > REMEMBERED:
-            self.first.clear()
-        wanted: set[str] = set()
-        for units, good in zip(split, plain):
-            if good:
-                wanted.update(units[1:])
-        self._learn(list(wanted.difference(self.known)))
-        heads = list({units[0] for units, good in zip(split, plain) if good}.difference(self.first))
-        self.first.update(zip(heads, self._whole(heads)))
-        others = iter(self._whole([t for t, good in zip(texts, plain) if not good]))
-        known = self.known.__getitem__
-        return [self.first[units[0]] + b"".join(map(known, units[1:])) if good else next(others)
-                for units, good in zip(split, plain)]
+    def _after_space(self, units: list[str]) -> list[bytes]:
+        """Ids of units, each with the space or line end before it."""
+        stems = [u if u[-1].isalpha() else stem_of(u) for u in units] if self.marked else units
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        missing = set(stems).difference(self.known)
+        again = missing.intersection(self.older)
+        self.known.update((u, self.older[u]) for u in again)
+        self._learn(list(missing.difference(again)))
+        ids = list(map(self.known.__getitem__, stems))
+        ended = [i for i, (unit, stem) in enumerate(zip(units, stems)) if len(unit) != len(stem)]
+        for i, marks in zip(ended, self._bare([units[i][len(stems[i]):] for i in ended])):
+            ids[i] += marks
+        return ids
+
+    def _bare(self, texts: list[str]) -> list[bytes]:
+        if len(self.bare) > REMEMBERED // 2:
+            self.bare.clear()
+        new = list(set(texts).difference(self.bare))
+        self.bare.update(zip(new, self._whole(new)))
+        return [self.bare[t] for t in texts]
+
+    def _by_units(self, texts: pa.Array) -> Iterator[bytes]:
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        coded = split.flatten().dictionary_encode()
+        units, starts = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), split.offsets.to_numpy()
+        at, heads = coded.indices.to_numpy().copy(), np.zeros(len(coded), dtype=bool)
+        heads[starts[:-1]] = True
+        inner = np.flatnonzero(np.bincount(at[~heads], minlength=len(units))).tolist()
+        first, place = np.unique(at[heads], return_inverse=True)
+        ids = [b""] * len(units)
+        for i, found in zip(inner, self._after_space([units[i] for i in inner])):
+            ids[i] = found
+        at[heads] = len(units) + place
+        spelled = pa.array(ids + self._bare([units[i] for i in first.tolist()]), pa.large_binary()).take(pa.array(at))
+        cuts = np.frombuffer(spelled.buffers()[1], dtype=np.int64)[starts].tolist()
+        raw = memoryview(spelled.buffers()[2] or b"")
+        return (bytes(raw[a:b]) for a, b in zip(cuts, cuts[1:]))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        plain = even(texts)
+        found = self._by_units(texts.filter(plain)) if pc.any(plain).as_py() else iter(())
+        others = iter(self._whole(texts.filter(pc.invert(plain)).to_pylist()))
+        return [next(found if good else others) for good in plain.to_pylist()]
 
 
 def unit_encoder(model: str) -> UnitEncoder:
@@ -123,9 +175,8 @@ def write_blocks(docs: DataFrame, model: str) -> DataFrame:
         encoder, shard = unit_encoder(model), TaskContext.get().partitionId()
         block, before, size, payload, entries, last, copy = 0, 0, 0, [], [], (), 0
         for whole in batches:
-            for batch in slices(whole, 256):
-                doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-                for doc_id, raw in zip(doc_ids, encoder.encode(texts)):
+            for batch in byte_slices(whole, 1, SLICE_BYTES):
+                for doc_id, raw in zip(batch.column(0).to_pylist(), encoder.encode(pc.fill_null(batch.column(1), ""))):
                     copy = copy + 1 if (doc_id,) == last else 0
                     last = (doc_id,)
                     n = len(raw) // 4 + 1

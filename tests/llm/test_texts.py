@@ -14,6 +14,8 @@ from fractions import Fraction
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -170,6 +172,29 @@ def test_units_of_uneven_white_space(byte_bpe):
     assert [len(r) // 4 for r in encoder.encode(texts)] == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_words_and_marks_are_encoded_as_in_whole_texts(byte_bpe):
+    tokenizer, encoder = Tokenizer.from_str(byte_bpe), tokenids.UnitEncoder(byte_bpe)
+    words = ["a", "É", "it's", "a'", "a’", "2", "²", "ª", "漢", "ɐ", "e\u0301", "\u00b7", "<|endoftext|>", "\x00", "..."]
+    texts = [f"{first}{tail} {word}{tail}\n{word}" for first in words for word in words for tail in ("", ".", "...", ",'", "?!", "$&", ".2", "'")]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == want
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace() and chr(c) not in " \n"]
+    assert not pc.any(tokenids.even(pa.array([f"a{c}b" for c in spaces] + ["", " a", "a ", "\na", "a\n", "a  b", "a \nb"]))).as_py()
+    assert tokenids.even(pa.array(["a b\nc", "a"])).to_pylist() == [True, True]
+
+
+def test_units_are_encoded_once(byte_bpe, monkeypatch):
+    """A word with other marks is no new word, and words met since the turn before the last are kept when the worker forgets others."""
+    monkeypatch.setattr(tokenids, "REMEMBERED", 20)
+    encoder, learnt = tokenids.UnitEncoder(byte_bpe), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda units: (learnt.extend(units), learn(units)))
+    for k in range(20):
+        encoder.encode([f"x often often, often. often;\n{'a' * (k + 1)} {'b' * (k + 1)}."])
+        assert len(encoder.known) + len(encoder.older) <= 26
+    assert sorted(learnt) == sorted(["often"] + ["\n" + "a" * k for k in range(1, 21)] + ["b" * k for k in range(1, 21)])
+
+
 def test_unknown_keys_are_told(spark, docs, byte_bpe):
     shards = tokenids.write_shards(docs, byte_bpe)
     asked = spark.createDataFrame([(4, 0), (4, 1), (99, 0), (10**12, 0)], "doc_id bigint, copy int")
