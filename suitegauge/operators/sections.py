@@ -20,8 +20,11 @@ DESCRIPTION = r"(?s)\*\*Description\*\*:\s*(.+?)(?:\n\n|\*\*)"
 ACCEPTANCE = r"\*\*Acceptance Criteria\*\*:\s*\n((?:- \[[x ]\][^\n]++\n)++)"
 REQUIREMENTS = r"\*\*Technical Requirements\*\*:\s*\n((?:- [^\n]++\n)++)"
 FILES = r"\*\*Files(?:\s+Implemented)?\*\*:\s*\n((?:- `[^`]++`\n?)++)"
-SUBSECTION = r"(?s)##### [0-9]+\.[0-9]+ [^\n]+\s*\n.*?(?=\n#####|\z)"
-SUBSECTION_PARTS = r"(?s)^##### ([0-9]+\.[0-9]+) ([^\n]+)\s*\n(.*)\z"
+# Of a subsection, whole lines are taken up to one that begins with five marks: one look ahead a line, none a character.
+SUBSECTION = r"##### [0-9]+\.[0-9]+ [^\n]+\s*\n(?:[^\n]++|\n(?!#####))*+"
+SUBSECTION_NUMBER = r"^##### ([0-9]+\.[0-9]+) "
+SUBSECTION_NAME = r"^##### [0-9]+\.[0-9]+ ([^\n]+)"
+SUBSECTION_BODY = r"(?s)^[^\n]+\s*\n(.*)\z"
 SUBSECTION_FILES = r"\*\*Files\*\*:\s*\n((?:- `[^`]++`[^\n]*+\n)++)"
 BREAKDOWN = r"(?s)Story Breakdown[^\n]*\([0-9]+ stories[^\n]*?\):?\s*\n(.*?)(?=##|\z)"
 BREAKDOWN_FEATURE = r"(?s)\*\*Feature [0-9]+[^→]+→\s*.+?(?=\n\s*-\s*\*\*|\z)"
@@ -82,8 +85,8 @@ def extract_sections(docs: DataFrame, parents: tuple[int, ...] = FEATURES_WITH_S
     keeps its own repeats; requirements are added once each and only if new.
     """
     # Text before the first mark, and marks without a number, only end the section before them.
-    pieces = F.split("text", SECTION_MARK)
-    numbered = F.filter(F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.rlike(p, F.lit(SECTION_NUMBER)))
+    numbered = F.filter(bound(F.split("text", SECTION_MARK), lambda pieces: F.slice(pieces, F.lit(2), F.size(pieces))),
+                        lambda p: F.rlike(p, F.lit(SECTION_NUMBER)))
     found = F.transform(numbered, lambda p, i: F.struct(
         F.substring_index(p, ":", 1).try_cast("int").alias("number"), i.alias("pos"),
         F.substring(p, F.instr(p, ":") + 1, F.length(p)).alias("content")))
@@ -104,9 +107,9 @@ def extract_sections(docs: DataFrame, parents: tuple[int, ...] = FEATURES_WITH_S
 
 def _sorted_subsections(content: Column) -> Column:
     return F.sort_array(F.transform(F.regexp_extract_all(content, F.lit(SUBSECTION), F.lit(0)), lambda s, i: F.struct(
-        strip(F.regexp_extract(s, SUBSECTION_PARTS, 2)).alias("name"), i.alias("pos"),
-        F.regexp_extract(s, SUBSECTION_PARTS, 1).alias("number"),
-        F.regexp_extract(s, SUBSECTION_PARTS, 3).alias("body"))))
+        strip(F.regexp_extract(s, SUBSECTION_NAME, 1)).alias("name"), i.alias("pos"),
+        F.regexp_extract(s, SUBSECTION_NUMBER, 1).alias("number"),
+        F.regexp_extract(s, SUBSECTION_BODY, 1).alias("body"))))
 
 
 def _subsections(ordered: Column) -> Column:

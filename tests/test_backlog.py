@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import json
 import random
+import re
 from itertools import groupby
 
 import pytest
@@ -225,6 +226,23 @@ def test_subsections(spark, plan):
     assert rows["10.2"].name == "A2A wiring" and rows["10.2"].files == ["src/wire.py"]
 
 
+def test_odd_subsections_are_cut_as_by_plain_search(spark):
+    """Repeated names, marks inside lines, empty bodies, wide space: as the lazy pattern cuts them, with each text split once."""
+    rng = random.Random(20)
+    parts = ["##### 5.1 A", "##### 5.2 B", "##### 5.10 A ", "\n", "\n", "\n\n", "#####", " \n", "x", "**Acceptance Criteria**:\n- [ ] c\n", "\r", "\t\n", "é\u2003", "###### "]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(3000)]
+    lazy = re.compile(r"(?s)##### ([0-9]+\.[0-9]+) ([^\n]+)[ \t\n\x0b\f\r]*\n(.*?)(?=\n#####|\Z)")
+    frame = spark.createDataFrame([(i, "#### Feature 5:" + t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(2)
+    read = sections.extract_sections(frame)
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
+    found = {r.doc_id: [(s.number, s.name, s.acceptance) for s in r.subsections] for r in read.collect()}
+    for i, text in enumerate(texts):
+        want = {}
+        for number, name, body in lazy.findall(text):
+            want[name.strip()] = (number, name.strip(), ["c"] if "**Acceptance Criteria**:\n- [ ] c\n" in body else [])
+        assert found[i] == list(want.values()), text
+
+
 def test_story_lists(spark, plan):
     rows = {r.id: r for r in sections.extract_stories(plan).collect()}
     assert rows["STORY-040"].title == "Docker parameter file (v2)" and rows["STORY-040"].depends_on == []
