@@ -3,7 +3,8 @@
 States are contexts: a word, the boundary of texts, and the empty one. A word pair seen in training is an arc of its first
 word's state, weighted with the smoothed probability of the second; every state has a failure arc to the empty context with
 the share it leaves to unseen words, and the empty context has an arc for any word. Reading a text from left to right
-follows an arc, or fails once and then follows one, and adds up the logarithms.
+follows an arc, or fails once and then follows one, and adds up the logarithms. As the state is the word read last, a block's
+steps are known beforehand and are taken as arrays.
 
 The automaton of a whole corpus fits no machine. Texts are dealt into blocks, each with its own numbers for words and word pairs. The
 blocks send hashes of both with their counts, and get totals back where these differ from their own: so each block has
@@ -103,7 +104,18 @@ class Block:
         """Distinct word pairs, ascending, as first * width + second, and how often each is in training texts."""
         code = self.before[of] * self.width + self.ids[of]
         order = np.argsort(code)
-        code, taught = code[order], self.taught[of][order]
+        return self._counted(code[order], self.taught[of][order])
+
+    def placed_pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All distinct pairs with their counts, and for each token the place of the pair that it ends."""
+        code = self.before * self.width + self.ids
+        order = np.argsort(code)
+        code, at = code[order], np.empty(len(order), dtype=np.int64)
+        at[order] = np.cumsum(np.r_[False, code[1:] != code[:-1]])
+        return *self._counted(code, self.taught[order]), at
+
+    @staticmethod
+    def _counted(code: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, dtype=np.int64)
         return code[first], np.add.reduceat(taught, first, dtype=np.int64) if len(first) else first
 
@@ -183,28 +195,33 @@ def _totals(round_no: int) -> Callable:
 
 
 class Automaton:
-    """States are word numbers (0: the boundary); ``arcs`` has the weight of a pair's code, ``failure`` of a state, ``root`` of a word."""
+    """States are word numbers (0: the boundary); ``arcs`` has the weight of each of ``codes``, ``failure`` of a state, ``root`` of a word.
+
+    A pair that training has not seen is no arc: its state fails, and the empty context's arc is taken.
+    """
 
     def __init__(self, width: int, codes: np.ndarray, pair_counts: np.ndarray, counts: np.ndarray, tokens: int, kinds: int, prior: float):
         share = (counts + ADDED) / (tokens + ADDED * (kinds + 1))
-        seen = pair_counts > 0
-        first, second = np.divmod(codes[seen], width)
+        self.width, self.codes, self.seen = width, codes, pair_counts > 0
+        first, second = np.divmod(codes, width)
         # All that follows a word in training is one of the pairs that begin with it, so its count is their sum.
-        weights = np.log10((pair_counts[seen] + prior * share[second]) / (counts[first] + prior))
-        self.width = width
-        self.root = np.log10(share).tolist()
-        self.arcs = dict(zip(codes[seen].tolist(), weights.tolist()))
+        self.arcs = np.log10((pair_counts + prior * share[second]) / (counts[first] + prior))
+        self.root = np.log10(share)
         # By state: failing, then the empty context's arc of a word.
-        self.failure = np.log10(prior / (counts + prior)).tolist()
+        self.failure = np.log10(prior / (counts + prior))
+
+    def steps(self, before: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Log-probability of each step. The state is the word before; ``places`` says where in ``codes`` the pair is, below 0 where it is not."""
+        arc = (places >= 0) & self.seen[places]
+        return np.where(arc, self.arcs[places], self.failure[before] + self.root[ids])
 
     def log10(self, ids: list[int]) -> float:
         """Log-probability of a text closed by the boundary, read from the boundary on."""
-        arc, failure, root, width, state, total = self.arcs.get, self.failure, self.root, self.width, 0, 0.0
-        for word in ids:
-            weight = arc(state * width + word)
-            total += failure[state] + root[word] if weight is None else weight
-            state = word
-        return total
+        words = np.array(ids, dtype=np.int64)
+        before = np.r_[0, words[:-1]]
+        code = before * self.width + words
+        places = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return float(self.steps(before, words, np.where(self.codes[places] == code, places, -1)).sum())
 
 
 def _walked(tokens: int, kinds: int, prior: float) -> Callable:
@@ -214,7 +231,7 @@ def _walked(tokens: int, kinds: int, prior: float) -> Callable:
         row = {name: blocks.column(name)[0].as_py() for name in blocks.schema.names}
         block = Block(row)
         counts = np.bincount(block.ids[block.taught], minlength=block.width)
-        codes, pair_counts = block.pairs()
+        codes, pair_counts, at = block.placed_pairs()
         round_of = block.rounds[codes // block.width]
         # Places are those of a round's own list, which is in the order of all pairs.
         places = [np.flatnonzero(round_of == round_no) for round_no in range(1, ROUNDS + 1)]
@@ -225,12 +242,11 @@ def _walked(tokens: int, kinds: int, prior: float) -> Callable:
             else:
                 pair_counts[places[told["round"] - 1][idx]] = n
         automaton = Automaton(block.width, codes, pair_counts, counts, tokens, kinds, prior)
-        del codes, pair_counts, round_of, places
-        scores = [automaton.log10(block.ids[a:b].tolist()) for a, b in zip(block.starts.tolist(), block.ends.tolist())]
+        scores = np.add.reduceat(automaton.steps(block.before, block.ids, at), block.starts)
         return pa.Table.from_batches([batch_of(
             _SCORES, row["doc_ids"], block.held, block.ends - block.starts,
             np.add.reduceat(counts[block.ids] > 0, block.starts, dtype=np.int64),
-            np.add.reduceat(np.array(automaton.root)[block.ids], block.starts), scores)])
+            np.add.reduceat(automaton.root[block.ids], block.starts), scores)])
 
     return run
 

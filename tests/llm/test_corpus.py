@@ -178,6 +178,24 @@ def test_scores_without_training_rows_are_base_scores(spark):
     assert {(r.n_tokens, r.n_known, r.train_tokens) for r in found} == {(3, 0, 0)} and all(r.score == r.base_score for r in found)
 
 
+def test_texts_are_read_by_arrays(spark, monkeypatch):
+    """A block's texts are read at once: no text walks by itself, and each token knows its pair's place."""
+    monkeypatch.setattr(automaton.Automaton, "log10", None)
+    ids, ends, words = automaton.numbered([b"a b a c", b"", b"b a b", b"c"])
+    row = {"ends": ends.tobytes(), "held": np.array([False, False, True, False]).tobytes(), "ids": ids.astype("<u2").tobytes(),
+           "rounds": np.ones(len(words), dtype=np.uint8).tobytes()}
+    block = automaton.Block(row)
+    codes, n, at = block.placed_pairs()
+    assert all((a == b).all() for a, b in zip(block.pairs(), (codes, n)))
+    assert (codes[at] == block.before * block.width + block.ids).all() and n.sum() == block.taught.sum()
+    blocks = {"block": [0], "doc_ids": [[1, 2, 3, 4]], **{k: [v] for k, v in row.items()}}
+    table = automaton._walked(9, 4, 20.0)(pa.table(blocks), pa.table({"round": pa.array([], pa.int32())}))
+    counts, pairs = np.bincount(block.ids[block.taught], minlength=len(words)), dict(zip(codes.tolist(), n.tolist()))
+    share = [(c + 0.1) / (9 + 0.1 * 5) for c in counts.tolist()]
+    step = [math.log10((pairs[a * len(words) + b] + 20 * share[b]) / (counts[a] + 20)) for a, b in zip(block.before.tolist(), block.ids.tolist())]
+    assert np.allclose(table.column("score").to_numpy(), [sum(step[a:b]) for a, b in zip(block.starts, block.ends)], rtol=1e-12)
+
+
 def test_model_is_a_probability():
     """What follows a context sums to one over all known words and one unknown."""
     ids, ends, words = automaton.numbered([b"a b a c", b"b a"])
