@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from suitegauge.functions import scoring as S
 from suitegauge.functions.docstrings import raw_docstring
 from suitegauge.functions.text import strip
 from suitegauge.operators.quality import computed_once
+from suitegauge.operators.scoring import BLOCK
 from suitegauge.session import keep
 
 # Fixed value: the keywords that open a scenario.
@@ -156,7 +157,28 @@ def multi_class_mutation(summaries: DataFrame, column: str = "summary") -> DataF
 
 
 def track_comparison(details: DataFrame, measures: tuple[str, ...] = ("mutation_score", "fault_detection_rate")) -> DataFrame:
-    """Mean of each measure per task, one column per track: conditional means in one aggregation."""
+    """Mean of each measure per task, one column per track: conditional means in one aggregation.
+
+    Details are rows, or stretches of them (``task_details`` without ``spelled``): then zero rows are counted, not listed.
+    """
+    if "last" in details.columns:
+        details = _means_of_stretches(details, measures)
     return details.groupBy("ordinal").agg(*[
         F.avg(F.when(F.col("track") == track, F.col(m))).alias(f"{track}_{m}")
         for m in measures for track in ("tdd", "bdd")])
+
+
+def _means_of_stretches(stretches: DataFrame, measures: tuple[str, ...]) -> DataFrame:
+    """(track, ordinal, the mean of each measure over all details there), from stretches that are summed up where they begin and end.
+
+    How many details a task has is a running count over beginnings and ends. Stretches keep to their block, so each count
+    runs over one block's numbers.
+    """
+    figures, zeros = ", ".join(measures), ", ".join(f"0D as {m}" for m in measures)
+    changes = stretches.selectExpr("track", f"(ordinal - 1) div {BLOCK} as _block", f"""inline(array(
+        struct(ordinal, 1L as _change, {figures}), struct(last + 1 as ordinal, -1L as _change, {zeros})))""").groupBy(
+        "track", "_block", "ordinal").agg(F.sum("_change").alias("_change"), *[F.sum(m).alias(m) for m in measures])
+    of_block = Window.partitionBy("track", "_block").orderBy("ordinal")
+    counted = changes.select("*", F.sum("_change").over(of_block).alias("_n"), F.lead("ordinal").over(of_block).alias("_next")).filter("_n > 0")
+    return counted.selectExpr("track", "ordinal as _first", "explode(sequence(ordinal, _next - 1)) as ordinal", "_n", *measures).selectExpr(
+        "track", "ordinal", *[f"if(ordinal = _first, {m} / _n, 0D) as {m}" for m in measures])

@@ -284,3 +284,28 @@ def test_documents_of_lists_equal_documents_of_rows(spark):
     assert [(p, part) for p, part, _ in whole] == [("p", n) for n in range(5)] + [("q", 0), ("r", 0)]
     with pytest.raises(ValueError):
         scoring.to_envelope(summary, scoring.task_lists(evaluations, outcomes), 3_000)
+
+
+def test_zero_rows_are_counted_where_they_need_not_be_listed(spark):
+    evaluations, outcomes = _sparse(spark)
+    rows, stretches = (scoring.task_details(evaluations, outcomes, spelled=spelled) for spelled in (True, False))
+    assert sorted(scoring.summarize_runs(stretches).collect()) == sorted(scoring.summarize_runs(rows).collect())
+    assert sorted(documented.track_comparison(stretches).collect()) == sorted(documented.track_comparison(rows).collect())
+    assert stretches.count() < 20
+    # Listed, these would be 300 million rows.
+    long, _ = _sparse(spark, 300_000_000)
+    run = {r.participant: r for r in scoring.summarize_runs(scoring.task_details(long, outcomes, spelled=False)).collect()}["p"]
+    assert (run.task_count, run.mutation_score) == (300_000_000, pytest.approx(8 * 0.5 / 300_000_000))
+
+
+@pytest.mark.parametrize("chunk,block", [(10_000, 10_000), (100, 10_000), (7, 9_996), (30, 9_990)])
+def test_documents_as_lines_are_the_text_of_documents(spark, chunk, block):
+    evaluations, outcomes = _sparse(spark, 12_345)
+    summary = scoring.summarize_outcomes(evaluations, outcomes).withColumn("note", F.lit('a "task_details":[] b'))
+    lists = scoring.task_lists(evaluations, outcomes, block)
+    documents = scoring.to_envelope(summary, scoring.task_details(evaluations, outcomes), chunk, carry=("note",))
+    lines = scoring.to_envelope(summary, lists, chunk, carry=("note",), block=block, lines=True)
+    assert sorted(r.document for r in lines.collect()) == sorted(documents.toJSON().collect())
+    assert sorted(scoring.to_envelope(summary, lists, chunk, carry=("note",), block=block).toJSON().collect()) == sorted(documents.toJSON().collect())
+    with pytest.raises(ValueError):
+        scoring.to_envelope(summary, lines=True)
