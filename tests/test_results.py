@@ -175,3 +175,24 @@ def test_lines_that_are_no_documents_are_rejects(spark, tmp_path):
     (tmp_path / "a.json").write_text("\n".join([good, good.replace("0.5", '"0.85"'), good[:40], "[]", ""]))
     found = {r.line: r.reason for r in results.result_rejects(spark, str(tmp_path)).collect()}
     assert found == {good.replace("0.5", '"0.85"'): "score is not a number", good[:40]: "not a result document", "[]": "not a result document"}
+
+
+def test_boards_read_heads_and_make_their_rows_once(spark, tmp_path):
+    detail = {"task_details": [{"task_id": "task_001", "mutation_score": 0.5}]}
+    one = document("a")
+    one["results"][0]["detail"] = detail
+    write(tmp_path, "a.json", one, document("b", score=0.75))
+    heads = results.read_results(spark, str(tmp_path), heads=True)
+    assert "detail" not in heads.schema["results"].dataType.elementType.names
+    found = board.overall(board.flatten_results(heads))
+    assert [r.id for r in found.collect()] == ["b", "a"]
+    assert found.collect() == board.overall(board.flatten_results(results.read_results(spark, str(tmp_path)))).collect()
+    # Sorting samples its input: that is a shuffle, not the files.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("rangepartitioning") < plan.index("hashpartitioning(id")
+
+
+def test_documents_that_are_text_are_written_as_they_are(spark, tmp_path):
+    lines = spark.createDataFrame([(json.dumps(document(name)),) for name in ("a", "\u00e9\n")], "document string")
+    results.write_results(lines, str(tmp_path / "r"))
+    assert {r.participants["agent"] for r in results.read_results(spark, str(tmp_path / "r")).collect()} == {"a", "\u00e9\n"}
