@@ -310,3 +310,27 @@ def test_a_tree_is_written_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(plans.task_source, "write_task_tree", lambda tasks, path: given.append(tasks))
     plans._tree(spark, "/root/testdata/sf0.001")
     assert "RepartitionByExpression [p_partkey" in given[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_scan_has_as_many_tasks_as_shuffles(spark, tree):
+    import pathlib
+
+    for n in range(40):
+        home = pathlib.Path(tree) / "bdd" / "python" / f"task_{n + 500}_z"
+        home.mkdir()
+        (home / "spec.feature").write_text("f" * 10)
+    key, former = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    listing = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    known, tracker = spark.conf.get(listing), spark.sparkContext.statusTracker()
+    spark.conf.set(key, "4m")
+    spark.sparkContext.setJobGroup("scan", "scan")
+    try:
+        names = [p.name for p in (pathlib.Path(tree) / "bdd" / "python").iterdir()]
+        read = source.read_tasks(spark, tree, "bdd", names)
+        assert len(read.collect()) == len(names) > 40
+    finally:
+        spark.conf.set(key, former)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup("scan") for s in tracker.getJobInfo(job).stageIds]
+    assert stages and max(s.numTasks for s in stages) <= 4
+    assert spark.conf.get(listing) == known
